@@ -178,3 +178,17 @@ def shingle_sets(texts: pa.Array, k: int = 5):
             yield mix(np.array([part], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def pieces(texts: pa.Array, limit: int = 2 << 20):
+    """Row ranges of a text column, each with about `limit` bytes, or one row if that has more."""
+    _, offsets = text_buffers(texts)
+    i, n = 0, len(texts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def logical_cores(spark: SparkSession) -> int:
+    return max(1, spark.sparkContext.defaultParallelism)

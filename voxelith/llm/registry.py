@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import html_text
+from voxelith.llm import html_text, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,5 +17,9 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction}
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op6_quality_classifier": op6_quality_classifier}
 SQL: dict[str, str] = {}
