@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import html_text, quality
+from voxelith.llm import html_text, quality, setjoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,13 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op6_quality_classifier": op6_quality_classifier}
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.similar_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_quality_classifier": op6_quality_classifier,
+}
 SQL: dict[str, str] = {}
