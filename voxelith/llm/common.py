@@ -106,11 +106,11 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (A-Z lower-cased), and the words before each text: text i has words [at[i], at[i + 1]).
 
     The hash is a polynomial over random codes of the bytes, taken from prefix sums piece by piece, so
-    memory stays at a few times _PIECE however long a text is.
+    memory stays at a few times _PIECE however long a text is. `gap` tells which bytes part words.
     """
     table = _CODE_LOWER if lower else _CODE
     edge = np.zeros(len(data) + 1, bool)
@@ -119,19 +119,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     while lo < n:
         hi = min(n, lo + _PIECE)
         if hi < n:
-            gaps = np.flatnonzero(_IS_SPACE[data[lo:hi]] | edge[lo:hi])
+            gaps = np.flatnonzero(gap[data[lo:hi]] | edge[lo:hi])
             hi = lo + int(gaps[-1]) if len(gaps) and gaps[-1] else hi
-        if hi == lo + _PIECE and not (_IS_SPACE[data[hi - 1]] or edge[hi]):  # one word over a whole piece
-            more = np.flatnonzero(_IS_SPACE[data[hi:]] | edge[hi:-1])
+        if hi == lo + _PIECE and not (gap[data[hi - 1]] or edge[hi]):  # one word over a whole piece
+            more = np.flatnonzero(gap[data[hi:]] | edge[hi:-1])
             hi = hi + int(more[0]) if len(more) else n
             word = data[lo:hi].tobytes()
-            head = np.flatnonzero(~_IS_SPACE[data[lo:hi]])[:1] + lo
+            head = np.flatnonzero(~gap[data[lo:hi]])[:1] + lo
             hashes.append(np.array([hash_long(word.lower() if lower else word)], np.uint64))
             starts.append(head)
             lo = hi
             continue
         piece = data[lo:hi]
-        solid = ~_IS_SPACE[piece]
+        solid = ~gap[piece]
         before, after = np.empty_like(solid), np.empty_like(solid)
         before[0], before[1:] = False, solid[:-1]
         after[-1], after[:-1] = False, solid[1:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import html_text, quality, setjoin
+from voxelith.llm import decontam, html_text, quality, setjoin
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL: dict[str, str] = {}
