@@ -106,16 +106,19 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(offsets) else data[:0], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _IS_SPACE, cuts: np.ndarray | None = None, ends: bool = False) -> tuple[np.ndarray, ...]:
     """A 64-bit hash of each word (A-Z lower-cased), and the words before each text: text i has words [at[i], at[i + 1]).
 
     The hash is a polynomial over random codes of the bytes, taken from prefix sums piece by piece, so
-    memory stays at a few times _PIECE however long a text is. `gap` tells which bytes part words.
+    memory stays at a few times _PIECE however long a text is. `gap` tells which bytes part words, `cuts` has
+    positions at which a word also ends; with `ends`, first and last byte + 1 of each word are returned too.
     """
     table = _CODE_LOWER if lower else _CODE
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    hashes, starts, lo, n = [], [], 0, len(data)
+    if cuts is not None:
+        edge[cuts] = True
+    hashes, starts, stops, lo, n = [], [], [], 0, len(data)
     while lo < n:
         hi = min(n, lo + _PIECE)
         if hi < n:
@@ -128,6 +131,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap:
             head = np.flatnonzero(~gap[data[lo:hi]])[:1] + lo
             hashes.append(np.array([hash_long(word.lower() if lower else word)], np.uint64))
             starts.append(head)
+            stops.append(np.array([hi]))
             lo = hi
             continue
         piece = data[lo:hi]
@@ -143,10 +147,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap:
         h[s > 0] -= sums[s[s > 0] - 1]
         hashes.append(mix(h * _DOWN[s] + (e - s + 1).astype(np.uint64)))
         starts.append(s + lo)
+        stops.append(e + lo + 1)
         lo = hi
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets)
+    first = np.concatenate([np.zeros(0, np.int64), *starts])
+    found = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.searchsorted(first, offsets)
+    return (*found, first, np.concatenate([np.zeros(0, np.int64), *stops])) if ends else found
 
 
 def hash_long(word: bytes) -> int:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm import decontam, html_text, quality, setjoin
+from voxelith.llm import decontam, html_text, mixing, quality, queries_sql, setjoin, tokenfile
+from voxelith.session import ship_code
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -17,10 +19,21 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.read(tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_components(table(spark, sf_dir, "documents"))
 
@@ -31,8 +44,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_source_mixing": op2_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4}
