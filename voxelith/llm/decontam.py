@@ -26,8 +26,12 @@ from voxelith.llm.common import pieces, stored, text_buffers, word_hashes
 
 #: Bits of a word's feature; features, not words, are counted, so tables of them have a fixed size.
 BITS = 17
-#: Window sizes in words; an item is searched in the smallest that holds it, longer ones in passages. Windows start every quarter.
+#: Windows are made of blocks of UNIT words, start every quarter of their size, and have these sizes in words; an item is searched in
+#: the smallest that holds it, longer ones in passages.
+UNIT = 4
 WINDOWS = (16, 32, 64)
+#: Words in more than this share of the documents, and in more than COMMON_LEAST, weigh nothing, unless an item has fewer than THIN others.
+COMMON, COMMON_LEAST, THIN = 0.05, 50, 4
 PASSAGE, PASSAGE_STEP = 48, 32
 #: Items with fewer words than this are not searched: they are no evidence of a leak.
 LEAST_WORDS = 5
@@ -57,7 +61,7 @@ def feature(words: np.ndarray) -> np.ndarray:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log((1 + N) / (1 + df)) + 1 of every feature, over all documents. What reaches the driver has 2 ** BITS numbers."""
+    """log((1 + N) / (1 + df)) of every feature, over all documents, negative for common words. What reaches the driver has 2 ** BITS numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros(1 << BITS, np.int64), 0
@@ -76,7 +80,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     f, n = table.column("feature").to_numpy(), table.column("df").to_numpy()
     df[f[f >= 0]] = n[f >= 0]
     total = n[f < 0].sum() if (f < 0).any() else 0
-    return np.log((1 + total) / (1 + df)) + 1
+    idf = np.log((1 + total) / (1 + df)) + 0.1
+    return np.where(df > max(COMMON_LEAST, COMMON * total), -idf, idf)
 
 
 @dataclass
@@ -88,9 +93,10 @@ class Block:
     words: list  # of each passage: hashes
     answers: list  # of each passage: hashes of its item's answer
     place: np.ndarray  # of each feature: its row in `vectors`, or -1
-    vectors: np.ndarray  # features x rank
+    vectors: np.ndarray  # features x rank, times the feature's weight
     latent: np.ndarray  # passages x rank, over the passage's norm
     idf: np.ndarray
+    peaks: dict  # of each window size: a feature's largest part in one of its passages, times the feature's weight
 
 
 def _answer(text: str) -> str:
@@ -126,6 +132,8 @@ def _rows(words: list, idf: np.ndarray, place: np.ndarray) -> tuple[np.ndarray,
     f = [feature(w) for w in words]
     who = np.repeat(np.arange(len(f)), [len(x) for x in f])
     both, tf = np.unique(who * (1 << BITS) + (np.concatenate(f) if f else np.zeros(0, np.int64)), return_counts=True)
+    weighs = place[both & ((1 << BITS) - 1)] >= 0
+    both, tf = both[weighs], tf[weighs]
     who, col = both >> BITS, both & ((1 << BITS) - 1)
     weight = tf * idf[col]
     return who, place[col], weight, np.sqrt(np.bincount(who, weight**2, len(f)))
@@ -173,13 +181,25 @@ def latent_space(parts: DataFrame, n: int, idf: np.ndarray, place: np.ndarray, f
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
+def _weights(words: list, idf: np.ndarray) -> np.ndarray:
+    """Weights of the features: none for common ones, unless a passage has hardly any others."""
+    keep = idf > 0
+    for w in words:
+        f = feature(w)
+        if np.count_nonzero(idf[f] > 0) < THIN:
+            keep[f] = True
+    return np.where(keep, np.abs(idf), 0.0)
+
+
 def prepare(parts: DataFrame, idf: np.ndarray) -> Block | None:
     rows = parts.toArrow()
     if not rows.num_rows:
         return None
     words = [np.asarray(x, np.int64).view(np.uint64) for x in rows.column("words").to_pylist()]
     answers = [np.asarray(x, np.int64).view(np.uint64) for x in rows.column("answer").to_pylist()]
+    idf = _weights(words, idf)
     used = np.unique(np.concatenate([feature(w) for w in words]))
+    used = used[idf[used] > 0]
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
     vectors = latent_space(parts, len(words), idf, place, len(used))
@@ -187,7 +207,12 @@ def prepare(parts: DataFrame, idf: np.ndarray) -> Block | None:
     latent = np.zeros((len(words), vectors.shape[1]))
     np.add.at(latent, who, weight[:, None] * vectors[col])
     size = np.array([next((s for s in WINDOWS if len(w) <= s), WINDOWS[-1]) for w in words])
-    return Block(rows.column("item_id").to_numpy(), size, words, answers, place, vectors.astype(np.float32), (latent / norm[:, None]).astype(np.float32), idf)
+    peaks = {}
+    for s in WINDOWS:
+        own = size[who] == s
+        peaks[s] = np.zeros(len(used))
+        np.maximum.at(peaks[s], col[own], weight[own] / norm[who[own]] * idf[used[col[own]]])
+    return Block(rows.column("item_id").to_numpy(), size, words, answers, place, (vectors * idf[used, None]).astype(np.float32), (latent / norm[:, None]).astype(np.float32), idf, peaks)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -204,39 +229,55 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _sliding(x: np.ndarray, m: int) -> np.ndarray:
+    """Sums of m (a power of two) rows from each row on."""
+    k = 1
+    while k < m:
+        y = x.copy()
+        y[: len(x) - k] += x[k:]
+        x, k = y, 2 * k
+    return x
+
+
 def windows_near(words: np.ndarray, at: np.ndarray, block: Block) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, passage, first word, last word + 1, cosine) of windows at or above COSINE."""
+    most = WINDOWS[-1] // UNIT
     f = feature(words)
     idf = block.idf[f]
-    row = block.place[f]
-    known = row >= 0
-    all_sq = np.concatenate([[0.0], np.cumsum(idf**2)])
-    in_sq = np.concatenate([[0.0], np.cumsum(np.where(known, idf**2, 0.0))])
     lengths = np.diff(at)
+    units = -(-lengths // UNIT)
+    base = np.concatenate([[0], np.cumsum(units + most)])  # each text is followed by empty units, so windows do not reach the next
+    text_of = np.repeat(np.arange(len(lengths)), lengths)
+    unit = base[text_of] + (np.arange(len(words)) - at[text_of]) // UNIT
+    row = block.place[f]
+    known = np.flatnonzero(row >= 0)
+    row, own = row[known], unit[known]
+    all_sq = np.bincount(unit, idf**2, base[-1])
+    place = np.arange(base[-1])
+    text = np.searchsorted(base, place, side="right") - 1
+    k = place - base[text]
     for size in np.unique(block.size):
-        step = int(size) // 4
-        n = np.where(lengths > 0, np.maximum(0, -(-(lengths - size) // step)) + 1, 0)
-        text = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        start = np.minimum(at[text] + k * step, np.maximum(at[text], at[text + 1] - size))
-        end = np.minimum(start + size, at[text + 1])
-        # only known words add to a cosine; repeats make norms larger than these sums, so the bound is taken loosely
-        close = np.flatnonzero((in_sq[end] - in_sq[start]) >= (0.75 * COSINE) ** 2 * (all_sq[end] - all_sq[start]))
+        m = int(size) // UNIT
+        norm = np.sqrt(_sliding(all_sq, m))  # repeats make the true norm larger
+        # no passage's cosine is above the sum of each word's largest part in any passage
+        bound = _sliding(np.bincount(own, block.peaks[int(size)][row], base[-1]), m)
+        close = np.flatnonzero((k % (m // 4) == 0) & (k < units[text]) & (bound >= COSINE * norm) & (bound > 0))
         mine = np.flatnonzero(block.size == size)
-        latent = block.latent[mine].T
-        for lo in range(0, len(close), 256):
-            c = close[lo : lo + 256]
-            idx = start[c, None] + np.arange(size)
-            inside = idx < end[c, None]
-            idx = np.minimum(idx, len(words) - 1)
-            w = np.where(inside, idf[idx], 0.0)
-            key = np.where(inside, f[idx], -1 - np.arange(size))
-            norm = np.sqrt(np.einsum("mi,mij,mj->m", w, (key[:, :, None] == key[:, None, :]).astype(np.float64), w, optimize=True))
-            weight = np.where(known[idx], w, 0.0).astype(np.float32)
-            vec = np.matmul(weight[:, None, :], block.vectors[np.maximum(row[idx], 0)])[:, 0, :]
-            cosine = (vec @ latent) / np.maximum(norm, 1e-9)[:, None]
-            for i, p in zip(*np.nonzero(cosine >= COSINE), strict=True):
-                yield int(text[c[i]]), int(mine[p]), int(start[c[i]]), int(end[c[i]]), float(cosine[i, p])
+        queries = block.latent[mine].T
+        for lo in range(0, len(close), 1024):
+            c = close[lo : lo + 1024]
+            i, j = np.searchsorted(own, c), np.searchsorted(own, c + m)
+            n = j - i
+            take = np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            vec = np.add.reduceat(block.vectors[row[take]], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
+            high = (vec @ queries) / norm[c][:, None]  # at least the cosine
+            for w in np.flatnonzero((high >= COSINE).any(1)):
+                start = int(at[text[c[w]]] + k[c[w]] * UNIT)
+                end = int(min(start + size, at[text[c[w]] + 1]))
+                _, kinds = np.unique(f[start:end], return_inverse=True)
+                cosine = high[w] * norm[c[w]] / max(np.sqrt((np.bincount(kinds, idf[start:end]) ** 2).sum()), 1e-9)
+                for p in np.flatnonzero(cosine >= COSINE):
+                    yield int(text[c[w]]), int(mine[p]), start, end, float(cosine[p])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -263,7 +304,7 @@ def _search(held):
         block: Block = held.value
         for b in batches:
             out: dict[tuple[int, int], tuple[float, float]] = {}
-            for i, j in pieces(b.column(2), 1 << 20):
+            for i, j in pieces(b.column(2), 1 << 19):
                 words, at = words_of(b.column(2)[i:j])
                 done: set[tuple[int, int]] = set()
                 for text, p, start, end, cosine in windows_near(words, at, block):

@@ -149,6 +149,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Discriminant]:
+    stats = document_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text"), ["doc_id", "text_key"])
+    stats = stored(stats, "quality-stats")
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
+    return stats, fit(stats.filter(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of `docs` (doc_id, text).
 
@@ -157,8 +164,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     text; repeated rows are scored alike. Without labels of both classes, the score is the share of label 1
     (smoothed). An empty table gives an empty result. Extra columns are not read.
     """
-    stats = stored(document_statistics(docs.select("doc_id", "text"), ["doc_id"]), "quality-stats")
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("label"))
-    model = fit(stats.filter(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    stats, model = _fitted(docs, labels)
     score = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score().cast("double").alias("score"))
     return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs` whose score reaches `threshold`, with all their columns. Equal texts have equal scores; null ids are no reason to reject."""
+    stats, model = _fitted(docs, labels)
+    rejected = stats.select("doc_id", "text_key", model.score().alias("score")).filter(F.col("score") < threshold).select(F.col("doc_id").alias("no_id"), F.col("text_key").alias("no_key")).distinct()
+    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("no_id")) & (F.xxhash64(docs["text"]) == F.col("no_key")), "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from voxelith.llm import decontam, html_text, mixing, quality, queries_sql, setjoin, tokenfile
 from voxelith.session import ship_code
 
@@ -49,5 +50,6 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4}

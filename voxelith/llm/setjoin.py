@@ -6,12 +6,14 @@ more differ in at most H(size) members, so all but H of a set's non-empty segmen
 similar set: a set that indexes any H + 1 of them meets every similar set, as long as all sets choose in one
 global order. That order is by cost: segments whose content is frequent in the corpus come last. A set with
 too few non-empty segments for this indexes every segment with its one-deletion neighbourhood instead,
-which counts double. Sets that meet are verified exactly on their shingles.
-
-Equal sets are one node from the start. Within a segment's bucket, members are compared with one leader
-(rows grow with the bucket, not with its square); components of verified links then leave only buckets that
-hold several components, and only pairs between different components are compared further, so no link is
-lost and no group of copies is expanded.
+which counts double. Indexing EXTRA more keys makes similar sets meet that many times more. Sets that meet
+often enough are verified exactly on their shingles.
+
+Equal sets are one node from the start. Within a segment's bucket, members are first compared with one
+leader (rows grow with the bucket, not with its square). Components of these links leave only buckets that
+hold several components; pairs between different components are counted over those, which hold all their
+meetings, and verified if they meet as often as similar sets must. So no link between components is lost
+and no group of copies is expanded.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import drop_stored, mix, shingle_sets, stored
+from voxelith.llm.common import drop_stored, mix, shingle_sets, small, stored
 from voxelith.llm.components import connected_components
 
 #: Bands hold sizes [BAND ** i, BAND ** (i + 1)).
 BAND = 4
 #: Entries at most of the table of frequent segments that tasks get; beyond that, only the more frequent ones count.
 FREQUENT_MAX = 2_000_000
+#: Keys indexed beyond H + 1, as a share of the set.
+EXTRA = 0.06
+#: Nodes at most of which a list is broadcast to filter sets before they are shuffled; beyond that the filter is a shuffled join.
+LISTED_MAX = 2_000_000
 #: A segment's content counts as frequent from this many sets on.
 FREQUENT_MIN = 16
 
@@ -80,18 +86,19 @@ def schemes(members: np.ndarray, sim: Similarity) -> Iterator[tuple[int, int, np
         yield m, sim.differs(n, larger=band < own), seg, _keys(np.add.reduceat(mixed, start), seg, m)
 
 
-def index_keys(members: np.ndarray, sim: Similarity, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The keys under which a set is indexed."""
-    out = []
+def index_keys(members: np.ndarray, sim: Similarity, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys under which a set is indexed, and how many of them a similar set with no smaller count shares at least."""
+    out, need = [], int(EXTRA * len(members)) + 1
     for m, most, seg, keys in schemes(members, sim):
         if len(keys) > most:
+            need = min(need, len(keys) - most)
             cost = np.zeros(len(keys), np.uint64)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
                 cost = np.where(frequent[at] == keys, counts[at], np.uint64(0))
-            out.append(keys[np.lexsort((keys, cost))[: most + 1]])
+            out.append(keys[np.lexsort((keys, cost))[: most + int(EXTRA * len(members)) + 1]])
             continue
-        # every segment, whole and with each one member left out; empty segments too
+        need = 1  # every segment, whole and with each one member left out; empty segments too
         out.append(keys)
         mixed = mix(members)
         every = np.arange(m, dtype=np.uint64)
@@ -99,7 +106,7 @@ def index_keys(members: np.ndarray, sim: Similarity, frequent: np.ndarray, count
         home = ((members >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         np.add.at(sums, home, mixed)
         out += [_keys(sums, every, m, 1), _keys(sums[home] - mixed, home, m, 1)]
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(out)), need
 
 
 def _fingerprint(members: np.ndarray) -> int:
@@ -115,7 +122,9 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def profile(docs: DataFrame, sim: Similarity, k: int) -> DataFrame:
-    """Rows of kind 0: doc_id, n, node (hash of the set) for every document; of kind 1: key, n for contents of segments that several of a task's sets share."""
+    """Rows of kind 0: doc_id, text_key, n, node (hashes of the text and of the set) for every document; of kind 1: key, n for contents of segments that several of a task's sets share."""
+
+    names = ["kind", "doc_id", "text_key", "n", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -125,21 +134,22 @@ def profile(docs: DataFrame, sim: Similarity, k: int) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
             held.clear()
             keys, n = keys[n >= 3], n[n >= 3]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.nulls(len(keys), pa.int64()), pa.array(n.astype(np.int64)), _longs(keys)], ["kind", "doc_id", "n", "node"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(n.astype(np.int64)), _longs(keys)], names)
 
         for b in batches:
             sizes, nodes = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for i, members in enumerate(shingle_sets(b.column(1), k)):
+            for i, members in enumerate(shingle_sets(b.column(2), k)):
                 sizes[i], nodes[i] = len(members), (node := _fingerprint(members))
                 if len(members) and node not in seen:
                     seen.add(node)
                     held += [keys for *_, keys in schemes(members, sim)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(0), pa.array(sizes), pa.array(nodes)], ["kind", "doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(0), b.column(1), pa.array(sizes), pa.array(nodes)], names)
             if sum(map(len, held)) > 4_000_000:
                 yield shared()
         yield shared()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind byte, doc_id long, n long, node long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "kind byte, doc_id long, text_key long, n long, node long")
 
 
 def frequent_contents(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -164,43 +174,45 @@ def frequent_contents(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_rows(docs: DataFrame, sim: Similarity, k: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, keys) for each distinct set of a task."""
+    """(node, need, keys) for each distinct set of a task."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys_of, counts = held.value
         for b in batches:
-            nodes, keys = [], []
+            nodes, needs, keys = [], [], []
             for members in shingle_sets(b.column(0), k):
                 node = _fingerprint(members)
                 if len(members) and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    keys.append(index_keys(members, sim, keys_of, counts))
+                    own, need = index_keys(members, sim, keys_of, counts)
+                    keys.append(own)
+                    needs.append(need)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _longs(flat))], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), _longs(flat))], ["node", "need", "keys"])
 
-    return docs.select("text").mapInArrow(run, "node long, keys array<long>")
+    return docs.select("text").mapInArrow(run, "node long, need int, keys array<long>")
 
 
-def member_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(node, members): each distinct set of a task as sorted hashes of 8 bytes."""
+def member_rows(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """(node, members) of the sets in `nodes`: sorted hashes of 8 bytes. Only these sets are shuffled while the list is short enough to broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            nodes, sets = [], []
+            found, sets = [], []
             for members in shingle_sets(b.column(0), k):
                 node = _fingerprint(members)
                 if len(members) and node not in seen:
                     seen.add(node)
-                    nodes.append(node)
+                    found.append(node)
                     sets.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, members binary")
+    return docs.select("text").mapInArrow(run, "node long, members binary").join(small(nodes, LISTED_MAX), "node").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -222,57 +234,74 @@ def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
-
-    Words are lower-cased (A-Z) runs between ASCII white space; the set is the distinct k-word shingles, a
-    shorter text's whole sequence as one, nothing for null or wordless texts, which stay alone. Documents
-    link when 100 * intersection >= percent * union; component_id is the smallest doc_id reachable by links.
-    Rows are told apart by their sets: repeated rows are linked copies. A null doc_id counts as larger than
-    any other and gets its component's smallest id, or null. An empty table gives an empty result.
-    """
+def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for every row; see similar_components()."""
     sim = Similarity(percent)
     profiles = stored(profile(docs, sim, k), "profiles")
     frequent = frequent_contents(profiles)
-    keyed = index_rows(docs, sim, k, frequent).select("node", F.explode("keys").alias("key"))
+    keyed = index_rows(docs, sim, k, frequent).select("node", "need", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     shared = keyed.withColumns({"leader": F.min("node").over(bucket), "last": F.max("node").over(bucket)}).filter("leader <> last")
-    shared = stored(shared.select("key", "node", "leader").distinct(), "buckets")
+    shared = stored(shared.select("key", "node", "need", "leader").distinct(), "buckets")
 
-    candidates = shared.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    candidates = stored(candidates, "candidates")
-    involved = shared.select("node").distinct()
-    sets = stored(member_rows(docs, k).join(involved, "node").dropDuplicates(["node"]), "sets", "lz4")
-
-    # first each set with the leader that it meets most often, then what still lies between components
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = stored(verified(best, sets, sim), "links")
-    comps = connected_components(links)
-    rest = _between(candidates.join(best, ["a", "b"], "left_anti").select("a", "b"), comps)
-    links = stored(links.unionByName(verified(rest, sets, sim)), "links")
+    # each set with the leader that it meets most often, where they meet often enough to be promising
+    met = shared.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links, tried = _verify(docs, k, stored(best, "pairs"), sim)
     comps = connected_components(links)
 
-    # buckets that still hold several components: all pairs between different ones
-    labelled = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = labelled.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi").select("key", "node", "comp", "leader")
+    # pairs between components, over the buckets that hold several
+    held = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi").select("key", "node", "need", "comp")
     mixed = stored(mixed, "mixed")
     x, y = mixed.alias("x"), mixed.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.node") != F.col("x.leader")) & (F.col("y.node") != F.col("y.leader")))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = stored(links.unionByName(verified(cross, sets, sim)), "links")
-    comps = connected_components(links)
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
+    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.least(F.first("x.need"), F.first("y.need")).alias("need"))
+    cross = cross.filter("n >= need").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    more, _ = _verify(docs, k, stored(cross, "pairs"), sim)
+    comps = connected_components(links.unionByName(more))
 
-    rows = profiles.filter("kind = 0").select("doc_id", "n", "node")
+    rows = profiles.filter("kind = 0").select("doc_id", "text_key", "n", "node")
     first = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_node = stored(ids.join(least, "comp").select("node", "component_id"), "components-by-set")
-    drop_stored(shared, candidates, sets, mixed)
+    drop_stored(shared, mixed)
     out = rows.join(by_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose sides are in different components so far."""
-    of = lambda side: comps.select(F.col("node").alias(side), F.col("comp").alias(f"c{side}"))
-    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _verify(docs: DataFrame, k: int, pairs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """Links among `pairs`, a stored table, and the pairs themselves."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(member_rows(docs, k, nodes), "sets", "lz4")
+    links = stored(verified(pairs, sets, sim), "links")
+    drop_stored(sets)
+    return links, pairs
+
+
+def similar_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
+
+    Words are lower-cased (A-Z) runs between ASCII white space; the set is the distinct k-word shingles, a
+    shorter text's whole sequence as one, nothing for null or wordless texts, which stay alone. Documents
+    link when 100 * intersection >= percent * union; component_id is the smallest doc_id reachable by links.
+    Rows are told apart by their sets: repeated rows are linked copies. A null doc_id counts as larger than
+    any other and gets its component's smallest id, or null. An empty table gives an empty result; extra
+    columns are not read.
+    """
+    return labelled(docs, percent, k).drop("text_key")
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """One row of `docs` for each component, with all its columns: the one with the smallest doc_id, ties by a hash of the text.
+
+    Texts without words are in no component and stay, but rows equal in doc_id and text stay once.
+    """
+    rows = labelled(docs, percent, k)
+    alone = rows.filter("n_shingles = 0 or component_id is null").select("doc_id", "text_key")
+    first = rows.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
+    keep = stored(alone.unionByName(first.select("m.doc_id", "m.text_key")).distinct().withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"}), "kept")
+    keyed = docs.withColumn("own_key", F.xxhash64("text"))
+    out = keyed.join(keep, keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
+    return out.dropDuplicates(["doc_id", "own_key"]).drop("own_key")
