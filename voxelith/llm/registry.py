@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, html_text, mixing, quality, queries_sql, setjoin, tokenfile
+from voxelith.llm import decontam, html_text, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
 from voxelith.session import ship_code
 
 
@@ -39,6 +39,28 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_components(table(spark, sf_dir, "documents"))
 
 
+def _joined(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    return F.array_join(F.transform(spans, one), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base, spans = F.col("base"), F.col("spans")
+    return found.select("doc_id", *(_count(base, k) for k in pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base, spans = F.filter("spans", lambda s: s["base"]), F.col("spans")
+    return found.select("doc_id", *(_count(base, r.kind) for r in secrets.RULES if r.base), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +71,8 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_pii": op7_pii,
+    "op9_secret_scans": op9_secret_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
