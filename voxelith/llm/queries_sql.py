@@ -61,3 +61,28 @@ SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(w.doc_id, m.least_
 FROM words w LEFT JOIN sizes s ON w.doc_id = s.doc_id
 LEFT JOIN (SELECT doc_id, min(seen) AS least_ FROM reach GROUP BY doc_id) m ON w.doc_id = m.doc_id
 """
+
+OP8 = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no
+  FROM documents WHERE text IS NOT NULL),
+firsts AS (
+  SELECT line, min(ROW(doc_id, line_no)) AS first_, length(line) AS n FROM lines WHERE length(line) >= 20 GROUP BY line),
+cuts AS (
+  SELECT line, first_, unnest(range(1, n + 1)) AS i FROM firsts),
+forms AS (SELECT line, first_, i, substr(line, 1, i - 1) || substr(line, i + 1) AS form FROM cuts),
+near AS (
+  SELECT a.line, b.first_ AS other FROM forms a JOIN firsts b ON a.form = b.line
+  UNION SELECT b.line, a.first_ FROM forms a JOIN firsts b ON a.form = b.line
+  UNION SELECT a.line, b.first_ FROM forms a JOIN forms b ON a.form = b.form AND a.i = b.i AND a.line <> b.line),
+bounds AS (
+  SELECT f.line, least(f.first_, coalesce(min(n.other), f.first_)) AS earliest FROM firsts f LEFT JOIN near n ON f.line = n.line GROUP BY f.line, f.first_),
+marked AS (
+  SELECT l.doc_id, l.line, l.line_no, coalesce(ROW(l.doc_id, l.line_no) > b.earliest, false) AS gone FROM lines l LEFT JOIN bounds b ON l.line = b.line),
+cleaned AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS text,
+         count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, c.text, coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, html_text, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
+from voxelith.llm import decontam, html_text, linededup, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
 from voxelith.session import ship_code
 
 
@@ -55,6 +55,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_count(base, k) for k in pii.KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.without_repeated_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base, spans = F.filter("spans", lambda s: s["base"]), F.col("spans")
@@ -72,8 +76,9 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
+    "op8_line_dedup": op8_line_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4}
+SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4, "op8_line_dedup": queries_sql.OP8}
