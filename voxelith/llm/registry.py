@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, html_text, linededup, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
+from voxelith.llm import decontam, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
 from voxelith.session import ship_code
 
 
@@ -35,6 +35,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copy_classes(media.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_components(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
+    "op3_media_copies": op3_media_copies,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_files": op5_token_files,
     "op6_quality_classifier": op6_quality_classifier,
