@@ -169,20 +169,20 @@ def shingle_sets(texts: pa.Array, k: int = 5):
 
     A text with fewer than k words has its whole sequence as one; a text without words has none.
     """
-    data, offsets = text_buffers(texts)
-    words, at = word_hashes(data, offsets)
-    long = np.zeros(max(0, len(words) - k + 1), np.uint64)
-    for i in range(k):
-        long += words[i : i + len(long)] * _STEP[i]
-    long = mix(long)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b - a >= k:
-            yield np.unique(long[a : b - k + 1])
-        elif b > a:
-            part = sum((int(w) * int(c) for w, c in zip(words[a:b], _STEP, strict=False)), int(b - a) * 0x2545F4914F6CDD1D) & (2**64 - 1)
-            yield mix(np.array([part], np.uint64))
-        else:
-            yield np.zeros(0, np.uint64)
+    for i, j in pieces(texts):
+        words, at = word_hashes(*text_buffers(texts[i:j]))
+        long = np.zeros(max(0, len(words) - k + 1), np.uint64)
+        for n in range(k):
+            long += words[n : n + len(long)] * _STEP[n]
+        long = mix(long)
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if b - a >= k:
+                yield np.unique(long[a : b - k + 1])
+            elif b > a:
+                part = sum((int(w) * int(c) for w, c in zip(words[a:b], _STEP, strict=False)), int(b - a) * 0x2545F4914F6CDD1D) & (2**64 - 1)
+                yield mix(np.array([part], np.uint64))
+            else:
+                yield np.zeros(0, np.uint64)
 
 
 def pieces(texts: pa.Array, limit: int = 2 << 20):

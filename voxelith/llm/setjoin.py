@@ -10,9 +10,9 @@ which counts double. Indexing EXTRA more keys makes similar sets meet that many
 often enough are verified exactly on their shingles.
 
 Equal sets are one node from the start. Within a segment's bucket, members are first compared with one
-leader (rows grow with the bucket, not with its square). Components of these links leave only buckets that
-hold several components; pairs between different components are counted over those, which hold all their
-meetings, and verified if they meet as often as similar sets must. So no link between components is lost
+leader (rows grow with the bucket, not with its square), a few times over. Components of these links leave
+only buckets that hold several components; pairs between different components are counted over those, which
+hold all their meetings, and verified if they meet as often as similar sets must. So no link between components is lost
 and no group of copies is expanded.
 """
 
@@ -35,6 +35,8 @@ BAND = 4
 FREQUENT_MAX = 2_000_000
 #: Keys indexed beyond H + 1, as a share of the set.
 EXTRA = 0.06
+#: Times that what lies between components is compared with leaders before all that is left is.
+ROUNDS = 3
 #: Nodes at most of which a list is broadcast to filter sets before they are shuffled; beyond that the filter is a shuffled join.
 LISTED_MAX = 2_000_000
 #: A segment's content counts as frequent from this many sets on.
@@ -241,45 +243,47 @@ def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     frequent = frequent_contents(profiles)
     keyed = index_rows(docs, sim, k, frequent).select("node", "need", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    shared = keyed.withColumns({"leader": F.min("node").over(bucket), "last": F.max("node").over(bucket)}).filter("leader <> last")
-    shared = stored(shared.select("key", "node", "need", "leader").distinct(), "buckets")
-
-    # each set with the leader that it meets most often, where they meet often enough to be promising
-    met = shared.filter("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
-    best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links, tried = _verify(docs, k, stored(best, "pairs"), sim)
-    comps = connected_components(links)
-
-    # pairs between components, over the buckets that hold several
-    held = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi").select("key", "node", "need", "comp")
-    mixed = stored(mixed, "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
+    shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "least": F.min("need").over(bucket)}).filter("lo <> hi")
+    shared = stored(shared.select("key", "node", "need", "least").distinct(), "buckets")
+
+    # sets that meet others too seldom to be similar to any are done
+    nodes = stored(shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("least").alias("least")).filter("degree >= least").select("node", "degree"), "nodes")
+    rows = stored(shared.join(small(nodes, LISTED_MAX), "node").select("key", "node", "need", "degree", F.col("node").alias("comp")), "rows")
+    sets = stored(member_rows(docs, k, nodes.select("node")), "sets", "lz4")
+    drop_stored(shared)
+
+    # each set with the leader that it meets most often; a bucket's leader is the member that meets most sets, which of a group of
+    # edited copies is the original
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    for _ in range(ROUNDS):
+        led = rows.withColumn("leader", F.max(F.struct("degree", "node", "comp", "need")).over(bucket)).filter("leader.comp <> comp")
+        met = led.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("need", "leader.need")).alias("need"))
+        best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+        links = stored(links.unionByName(verified(best, sets, sim)), "links")
+        comps = connected_components(links)
+        held = rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi")
+        fewer = stored(several.select("key", "node", "need", "degree", "comp"), "rows")
+        drop_stored(rows)
+        rows = fewer
+
+    # what is left: all pairs between components, over the buckets that still hold several
+    x, y = rows.alias("x"), rows.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
-    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.least(F.first("x.need"), F.first("y.need")).alias("need"))
-    cross = cross.filter("n >= need").select("a", "b").join(tried, ["a", "b"], "left_anti")
-    more, _ = _verify(docs, k, stored(cross, "pairs"), sim)
-    comps = connected_components(links.unionByName(more))
+    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
+    rows_left = rows
+    comps = connected_components(links.unionByName(verified(cross.filter("n >= need").select("a", "b"), sets, sim)))
 
     rows = profiles.filter("kind = 0").select("doc_id", "text_key", "n", "node")
     first = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_node = stored(ids.join(least, "comp").select("node", "component_id"), "components-by-set")
-    drop_stored(shared, mixed)
+    drop_stored(rows_left, sets)
     out = rows.join(by_node, "node", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verify(docs: DataFrame, k: int, pairs: DataFrame, sim: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Links among `pairs`, a stored table, and the pairs themselves."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(member_rows(docs, k, nodes), "sets", "lz4")
-    links = stored(verified(pairs, sets, sim), "links")
-    drop_stored(sets)
-    return links, pairs
-
-
 def similar_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 

@@ -1,4 +1,495 @@
 """Queries over the given tables, one for each operator, and their DuckDB texts."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelith.functions import columns as fc
+from voxelith.operators import classes as cl
+from voxelith.operators import evaluate as ev
+from voxelith.operators import geometry as geo
+from voxelith.operators import grid, jobs, resample, tiles
+from voxelith.plans import flagship as fl
+from voxelith.plans.sql import query_texts
+from voxelith.plans.views import CLASSES, fold_weights, logits, view
+from voxelith.sources import roundtrip
+
+PATCH, RATIO = (8, 8, 8), 0.5
+TIERS = [(8, 8, 8), (6, 6, 8), (4, 4, 6)]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r7(c):
+    return F.round(c, 7)
+
+
+def r7_off_ties(c):
+    """Rounded a little off the halves: resampled values with few decimals often lie exactly on one."""
+    return F.round(F.col(c) + 3e-9, 7)
+
+
+# ---- headers and geometry ----
+
+
+@query
+def header_validate(s, d):
+    return geo.header_status(view(s, d, "rawhdr")).select("vol", "status")
+
+
+@query
+def default_affine(s, d):
+    return geo.default_affine(view(s, d, "hdr").select("vol", "n0", "n1", "n2")).select("vol", *geo.AFFINE)
+
+
+@query
+def detect_format(s, d):
+    return view(s, d, "jobs").select("job_id", jobs.file_format(F.col("path")).alias("format"), jobs.is_image(F.col("path")).alias("is_image"))
+
+
+@query
+def linear_index(s, d):
+    v = view(s, d, "vox").withColumn("i", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)))
+    z, y, x = fc.from_linear(F.col("i"), F.lit(10), F.lit(15))
+    return v.select("vol", "i", z.alias("z2"), y.alias("y2"), x.alias("x2"))
+
+
+@query
+def major_order(s, d):
+    """Offset of each voxel with x fastest, and with z fastest."""
+    v = view(s, d, "vox")
+    return v.select("vol", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)).alias("row_major"), fc.linear_index(F.col("x"), F.col("y"), F.col("z"), F.lit(10), F.lit(10)).alias("col_major"), "val")
+
+
+def _raw(s, d):
+    h = view(s, d, "rawhdr")
+    return h.withColumns({f"s{i}{j}": F.lit(float((i + 1) * (j + 2))) * (1 + F.col("vol") % 4) for i in range(3) for j in range(4)})
+
+
+@query
+def affine_select(s, d):
+    return geo.select_affine(_raw(s, d)).select("vol", *(r7(c).alias(c) for c in geo.AFFINE))
+
+
+@query
+def affine_quaternion(s, d):
+    return geo.quaternion_affine(view(s, d, "rawhdr")).select("vol", *(r7(c).alias(c) for c in geo.AFFINE))
+
+
+@query
+def axes_to_canonical(s, d):
+    return geo.axes_to_canonical(view(s, d, "hdr")).select("vol", "d0", "d1", "d2", "g0", "g1", "g2")
+
+
+def _hdr_voxels(s, d):
+    h = view(s, d, "hdr")
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = h.select("vol", "n1", "n2", axis("n0").alias("i0")).select("vol", "i0", "n2", axis("n1").alias("i1")).select("vol", "i0", "i1", axis("n2").alias("i2"))
+    return h, v.withColumn("val", (F.col("i0") + 10 * F.col("i1") + 100 * F.col("i2")).cast("double"))
+
+
+@query
+def reorient_to_ras(s, d):
+    h, v = _hdr_voxels(s, d)
+    return geo.to_canonical(v, geo.axes_to_canonical(h)).select("vol", "z", "y", "x", "val")
+
+
+@query
+def reorient_from_ras(s, d):
+    h, v = _hdr_voxels(s, d)
+    axes = geo.axes_to_canonical(h)
+    return geo.from_canonical(geo.to_canonical(v, axes), axes).select("vol", "i0", "i1", "i2", "val")
+
+
+@query
+def affine_canonical(s, d):
+    out = geo.canonical_affine(geo.axes_to_canonical(view(s, d, "hdr")))
+    return out.select("vol", *(r7(f"c{r}{c}").alias(f"c{r}{c}") for r in range(3) for c in range(4)))
+
+
+@query
+def zooms(s, d):
+    return geo.zooms(view(s, d, "hdr")).select("vol", *(r7(f"z{i}").alias(f"z{i}") for i in range(3)))
+
+
+@query
+def rescale(s, d):
+    h = view(s, d, "rawhdr")
+    return h.select("vol", geo.rescaled(F.col("vol") % 7 + 0.5, F.col("scl_slope"), F.col("scl_inter")).alias("val"))
+
+
+@query
+def dtype_lookup(s, d):
+    t = s.createDataFrame([x[:3] for x in geo.DTYPES], "datatype int, type_name string, bits int")
+    return view(s, d, "rawhdr").select("vol", "datatype").join(F.broadcast(t), "datatype", "left").select("vol", "datatype", "type_name", "bits")
+
+
+@query
+def out_header(s, d):
+    h = geo.output_header(view(s, d, "hdr"))
+    return h.select("vol", "n0", "n1", "n2", *(r7(f"v{i}").alias(f"v{i}") for i in range(3)), "data_type", "bit_depth")
+
+
+# ---- boxes and grids ----
+
+
+@query
+def nonzero_bbox(s, d):
+    return grid.nonzero_bbox(view(s, d, "vox"))
+
+
+@query
+def crop_nonzero(s, d):
+    v = view(s, d, "vox")
+    return grid.crop(v, grid.nonzero_bbox(v))
+
+
+@query
+def zscore(s, d):
+    return fl.prepared(s, d)[0].select("vol", "z", "y", "x", r7("val").alias("val"))
+
+
+@query
+def target_shape(s, d):
+    return grid.target_shape(view(s, d, "volmeta"), 0.75).select("vol", "tz", "ty", "tx")
+
+
+def _cropped(s, d):
+    v = view(s, d, "vox")
+    bbox = grid.nonzero_bbox(v)
+    return grid.crop(v, bbox), bbox, bbox.select("vol", *((F.col(f"{k}hi") - F.col(f"{k}lo")).alias(f"n{k}") for k in "zyx"))
+
+
+@query
+def pad_to_patch(s, d):
+    v, _, shape = _cropped(s, d)
+    return grid.pad_to(v, shape, PATCH)
+
+
+@query
+def unpad(s, d):
+    v, _, shape = _cropped(s, d)
+    return grid.unpad(grid.pad_to(v, shape, PATCH), shape, PATCH)
+
+
+def _labels(s, d):
+    v, bbox, _ = _cropped(s, d)
+    return v.select("vol", "z", "y", "x", (F.floor(F.col("val")) % 18).cast("int").alias("label")), bbox
+
+
+@query
+def uncrop_labels(s, d):
+    labels, bbox = _labels(s, d)
+    return grid.uncrop_labels(labels, bbox, view(s, d, "volmeta"), cl.AIR)
+
+
+@query
+def uncrop_tpm(s, d):
+    labels, bbox = _labels(s, d)
+    tpm = labels.select("vol", "z", "y", "x", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda c: F.when(c == F.col("label") % 6, 0.75).otherwise(0.05)).alias("p"))
+    out = grid.uncrop_tpm(tpm, bbox, view(s, d, "volmeta"), 6, cl.AIR)
+    return out.select("vol", "z", "y", "x", F.posexplode("p").alias("c", "p"))
+
+
+@query
+def upsample_place(s, d):
+    v, bbox, shape = _cropped(s, d)
+    meta = view(s, d, "volmeta")
+    fine = resample.resample(v, grid.target_shape(shape.join(meta.select("vol", "sz", "sy", "sx"), "vol"), 0.75), 1)
+    return grid.place_upsampled(fine, bbox, meta, 0.75).select("vol", "z", "y", "x", r7_off_ties("val").alias("val"))
+
+
+@query
+def upsample_affine(s, d):
+    out = geo.upsampled_affine(geo.zooms(view(s, d, "hdr")), 0.75)
+    return out.select("vol", *(r7(f"u{r}{c}").alias(f"u{r}{c}") for r in range(3) for c in range(4)))
+
+
+# ---- resampling ----
+
+
+@query
+def resample_taps(s, d):
+    meta = grid.target_shape(view(s, d, "volmeta"), 0.75)
+    rows = [resample.tap_table(meta, o).withColumn("ord", F.lit(o)) for o in (1, 3)]
+    return rows[0].unionByName(rows[1]).select("vol", "ord", "k", "tap", "i", r7("w").alias("w"))
+
+
+def _resampled(s, d, order):
+    shape = view(s, d, "volmeta").select("vol", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
+    return resample.resample(view(s, d, "vox"), shape, order).select("vol", "z", "y", "x", r7_off_ties("val").alias("val"))
+
+
+@query
+def resample_linear(s, d):
+    return _resampled(s, d, 1)
+
+
+@query
+def resample_cubic(s, d):
+    return _resampled(s, d, 3)
+
+
+@query
+def resample_logits(s, d):
+    shape = view(s, d, "volmeta").select("vol", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
+    v = view(s, d, "vox").select("vol", "z", "y", "x", F.array(F.col("val"), 2 * F.col("val") + F.col("x"), F.col("y").cast("double")).alias("logits"))
+    out = resample.resample(v, shape, 1, "logits", 3)
+    return out.select("vol", "z", "y", "x", F.posexplode("logits").alias("c", "v")).withColumn("v", r7_off_ties("v"))
+
+
+# ---- tiles ----
+
+
+@query
+def tile_starts(s, d):
+    t = tiles.with_starts(view(s, d, "volmeta"), PATCH, RATIO)
+    return t.select("vol", F.posexplode("bx").alias("i", "start"))
+
+
+@query
+def tile_starts_fixed(s, d):
+    t = tiles.with_starts(view(s, d, "volmeta"), PATCH, RATIO, tiles.fixed_starts)
+    return t.select("vol", F.posexplode("bx").alias("i", "start"))
+
+
+@query
+def tile_grid(s, d):
+    return tiles.tile_grid(view(s, d, "volmeta"), PATCH, RATIO)
+
+
+@query
+def tile_workload(s, d):
+    return tiles.workload(view(s, d, "volmeta"), TIERS, RATIO)
+
+
+@query
+def extract_tiles(s, d):
+    return tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO)
+
+
+@query
+def gaussian_weights(s, d):
+    t = tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO)
+    return t.select("vol", "tile_id", "lz", "ly", "lx", F.round(tiles.gaussian_weight(PATCH), 9).alias("w"))
+
+
+def _scores(s, d, rule=tiles.starts):
+    t = tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO, rule)
+    return tiles.score_linear(t, fold_weights(s, d, 2, 3), 3)
+
+
+def _long(df, keys, value="logits", digits=6):
+    return df.select(*keys, F.posexplode(value).alias("c", "v")).withColumn("v", F.round("v", digits))
+
+
+@query
+def score_tiles_linear(s, d):
+    return _long(_scores(s, d), ["vol", "tile_id", "fold", "z", "y", "x"])
+
+
+@query
+def channel_check(s, d):
+    return tiles.channel_check(_scores(s, d), 3)
+
+
+@query
+def blend_gaussian(s, d):
+    return _long(tiles.blend(_scores(s, d), PATCH, 3), ["vol", "z", "y", "x", "complete"])
+
+
+@query
+def blend_uniform(s, d):
+    return _long(tiles.blend_uniform(_scores(s, d, tiles.fixed_starts), 3), ["vol", "z", "y", "x"])
+
+
+@query
+def expand_folds(s, d):
+    return jobs.expand_folds(view(s, d, "jobs"))
+
+
+# ---- classes ----
+
+
+def _mean(s, d):
+    return cl.ensemble_mean(logits(s, d), ["vec_id"], CLASSES)
+
+
+@query
+def ensemble_mean(s, d):
+    return _long(_mean(s, d), ["vec_id"], digits=7)
+
+
+@query
+def argmax_label(s, d):
+    return _mean(s, d).select("vec_id", cl.argmax(F.transform("logits", lambda v: F.round(v, 7))).alias("label"))
+
+
+@query
+def softmax(s, d):
+    return _long(_mean(s, d).withColumn("p", cl.softmax(F.col("logits"))), ["vec_id"], "p", 9)
+
+
+@query
+def softmax_temperature(s, d):
+    return _long(_mean(s, d).withColumn("p", cl.softmax(F.col("logits"), 2.5)), ["vec_id"], "p", 9)
+
+
+@query
+def merge_classes_tpm(s, d):
+    return _long(_mean(s, d).withColumn("p", cl.merge(cl.softmax(F.col("logits")))), ["vec_id"], "p", 9)
+
+
+@query
+def merge_classes_label(s, d):
+    return _mean(s, d).select("vec_id", cl.merged_argmax(F.col("logits")).alias("label"))
+
+
+@query
+def remap_labels(s, d):
+    return view(s, d, "lab").select("vol", "z", "y", "x", cl.remap(F.col("ref")).alias("label"))
+
+
+@query
+def merge_vs_remap(s, d):
+    m = _mean(s, d).select(cl.merged_argmax(F.col("logits")).alias("merged"), cl.remap(cl.argmax(F.col("logits"))).alias("remapped"))
+    return m.groupBy("merged", "remapped").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def label_names(s, d):
+    counts = view(s, d, "lab").groupBy("vol", F.col("ref").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    out = cl.named(counts, cl.label_table(s), "tissue18")
+    return out.select("vol", "label", "n", "token", "name", "src_label", *(F.col("rgba")[i].alias(c) for i, c in enumerate(("red", "green", "blue", "alpha"))))
+
+
+@query
+def nonfinite_guard(s, d):
+    spoiled = logits(s, d).withColumn("logits", F.transform("logits", lambda v, c: F.when((F.col("vec_id") % 11 == 0) & (c == 3), float("nan")).when((F.col("vec_id") % 13 == 0) & (c == 5), float("inf")).otherwise(v)))
+    return cl.nonfinite(spoiled, ["fold"])
+
+
+@query
+def tpm_sum_check(s, d):
+    p = _mean(s, d).withColumn("p", cl.softmax(F.col("logits"))).withColumn("m", cl.merge(F.col("p")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+    return p.agg(F.count(F.lit(1)).alias("n"), F.max(F.round(F.abs(total("p") - 1), 9)).alias("worst"), F.max(F.round(F.abs(total("m") - 1), 9)).alias("worst_merged"), F.sum((cl.argmax(F.col("p")) == cl.argmax(F.col("logits"))).cast("long")).alias("same_label"))
+
+
+# ---- evaluation ----
+
+
+def _counts(s, d):
+    return ev.confusion(view(s, d, "lab"))
+
+
+@query
+def confusion(s, d):
+    return _counts(s, d)
+
+
+@query
+def dice_per_class(s, d):
+    return ev.dice(_counts(s, d)).withColumn("dice", F.round("dice", 9))
+
+
+@query
+def voxel_agreement(s, d):
+    return ev.agreement(_counts(s, d)).withColumn("agreement", F.round("agreement", 9))
+
+
+@query
+def dice_verdict(s, d):
+    return ev.verdict(ev.dice(_counts(s, d)), 0.87).withColumn("worst", F.round("worst", 9))
+
+
+@query
+def mean_fg_dice(s, d):
+    return ev.mean_foreground(ev.dice(_counts(s, d))).withColumn("mean_dice", F.round("mean_dice", 9))
+
+
+@query
+def shape_check(s, d):
+    a, b = grid.extent(view(s, d, "vox").filter("vol % 4 <> 3")), grid.extent(view(s, d, "vox").filter("not (vol % 3 = 1 and x = 14)"))
+    return ev.shape_check(a, b)
+
+
+def _parity(s, d):
+    two = logits(s, d).groupBy("vec_id").agg(F.max_by("logits", F.when(F.col("fold") == 0, 1)).alias("p"), F.max_by("logits", F.when(F.col("fold") == 1, 1)).alias("r"))
+    near = F.zip_with("p", "r", lambda a, b: a + b * 0.0005 * (F.col("vec_id") % 5))
+    return ev.parity(two.select((F.col("vec_id") % 5).alias("case"), "p", near.alias("q")), cl.argmax)
+
+
+@query
+def logit_parity(s, d):
+    return _parity(s, d).select("case", *(F.round(c, 9).alias(c) for c in ("max_diff", "mean_diff", "median_diff", "agreement")))
+
+
+@query
+def parity_verdict(s, d):
+    p = _parity(s, d)
+    gates = F.explode(F.array(F.struct(F.lit("cpu").alias("name"), F.lit(1e-3).alias("gate")), F.struct(F.lit("gpu").alias("name"), F.lit(1e-2).alias("gate"))))
+    out = p.select("case", "agreement", "max_diff", gates.alias("g"))
+    return out.select("case", F.col("g.name").alias("gate"), ev.parity_verdict(F.col("agreement"), F.col("max_diff"), F.col("g.gate")).alias("verdict"))
+
+
+@query
+def class_counts(s, d):
+    return ev.class_counts(view(s, d, "lab").select("vol", F.col("ref").alias("label")))
+
+
+@query
+def type_histogram(s, d):
+    return ev.type_histogram(view(s, d, "types"))
+
+
+@query
+def runtime_ratio(s, d):
+    out = ev.runtime_ratio(view(s, d, "types"), "click", "view", "purchase")
+    return out.withColumns({c: F.round(c, 9) for c in ("base_ratio", "speedup")})
+
+
+# ---- files ----
+
+
+@query
+def ingest_nifti(s, d):
+    return roundtrip.ingest_nifti(s, d)
+
+
+@query
+def export_roundtrip(s, d):
+    return roundtrip.labels_roundtrip(s, d)
+
+
+@query
+def export_tpm(s, d):
+    return roundtrip.tpm_roundtrip(s, d)
+
+
+@query
+def ingest_jnii(s, d):
+    return roundtrip.jnii_roundtrip(s, d, shuffle=1)
+
+
+@query
+def export_jnii(s, d):
+    return roundtrip.jnii_roundtrip(s, d, shuffle=4)
+
+
+# ---- the whole chain ----
+
+
+@query
+def flagship_pipeline(s, d):
+    return fl.flagship(s, d)
+
+
+SQL = query_texts()

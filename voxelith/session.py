@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,19 @@ def ship_code(spark: SparkSession) -> None:
             z.write(p, p.relative_to(PACKAGE.parent))
     sc.addPyFile(path)
     sc._voxelith_shipped = True
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one in local tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='voxelith-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
