@@ -75,13 +75,15 @@ def gaussian_weight(patch: Patch) -> Column:
     return F.when(w == 0, least).otherwise(w)
 
 
-def score_linear(tiles: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
-    """tiles with fold and logits: w[c] * val + b[c] + 0.01 * tile_id * (c % 3), for each row (fold, w, b) of `weights`.
+def score_linear(tiles: DataFrame, weights: list[tuple[int, list[float], list[float]]], classes: int) -> DataFrame:
+    """tiles with fold and logits: w[c] * val + b[c] + 0.01 * tile_id * (c % 3) for each (fold, w, b) of `weights`.
 
-    A scorer that needs no model, in place of a plugged-in one; `weights` has one row for each fold.
+    A scorer that needs no model, in place of a plugged-in one. The weights are literals, so folds are exploded
+    in place and nothing is joined.
     """
-    one = lambda c: F.col("w")[c] * F.col("val") + F.col("b")[c] + 0.01 * F.col("tile_id") * (c % 3)
-    return tiles.join(F.broadcast(weights), how="cross").withColumn("logits", F.array(*(one(c) for c in range(classes)))).drop("w", "b")
+    one = lambda w, b, c: F.lit(w[c]) * F.col("val") + F.lit(b[c]) + 0.01 * F.col("tile_id") * (c % 3)
+    folds = F.array(*(F.struct(F.lit(fold).alias("fold"), F.array(*(one(w, b, c) for c in range(classes))).alias("logits")) for fold, w, b in weights))
+    return tiles.withColumn("scored_", F.explode(folds)).select(*tiles.columns, "scored_.fold", "scored_.logits")
 
 
 def score_with(bricks: DataFrame, scorer: Callable, schema: str) -> DataFrame:

@@ -68,9 +68,8 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "fold", part.alias("logits"), "label")
 
 
-def fold_weights(spark: SparkSession, sf_dir: str, folds: int, classes: int) -> DataFrame:
-    """fold, w, b of the linear scorer: numbers of vectors 0 and 1. One row for each fold."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id in (0, 1)")
-    both = e.agg(F.max_by("embedding", F.when(F.col("vec_id") == 0, 1)).alias("w"), F.max_by("embedding", F.when(F.col("vec_id") == 1, 1)).alias("b"))
-    part = lambda c: F.transform(F.slice(c, F.col("fold") * CLASSES + 1, classes), lambda v: v.cast("double"))
-    return both.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"), "w", "b").select("fold", part("w").alias("w"), part("b").alias("b"))
+def fold_weights(spark: SparkSession, sf_dir: str, folds: int, classes: int) -> list[tuple[int, list[float], list[float]]]:
+    """(fold, w, b) of the linear scorer: numbers of vectors 0 and 1, two rows of the table."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter("vec_id in (0, 1)").select("vec_id", "embedding")
+    v = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in e.collect()}
+    return [(f, v[0][f * CLASSES : f * CLASSES + classes], v[1][f * CLASSES : f * CLASSES + classes]) for f in range(folds)]
