@@ -12,6 +12,7 @@ Documents are range-partitioned by id, so files follow each other in ascending o
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -138,66 +139,100 @@ class Reader:
 # ---- tokens ----
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level tokenizers write each byte as a character: visible ones as themselves, the others from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in seen else next(rest)) for b in range(256)}
+
+
 class WordTokenizer:
-    """Encodes texts word by word and remembers words.
+    """Encodes texts word by word and remembers words, for word_bpe files (lower-cased, byte-level, white space dropped).
 
-    For a tokenizer whose pre-tokenizer never joins characters across ASCII white space, or an ASCII letter
-    with a mark that follows it, the ids of a text are those of its pieces in a row; each distinct piece is
-    encoded once while it is remembered. Pieces are told apart by 64-bit hashes of their bytes.
+    Their pre-tokenizer never joins characters across ASCII white space, or an ASCII letter with a mark that
+    follows it, so the ids of a text are those of its pieces in a row; each distinct piece is encoded once
+    while it is remembered. Pieces are told apart by 64-bit hashes of their bytes, A-Z lower-cased. A piece of
+    ASCII and Latin-1 letters is one word to the tokenizer and goes to its BPE model directly; any other piece
+    goes through the whole tokenizer, and so does a text that spells out an added token.
     """
 
-    REMEMBERED = 1_000_000
+    REMEMBERED = 600_000
     _LETTER = np.zeros(256, bool)
     _LETTER[[*range(65, 91), *range(97, 123)]] = True
     _MARK = np.zeros(256, bool)
     _MARK[list(b".,!?;:")] = True
+    _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    _BYTES = _byte_letters()
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.pool = np.zeros(1 << 16, self.type)
-        self.at = np.zeros(1 << 16, np.int64)  # of each remembered piece: where its ids end in the pool
+        self.at = np.zeros(1 << 16, np.int32)  # of each remembered piece: where its ids end in the pool
         self.used = 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n, m = len(self.known), sum(map(len, ids))
+    def _learn(self, hashes: list[int], texts: list[str], ascii_letters: list[bool]) -> None:
+        """Encode pieces, given in lower case as far as A-Z goes, and remember them."""
+        flat: list[int] = []
+        ends = []
+        model, whole = self.model.tokenize, self.tokenizer.encode
+        for x, plain in zip(texts, ascii_letters, strict=True):
+            if plain:
+                flat += [t.id for t in model(x)]
+            elif self._PLAIN.fullmatch(x):
+                flat += [t.id for t in model(x.lower().encode().decode("latin-1").translate(self._BYTES))]
+            else:
+                flat += whole(x, add_special_tokens=False).ids
+            ends.append(len(flat))
+        n, m = len(self.known), len(flat)
         while self.used + m > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(ids) + 1 > len(self.at):
+        while n + len(ends) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.pool[self.used : self.used + m] = [i for x in ids for i in x]
-        self.at[n + 1 : n + 1 + len(ids)] = self.used + np.cumsum([len(x) for x in ids])
+        self.pool[self.used : self.used + m] = flat
+        self.at[n + 1 : n + 1 + len(ends)] = self.used + np.array(ends)
         self.used += m
-        self.known.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.known.update(zip(hashes, range(n, n + len(ends)), strict=True))
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
         """Ids of each text, with `end_id` after them."""
-        for i, j in pieces(texts, 1 << 20):
+        for i, j in pieces(texts, 1 << 19):
             if len(self.known) > self.REMEMBERED:
                 self.forget()
-            data, offsets = text_buffers(texts[i:j])
+            part = texts[i:j]
+            data, offsets = text_buffers(part)
+            raw = data.tobytes()
+            if any(x.encode() in raw for x in self.added):
+                for x in part.to_pylist():
+                    yield np.array([*self.tokenizer.encode(x or "", add_special_tokens=False).ids, end_id], self.type)
+                continue
             cuts = np.flatnonzero(self._LETTER[data[:-1]] & self._MARK[data[1:]]) + 1
-            words, at, first, last = word_hashes(data, offsets, lower=False, cuts=cuts, ends=True)
+            words, at, first, last = word_hashes(data, offsets, cuts=cuts, ends=True)
             distinct, where, back = np.unique(words, return_index=True, return_inverse=True)
             keys = distinct.tolist()
             new = [k for k, h in enumerate(keys) if h not in self.known]
             if new:
-                raw = data.tobytes()
-                self._learn([keys[k] for k in new], [raw[first[where[k]] : last[where[k]]].decode() for k in new])
-            slot = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[back]
-            n = self.at[slot + 1] - self.at[slot]
-            ends = np.cumsum(n)
-            ids = self.pool[np.repeat(self.at[slot] - (ends - n), n) + np.arange(n.sum())]
-            bounds = np.concatenate([[0], ends])[at]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield np.append(ids[a:b], self.type(end_id))
+                a, b = first[where[new]], last[where[new]]
+                other = np.concatenate([[0], np.cumsum(~self._LETTER[data], dtype=np.int32)])
+                low = raw.lower()
+                self._learn([keys[k] for k in new], [low[x:y].decode() for x, y in zip(a.tolist(), b.tolist(), strict=True)], (other[a] == other[b]).tolist())
+            slot = np.fromiter(map(self.known.__getitem__, keys), np.int32, len(keys))
+            n = (self.at[slot + 1] - self.at[slot])[back]
+            ends = np.cumsum(n, dtype=np.int32)
+            ids = self.pool[np.repeat(self.at[slot][back] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+            bounds = np.concatenate([[0], ends])[at].tolist()
+            for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+                out = np.empty(y - x + 1, self.type)
+                out[:-1], out[-1] = ids[x:y], end_id
+                yield out
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
