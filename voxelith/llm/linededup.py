@@ -6,8 +6,8 @@ variant: each as it is, or with one character left out. Variants are hashed keys
 pairs are verified by edit distance.
 
 Two strings within one edit also agree in one half: up to the middle before the edit, or from the middle
-after it. So only lines that share a half with another line emit variants at all; the others' variants
-could match nothing that the check would keep. Equal lines are one row from the start, held by their
+after it. So only lines that share a half with another line emit variants at all, and only of what lies
+outside that half, keyed together with it; other variants could match nothing that the check would keep. Equal lines are one row from the start, held by their
 earliest place, so copies and very common lines add nothing to the joins. Buckets of equal variants are
 matched with a bucket's members one to one with their lines; a line needs only the earliest place among the
 lines near it.
@@ -41,16 +41,22 @@ def place() -> Column:
 
 
 def halves(line: Column, n: Column) -> Column:
-    """Hashes of the halves of which a line within one edit shares one: cut at half of the shorter line's length, from either end."""
+    """(side, cut, half): the halves of which a line within one edit shares one, cut at half of the shorter line's length from either end."""
     cuts = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    ends = F.transform(cuts, lambda m: F.array(F.xxhash64(F.lit("b"), m, F.substring(line, F.lit(1), m)), F.xxhash64(F.lit("a"), m, F.substring(line, n - m + 1, m))))
-    return F.flatten(ends)
 
+    def both(m: Column) -> Column:
+        end = lambda side, part: F.struct(F.lit(side).alias("side"), m.alias("cut"), F.xxhash64(F.lit(side), m, part).alias("half"))
+        return F.array(end("b", F.substring(line, F.lit(1), m)), end("a", F.substring(line, n - m + 1, m)))
 
-def variants(line: Column, n: Column) -> Column:
-    """Keys of the line and of each of its forms with one character left out."""
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, n)))
-    return F.transform(F.array_distinct(F.array_append(cut, line)), lambda s: F.xxhash64(s))
+    return F.flatten(F.transform(cuts, both))
+
+
+def variants(line: Column, n: Column, h: Column) -> Column:
+    """Keys of what lies outside a shared half, as it is and with each one character left out, together with the half."""
+    rest = F.when(h["side"] == "b", F.substring(line, h["cut"] + 1, n)).otherwise(F.substring(line, F.lit(1), n - h["cut"]))
+    size = n - h["cut"]
+    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(h["half"], F.concat(F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, size))))
+    return F.array_distinct(F.array_append(cut, F.xxhash64(h["half"], rest)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -60,15 +66,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     # distinct lines that share a half with another one
     n = F.length("line")
-    shared = keyed.select(F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("k"), F.explode(halves(F.col("line"), n)).alias("half")).groupBy("half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    shared = keyed.select(F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("k"), F.explode(F.transform(halves(F.col("line"), n), lambda h: h["half"])).alias("half")).groupBy("half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     shared = stored(shared.filter("lo <> hi").select("half"), "shared-halves")
-    close = keyed.withColumn("half", F.explode(halves(F.col("line"), n))).join(small(shared, HALVES_MAX), "half", "left_semi")
-    close = stored(close.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.min("line").alias("line")).withColumn("n", F.length("line")), "close-lines")
+    close = keyed.withColumn("part", F.explode(halves(F.col("line"), n))).join(small(shared, HALVES_MAX), F.col("part.half") == F.col("half"), "left_semi")
+    close = stored(close.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.min("line").alias("line"), F.collect_set("part").alias("parts")), "close-lines")
 
     # equal variants, verified
-    emitted = close.select("k1", "k2", "line", F.explode(variants(F.col("line"), F.col("n"))).alias("variant"))
+    emitted = close.select("k1", "k2", "line", F.explode("parts").alias("part")).repartition("k1", "k2")
+    emitted = stored(emitted.select("k1", "k2", F.explode(variants(F.col("line"), F.length("line"), F.col("part"))).alias("variant")), "emitted")
     own = emitted.groupBy("variant").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("variant")
-    met = stored(emitted.select("k1", "k2", "variant").join(own, "variant", "left_semi"), "variants")
+    met = stored(emitted.join(own, "variant", "left_semi"), "variants")
     x, y = met.alias("x"), met.alias("y")
     pairs = x.join(y, (F.col("x.variant") == F.col("y.variant")) & ((F.col("x.k1") < F.col("y.k1")) | ((F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") < F.col("y.k2")))))
     pairs = pairs.select(*(F.col(f"{s}.{k}").alias(f"{s}{k}") for s in "xy" for k in ("k1", "k2"))).distinct()
@@ -86,7 +93,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     bound = stored(bound, "earliest")
     gone = keyed.select("doc_id", "text_key", "line_no", "k1", "k2").join(small(bound, BOUNDS_MAX), ["k1", "k2"]).filter(place() > F.col("earliest"))
     gone = stored(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("removed")), "removed-lines")
-    drop_stored(shared, close, met, near, bound)
+    drop_stored(shared, close, emitted, met, near, bound)
     return gone
 
 
