@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.llm import decontam, mixing, quality, setjoin, tokenfile
-from voxelith.llm.common import new_path
-from voxelith.session import ship_code
+from voxelith.session import new_path, ship_code
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -175,7 +175,6 @@ def main_node(top: Node) -> Node | None:
     threshold = min(x.density for x in path)
     named = [x for x in order if x.main and x.chars and x.density >= threshold] or [x for x in order if x.main and x.chars]
     articles = [x for x in named if x.tag == "article"] or named
-    region = None
     if articles:
         region = max(articles, key=lambda x: x.chars)
         up = region.up
@@ -184,7 +183,7 @@ def main_node(top: Node) -> Node | None:
                 region = up
             up = up.up
         return region
-    best = max((x for x in order if x.density >= threshold and x.chars), key=lambda x: (max(x.total, x.density), -len(path)), default=None)
+    best = max((x for x in order if x.density >= threshold and x.chars), key=lambda x: max(x.total, x.density), default=None)
     return best or order[-1]
 
 

@@ -165,7 +165,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Boosted:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for x in b.column(0) for r in _examples((x.as_py() or "")[:])]
+            rows = [r for x in b.column(0) for r in _examples(x.as_py() or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.float64()))], ["label", "x"])
 
     share = min(1.0, sample / max(1, n))

@@ -24,7 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import logical_cores, new_path, pieces, stored, text_buffers, word_hashes
+from voxelith.llm.common import logical_cores, pieces, stored, text_buffers, word_hashes
+from voxelith.session import new_path
+from voxelith.sources.files import open_file
 
 SEEK_MAGIC, SEEK_FOOTER, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 #: Bytes of ids after which a frame is closed.
@@ -33,26 +35,6 @@ FRAME = 1 << 20
 NULL_ID = -(1 << 63)
 
 
-# ---- file system ----
-
-
-def open_file(uri: str, mode: str):
-    """A file by path or URI; other schemes than file: go through pyarrow's file systems."""
-    if uri.startswith("file:"):
-        uri = uri[5:]
-        uri = "/" + uri.lstrip("/")
-    if "://" not in uri:
-        if mode == "wb":
-            import os
-
-            os.makedirs(os.path.dirname(uri), exist_ok=True)
-        return open(uri, mode)
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_output_stream(path) if mode == "wb" else system.open_input_file(path)
-
-
 # ---- format ----
 
 
