@@ -51,12 +51,15 @@ def halves(line: Column, n: Column) -> Column:
     return F.flatten(F.transform(cuts, both))
 
 
-def variants(line: Column, n: Column, h: Column) -> Column:
-    """Keys of what lies outside a shared half, as it is and with each one character left out, together with the half."""
-    rest = F.when(h["side"] == "b", F.substring(line, h["cut"] + 1, n)).otherwise(F.substring(line, F.lit(1), n - h["cut"]))
-    size = n - h["cut"]
-    cut = F.transform(F.sequence(F.lit(1), size), lambda i: F.xxhash64(h["half"], F.concat(F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, size))))
-    return F.array_distinct(F.array_append(cut, F.xxhash64(h["half"], rest)))
+def outside(line: Column, n: Column, h: Column) -> Column:
+    """What of the line lies outside a half."""
+    return F.when(h["side"] == "b", F.substring(line, h["cut"] + 1, n)).otherwise(F.substring(line, F.lit(1), n - h["cut"]))
+
+
+def variants(rest: Column, n: Column, half: Column) -> Column:
+    """Keys of `rest`, n characters, as it is and with each one left out, together with the half beside it."""
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(half, F.concat(F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, n))))
+    return F.array_distinct(F.array_append(cut, F.xxhash64(half, rest)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -72,8 +75,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     close = stored(close.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.min("line").alias("line"), F.collect_set("part").alias("parts")), "close-lines")
 
     # equal variants, verified
-    emitted = close.select("k1", "k2", "line", F.explode("parts").alias("part")).repartition("k1", "k2")
-    emitted = stored(emitted.select("k1", "k2", F.explode(variants(F.col("line"), F.length("line"), F.col("part"))).alias("variant")), "emitted")
+    # the exchange also keeps the planner from computing `rest` again for each variant
+    emitted = close.select("k1", "k2", "line", F.explode("parts").alias("part"))
+    emitted = emitted.select("k1", "k2", F.col("part.half").alias("half"), outside(F.col("line"), F.length("line"), F.col("part")).alias("rest")).withColumn("n", F.length("rest")).repartition("k1", "k2")
+    emitted = stored(emitted.select("k1", "k2", F.explode(variants(F.col("rest"), F.col("n"), F.col("half"))).alias("variant")), "emitted")
     own = emitted.groupBy("variant").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("variant")
     met = stored(emitted.join(own, "variant", "left_semi"), "variants")
     x, y = met.alias("x"), met.alias("y")
