@@ -10,9 +10,10 @@ which counts double. Indexing EXTRA more keys makes similar sets meet that many
 often enough are verified exactly on their shingles.
 
 Equal sets are one node from the start. Within a segment's bucket, members are first compared with one
-leader (rows grow with the bucket, not with its square), a few times over. Components of these links leave
-only buckets that hold several components; pairs between different components are counted over those, which
-hold all their meetings, and verified if they meet as often as similar sets must. So no link between components is lost
+leader (rows grow with the bucket, not with its square). Components of these links leave only buckets that
+hold several components. Sets that meet the same leader most often are compared by their differences from
+it, which edited copies of one text hardly share; other pairs between components are counted over the
+buckets, which hold all their meetings, and verified if they meet as often as similar sets must. So no link between components is lost
 and no group of copies is expanded.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import drop_stored, mix, shingle_sets, small, stored
+from voxelith.llm.common import drop_stored, mix, pieces, shingle_sets, small, stored
 from voxelith.llm.components import connected_components
 
 #: Bands hold sizes [BAND ** i, BAND ** (i + 1)).
@@ -35,8 +36,6 @@ BAND = 4
 FREQUENT_MAX = 2_000_000
 #: Keys indexed beyond H + 1, as a share of the set.
 EXTRA = 0.06
-#: Times that what lies between components is compared with leaders before all that is left is.
-ROUNDS = 3
 #: Nodes at most of which a list is broadcast to filter sets before they are shuffled; beyond that the filter is a shuffled join.
 LISTED_MAX = 2_000_000
 #: A segment's content counts as frequent from this many sets on.
@@ -123,6 +122,12 @@ def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """A list column of one array of unsigned numbers a row."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), _longs(np.concatenate([np.zeros(0, np.uint64), *parts])))
+
+
 def profile(docs: DataFrame, sim: Similarity, k: int) -> DataFrame:
     """Rows of kind 0: doc_id, text_key, n, node (hashes of the text and of the set) for every document; of kind 1: key, n for contents of segments that several of a task's sets share."""
 
@@ -138,16 +143,18 @@ def profile(docs: DataFrame, sim: Similarity, k: int) -> DataFrame:
             keys, n = keys[n >= 3], n[n >= 3]
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(n.astype(np.int64)), _longs(keys)], names)
 
-        for b in batches:
-            sizes, nodes = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            for i, members in enumerate(shingle_sets(b.column(2), k)):
-                sizes[i], nodes[i] = len(members), (node := _fingerprint(members))
-                if len(members) and node not in seen:
-                    seen.add(node)
-                    held += [keys for *_, keys in schemes(members, sim)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(0), b.column(1), pa.array(sizes), pa.array(nodes)], names)
-            if sum(map(len, held)) > 4_000_000:
-                yield shared()
+        for whole in batches:
+            for i, j in pieces(whole.column(2)):
+                b = whole.slice(i, j - i)
+                sizes, nodes = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+                for r, members in enumerate(shingle_sets(b.column(2), k)):
+                    sizes[r], nodes[r] = len(members), (node := _fingerprint(members))
+                    if len(members) and node not in seen:
+                        seen.add(node)
+                        held += [keys for *_, keys in schemes(members, sim)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(b), np.int8)), b.column(0), b.column(1), pa.array(sizes), pa.array(nodes)], names)
+                if sum(map(len, held)) > 2_000_000:
+                    yield shared()
         yield shared()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -182,58 +189,72 @@ def index_rows(docs: DataFrame, sim: Similarity, k: int, frequent: tuple[np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys_of, counts = held.value
-        for b in batches:
+        for texts in (b.column(0).slice(i, j - i) for b in batches for i, j in pieces(b.column(0))):
             nodes, needs, keys = [], [], []
-            for members in shingle_sets(b.column(0), k):
+            for members in shingle_sets(texts, k):
                 node = _fingerprint(members)
                 if len(members) and node not in seen:
                     seen.add(node)
-                    nodes.append(node)
                     own, need = index_keys(members, sim, keys_of, counts)
+                    nodes.append(node)
                     keys.append(own)
                     needs.append(need)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), _longs(flat))], ["node", "need", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), _lists(keys)], ["node", "need", "keys"])
 
     return docs.select("text").mapInArrow(run, "node long, need int, keys array<long>")
 
 
 def member_rows(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
-    """(node, members) of the sets in `nodes`: sorted hashes of 8 bytes. Only these sets are shuffled while the list is short enough to broadcast."""
+    """(node, members) of the sets in `nodes`: sorted hashes. Only these sets are shuffled while the list is short enough to broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            found, sets = [], []
-            for members in shingle_sets(b.column(0), k):
+        for texts in (b.column(0).slice(i, j - i) for b in batches for i, j in pieces(b.column(0))):
+            nodes, sets = [], []
+            for members in shingle_sets(texts, k):
                 node = _fingerprint(members)
                 if len(members) and node not in seen:
                     seen.add(node)
-                    found.append(node)
-                    sets.append(members.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], ["node", "members"])
+                    nodes.append(node)
+                    sets.append(members)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(sets)], ["node", "members"])
 
-    return docs.select("text").mapInArrow(run, "node long, members binary").join(small(nodes, LISTED_MAX), "node").dropDuplicates(["node"])
+    return docs.select("text").mapInArrow(run, "node long, members array<long>").join(small(nodes, LISTED_MAX), "node").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """Those of `pairs` (a, b) whose sets are similar enough, compared member by member."""
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    size = lambda c: F.octet_length(c)
-    both = pairs.join(left, "a").join(right, "b").filter((100 * F.least(size("x"), size("y")) >= sim.percent * F.greatest(size("x"), size("y"))))
+    x, y = F.size("x"), F.size("y")
+    both = pairs.join(left, "a").join(right, "b").filter(100 * F.least(x, y) >= sim.percent * F.greatest(x, y))
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * common >= sim.percent * (x + y - common)).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(len(b), bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep[i] = 100 * common >= sim.percent * (len(p) + len(q) - common)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns[:2]], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _same_hub(members: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of sets of one hub that may be similar, and sets (a) with their hubs (b). `members`: node, hub, comp.
+
+    Let D be a set's difference from its hub. Two sets differ by what is in only one of their D, and similar
+    sets of p and q members differ by at most c (p + q), c = (100 - percent) / (100 + percent). A set that is
+    not similar to its hub has more than c (p + hub) members in D, so it shares with any similar set b more than
+    half of |D_b| + c (hub - q): one of so few of D_b's rarest members (within the hub's group) is among them.
+    Sets similar to the hub are in its component already or get there by the pair with it.
+    """
+    low, high = 100 - sim.percent, 100 + sim.percent
+    own = members.join(sets.select("node", F.col("members").alias("m")), "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("h")), "hub")
+    apart = own.select("node", "hub", "comp", F.size("m").alias("q"), F.size("h").alias("hub_size"), F.concat(F.array_except("m", "h"), F.array_except("h", "m")).alias("d")).withColumn("n", F.size("d"))
+    apart = stored(apart.withColumn("far", F.expr(f"{high} * n > {low} * (q + hub_size)")), "differences")
+    each = apart.select("hub", "node", "comp", "far", "n", F.expr(f"n - CAST(floor(({high} * n + {low} * (hub_size - q)) / {2 * high}) AS INT)").alias("first"), F.explode("d").alias("e"))
+    counts = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = each.join(counts, ["hub", "e"])
+    # members that no other set of the hub has come first in the order and meet nobody
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    ranked = shared.withColumns({"alone": alone, "rank": F.row_number().over(Window.partitionBy("node").orderBy("k", "e"))})
+    index = ranked.filter("alone + rank <= first").select("hub", "e", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    probe = shared.filter("far").select("hub", "e", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    pairs = probe.join(index, ["hub", "e"]).filter("a <> b and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(apart.filter("not far and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
 def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -254,32 +275,40 @@ def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
 
     # each set with the leader that it meets most often; a bucket's leader is the member that meets most sets, which of a group of
     # edited copies is the original
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    for _ in range(ROUNDS):
-        led = rows.withColumn("leader", F.max(F.struct("degree", "node", "comp", "need")).over(bucket)).filter("leader.comp <> comp")
-        met = led.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("need", "leader.need")).alias("need"))
-        best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-        links = stored(links.unionByName(verified(best, sets, sim)), "links")
-        comps = connected_components(links)
-        held = rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi")
-        fewer = stored(several.select("key", "node", "need", "degree", "comp"), "rows")
-        drop_stored(rows)
-        rows = fewer
-
-    # what is left: all pairs between components, over the buckets that still hold several
-    x, y = rows.alias("x"), rows.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")))
+    led = rows.withColumn("leader", F.max(F.struct("degree", "node", "comp", "need")).over(bucket)).filter("leader.comp <> comp")
+    met = led.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("need", "leader.need")).alias("need"))
+    best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    links = stored(verified(best, sets, sim), "links")
+    comps = connected_components(links)
+    held = rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi")
+    left = stored(several.select("key", "node", "need", "degree", "comp"), "rows")
+    drop_stored(rows)
+    rows = left
+
+    # what is left: pairs between components. A set goes to the leader that it meets most often, or to that one's own; pairs of
+    # one leader that meet it often are compared by what sets them apart from it, all others by the buckets that they share
+    led = rows.withColumn("leader", F.max(F.struct("degree", "node")).over(bucket)["node"])
+    hubs = led.groupBy("node", "need", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by(F.struct(F.col("leader").alias("hub"), (F.col("n") >= F.col("need")).alias("near")), F.struct("n", "leader")).alias("h"))
+    hubs = stored(hubs.select("node", "h.hub", "h.near"), "hubs")
+    up = hubs.filter("near and node <> hub").select(F.col("node").alias("hub"), F.col("hub").alias("top"))
+    hubs = stored(hubs.join(small(up, LISTED_MAX), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"), "near"), "hubs")
+    rest = stored(rows.join(small(hubs, LISTED_MAX), "node"), "rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    apart = (F.col("x.hub") != F.col("y.hub")) | ~F.col("x.near") | ~F.col("y.near")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & apart)
     cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
-    rows_left = rows
-    comps = connected_components(links.unionByName(verified(cross.filter("n >= need").select("a", "b"), sets, sim)))
+    cross = cross.filter("n >= need").select("a", "b")
+    same = _same_hub(rest.filter("near").select("node", "hub", "comp").distinct(), sets, sim)
+    pairs = stored(cross.unionByName(same).distinct(), "pairs")
+    comps = connected_components(links.unionByName(verified(pairs, sets, sim)))
 
     rows = profiles.filter("kind = 0").select("doc_id", "text_key", "n", "node")
     first = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first").alias("component_id"))
     by_node = stored(ids.join(least, "comp").select("node", "component_id"), "components-by-set")
-    drop_stored(rows_left, sets)
+    drop_stored(rest, sets, pairs)
     out = rows.join(by_node, "node", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
