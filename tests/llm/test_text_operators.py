@@ -482,6 +482,48 @@ def test_window_search_equals_brute_force():
     assert want <= got and len(got) <= len(want) + 3
 
 
+def test_benchmark_above_the_rank_equals_brute_force(spark):
+    rng = random.Random(21)
+    items = [words(rng, rng.randrange(20, 60), 6000) for _ in range(1100)]
+    texts = []
+    for w in items[::11]:
+        edited = list(w)
+        edited[len(w) // 3] = edited[len(w) // 2] = f"other{len(texts)}"
+        texts += [" ".join(words(rng, rng.randrange(0, 90), 6000) + form + words(rng, 40, 6000)) for form in (w, edited)]
+    texts += [" ".join(words(rng, 100, 6000)) for _ in range(50)]
+    df, bench = docs(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) >= {(2 * k + e, 11 * k) for k in range(100) for e in (0, 1)}
+
+    idf = decontam.inverse_frequencies(df)
+    assert (idf > 0).all()  # no common words here
+    hashes = [decontam.words_of(pa.array([" ".join(w)]))[0] for w in items]
+    used = np.unique(np.concatenate([decontam.feature(h) for h in hashes]))
+    dense = np.zeros((len(items), len(used)))
+    for i, h in enumerate(hashes):
+        np.add.at(dense[i], np.searchsorted(used, decontam.feature(h)), 1)
+    dense *= idf[used]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    size = np.array([next(s for s in decontam.WINDOWS if len(h) <= s) for h in hashes])
+    want = set()
+    for t, x in enumerate(texts):
+        w = decontam.words_of(pa.array([x]))[0]
+        for s in np.unique(size):
+            for start in range(0, len(w), s // 4):
+                f, n = np.unique(decontam.feature(w[start : start + s]), return_counts=True)
+                v = np.zeros(len(used))
+                known = np.isin(f, used)
+                v[np.searchsorted(used, f[known])] = (n * idf[f])[known]
+                cos = dense @ v / np.linalg.norm(n * idf[f])
+                region = w[max(0, start - s // 2) : start + s + s // 2]
+                for p in np.flatnonzero((cos >= decontam.COSINE) & (size == s)):
+                    overlap = decontam.common_subsequence(hashes[p], region) / len(hashes[p])
+                    answer = decontam.words_of(pa.array([decontam._answer(" ".join(items[p]))]))[0]
+                    if overlap >= decontam.STRONG or overlap >= decontam.WEAK and decontam.common_subsequence(answer, region) >= decontam.ANSWER * len(answer):
+                        want.add((t, int(p)))
+    assert set(got) == want
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5, 1]), np.array([9, 2, 4, 3, 5, 1, 1])
     assert decontam.common_subsequence(a, b) == 4

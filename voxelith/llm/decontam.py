@@ -4,11 +4,13 @@ Benchmark items are cut into passages, weighted by TF-IDF (document frequencies
 documents) and projected by a distributed randomised SVD. Windows of every document are compared with them
 by cosine in that space; a window that comes near is checked word by word: the longest common subsequence
 with the item must cover most of it, or half of it and the item's answer as well. The benchmark is a query
-set: it is searched in blocks of bounded size, each against all documents, so no task ever holds more than
-one block, and the documents are neither shuffled nor sampled.
+set: it is searched in blocks of bounded size, a few of them in one scan of all documents, so no task ever
+holds more than SCAN blocks, and the documents are neither shuffled nor sampled.
 
 The space is spanned by the benchmark's passages, not by the corpus: only the part of a window that lies in
-the span of the queries can add to a cosine with one, while the window's whole weight stays in its norm.
+the span of the queries can add to a cosine with one, while the window's whole weight stays in its norm. A
+block has no more passages than the space has directions, so the projection loses nothing; what rounding or
+an uneven block still leaves out of a passage is kept as its rest and added to the bound on its cosines.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ PASSAGE, PASSAGE_STEP = 48, 32
 #: Items with fewer words than this are not searched: they are no evidence of a leak.
 LEAST_WORDS = 5
 RANK = 256
-#: Passages of a block.
-BLOCK = 20_000
+#: Passages of a block on average, with room up to RANK for uneven ones, and blocks searched in one scan of the documents.
+BLOCK, SCAN = RANK * 3 // 4, 8
 COSINE, STRONG, WEAK, ANSWER = 0.45, 0.7, 0.5, 0.7
 
 _GAP = np.ones(256, bool)
@@ -97,6 +99,7 @@ class Block:
     latent: np.ndarray  # passages x rank, over the passage's norm
     idf: np.ndarray
     peaks: dict  # of each window size: a feature's largest part in one of its passages, times the feature's weight
+    rest: np.ndarray | float = 0.0  # of each passage: the norm of what the space leaves out of it
 
 
 def _answer(text: str) -> str:
@@ -181,23 +184,31 @@ def latent_space(parts: DataFrame, n: int, idf: np.ndarray, place: np.ndarray, f
     return q @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _weights(words: list, idf: np.ndarray) -> np.ndarray:
-    """Weights of the features: none for common ones, unless a passage has hardly any others."""
+def _weights(parts: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """Weights of the features: none for common ones, unless a passage of the query set has hardly any others."""
+    held = parts.sparkSession.sparkContext.broadcast(idf > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, kept = held.value, np.zeros(1 << BITS, bool)
+        for b in batches:
+            for x in b.column(0):
+                f = feature(np.asarray(x.values.to_numpy(), np.int64).view(np.uint64))
+                if np.count_nonzero(rare[f]) < THIN:
+                    kept[f] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(kept), pa.int64())], ["feature"])
+
     keep = idf > 0
-    for w in words:
-        f = feature(w)
-        if np.count_nonzero(idf[f] > 0) < THIN:
-            keep[f] = True
+    keep[parts.select("words").mapInArrow(run, "feature long").distinct().toArrow().column("feature").to_numpy()] = True
     return np.where(keep, np.abs(idf), 0.0)
 
 
 def prepare(parts: DataFrame, idf: np.ndarray) -> Block | None:
+    """The block of the passages `parts`; `idf` has the weights of the features."""
     rows = parts.toArrow()
     if not rows.num_rows:
         return None
     words = [np.asarray(x, np.int64).view(np.uint64) for x in rows.column("words").to_pylist()]
     answers = [np.asarray(x, np.int64).view(np.uint64) for x in rows.column("answer").to_pylist()]
-    idf = _weights(words, idf)
     used = np.unique(np.concatenate([feature(w) for w in words]))
     used = used[idf[used] > 0]
     place = np.full(1 << BITS, -1, np.int64)
@@ -206,13 +217,15 @@ def prepare(parts: DataFrame, idf: np.ndarray) -> Block | None:
     who, col, weight, norm = _rows(words, idf, place)
     latent = np.zeros((len(words), vectors.shape[1]))
     np.add.at(latent, who, weight[:, None] * vectors[col])
+    latent /= norm[:, None]
+    rest = np.sqrt(np.maximum(1 - (latent**2).sum(1), 0)) + 1e-5
     size = np.array([next((s for s in WINDOWS if len(w) <= s), WINDOWS[-1]) for w in words])
     peaks = {}
     for s in WINDOWS:
         own = size[who] == s
         peaks[s] = np.zeros(len(used))
         np.maximum.at(peaks[s], col[own], weight[own] / norm[who[own]] * idf[used[col[own]]])
-    return Block(rows.column("item_id").to_numpy(), size, words, answers, place, (vectors * idf[used, None]).astype(np.float32), (latent / norm[:, None]).astype(np.float32), idf, peaks)
+    return Block(rows.column("item_id").to_numpy(), size, words, answers, place, (vectors * idf[used, None]).astype(np.float32), latent.astype(np.float32), idf, peaks, rest)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -239,29 +252,58 @@ def _sliding(x: np.ndarray, m: int) -> np.ndarray:
     return x
 
 
-def windows_near(words: np.ndarray, at: np.ndarray, block: Block) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, passage, first word, last word + 1, cosine) of windows at or above COSINE."""
+@dataclass
+class Grid:
+    """Words of texts in units, the same for every block of a query set."""
+
+    f: np.ndarray  # of each word: its feature
+    idf: np.ndarray  # of each word: its weight
+    base: np.ndarray  # the first unit of each text
+    unit: np.ndarray  # of each word
+    text: np.ndarray  # of each unit
+    k: np.ndarray  # of each unit: its place in its text
+    full: np.ndarray  # of each unit: whether it has words
+    all_sq: np.ndarray  # of each unit: sum of its words' squared weights
+
+
+def grid_of(words: np.ndarray, at: np.ndarray, idf: np.ndarray) -> Grid:
     most = WINDOWS[-1] // UNIT
     f = feature(words)
-    idf = block.idf[f]
+    own = idf[f]
     lengths = np.diff(at)
     units = -(-lengths // UNIT)
     base = np.concatenate([[0], np.cumsum(units + most)])  # each text is followed by empty units, so windows do not reach the next
     text_of = np.repeat(np.arange(len(lengths)), lengths)
     unit = base[text_of] + (np.arange(len(words)) - at[text_of]) // UNIT
-    row = block.place[f]
-    known = np.flatnonzero(row >= 0)
-    row, own = row[known], unit[known]
-    all_sq = np.bincount(unit, idf**2, base[-1])
     place = np.arange(base[-1])
     text = np.searchsorted(base, place, side="right") - 1
     k = place - base[text]
+    return Grid(f, own, base, unit, text, k, k < units[text], np.bincount(unit, own**2, base[-1]))
+
+
+def exact_cosine(window: np.ndarray, passage: np.ndarray, idf: np.ndarray) -> float:
+    """TF-IDF cosine of two runs of features."""
+    u, n = np.unique(window, return_counts=True)
+    v, m = np.unique(passage, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    a, b = n * idf[u], m * idf[v]
+    return float((a[i] * b[j]).sum() / max(np.sqrt((a**2).sum() * (b**2).sum()), 1e-9))
+
+
+def windows_near(words: np.ndarray, at: np.ndarray, block: Block, grid: Grid | None = None) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, passage, first word, last word + 1, cosine) of windows at or above COSINE."""
+    g = grid or grid_of(words, at, block.idf)
+    f, base, text, k = g.f, g.base, g.text, g.k
+    rest = np.broadcast_to(np.asarray(block.rest, float), len(block.words))
+    row = block.place[f]
+    known = np.flatnonzero(row >= 0)
+    row, own = row[known], g.unit[known]
     for size in np.unique(block.size):
         m = int(size) // UNIT
-        norm = np.sqrt(_sliding(all_sq, m))  # repeats make the true norm larger
+        norm = np.sqrt(_sliding(g.all_sq, m))  # repeats make the true norm larger
         # no passage's cosine is above the sum of each word's largest part in any passage
         bound = _sliding(np.bincount(own, block.peaks[int(size)][row], base[-1]), m)
-        close = np.flatnonzero((k % (m // 4) == 0) & (k < units[text]) & (bound >= COSINE * norm) & (bound > 0))
+        close = np.flatnonzero((k % (m // 4) == 0) & g.full & (bound >= COSINE * norm) & (bound > 0))
         mine = np.flatnonzero(block.size == size)
         queries = block.latent[mine].T
         for lo in range(0, len(close), 1024):
@@ -270,14 +312,14 @@ def windows_near(words: np.ndarray, at: np.ndarray, block: Block) -> Iterator[tu
             n = j - i
             take = np.repeat(i - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             vec = np.add.reduceat(block.vectors[row[take]], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-            high = (vec @ queries) / norm[c][:, None]  # at least the cosine
+            high = np.maximum(vec @ queries, 0) / norm[c][:, None] + rest[mine]  # at least the cosine
             for w in np.flatnonzero((high >= COSINE).any(1)):
                 start = int(at[text[c[w]]] + k[c[w]] * UNIT)
                 end = int(min(start + size, at[text[c[w]] + 1]))
-                _, kinds = np.unique(f[start:end], return_inverse=True)
-                cosine = high[w] * norm[c[w]] / max(np.sqrt((np.bincount(kinds, idf[start:end]) ** 2).sum()), 1e-9)
-                for p in np.flatnonzero(cosine >= COSINE):
-                    yield int(text[c[w]]), int(mine[p]), start, end, float(cosine[p])
+                for p in mine[high[w] >= COSINE]:
+                    cosine = exact_cosine(f[start:end], feature(block.words[p]), block.idf)
+                    if cosine >= COSINE:
+                        yield int(text[c[w]]), int(p), start, end, cosine
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -287,37 +329,40 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = passages(benchmark)
     parts = stored(parts, "passages")
     n = parts.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = 1 if n <= RANK else -(-n // BLOCK)
+    weights = _weights(parts, idf)
     schema = "doc_id long, text_key long, item_id long, cosine double, overlap double"
     found = spark.createDataFrame([], schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    for k in range(blocks):
-        part = parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k)
-        block = prepare(part, idf)
-        if block is not None:
-            found = found.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(block)), schema))
+    for lo in range(0, blocks, SCAN):
+        own = [prepare(parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k).coalesce(1), weights) for k in range(lo, min(lo + SCAN, blocks))]
+        own = [b for b in own if b is not None]
+        if own:
+            found = found.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(own)), schema))
     return found
 
 
 def _search(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Block = held.value
+        blocks: list[Block] = held.value
         for b in batches:
             out: dict[tuple[int, int], tuple[float, float]] = {}
             for i, j in pieces(b.column(2), 1 << 19):
                 words, at = words_of(b.column(2)[i:j])
-                done: set[tuple[int, int]] = set()
-                for text, p, start, end, cosine in windows_near(words, at, block):
-                    if (text, p) in done:
-                        continue
-                    item, size = block.words[p], int(block.size[p])
-                    region = words[max(at[text], start - size // 2) : min(at[text + 1], end + size // 2)]
-                    overlap = common_subsequence(item, region) / len(item)
-                    answer = block.answers[p]
-                    if overlap >= STRONG or overlap >= WEAK and len(answer) and common_subsequence(answer, region) >= ANSWER * len(answer):
-                        done.add((text, p))
-                        key = (i + text, int(block.item[p]))
-                        out[key] = max(out.get(key, (0.0, 0.0)), (overlap, cosine))
+                grid = grid_of(words, at, blocks[0].idf)
+                for block in blocks:
+                    done: set[tuple[int, int]] = set()
+                    for text, p, start, end, cosine in windows_near(words, at, block, grid):
+                        if (text, p) in done:
+                            continue
+                        item, size = block.words[p], int(block.size[p])
+                        region = words[max(at[text], start - size // 2) : min(at[text + 1], end + size // 2)]
+                        overlap = common_subsequence(item, region) / len(item)
+                        answer = block.answers[p]
+                        if overlap >= STRONG or overlap >= WEAK and len(answer) and common_subsequence(answer, region) >= ANSWER * len(answer):
+                            done.add((text, p))
+                            key = (i + text, int(block.item[p]))
+                            out[key] = max(out.get(key, (0.0, 0.0)), (overlap, cosine))
             at_rows = pa.array([r for r, _ in out], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array([x for _, x in out], pa.int64()), pa.array([c for _, c in out.values()], pa.float64()), pa.array([o for o, _ in out.values()], pa.float64())], ["doc_id", "text_key", "item_id", "cosine", "overlap"])
 
