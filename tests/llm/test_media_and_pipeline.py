@@ -23,6 +23,52 @@ def test_edited_copies_share_a_class_and_others_do_not(spark):
     assert got[86] == 6
 
 
+def texture(rng, side, n=8):
+    basis = np.cos(np.pi * (np.arange(side)[:, None] + 0.5) * np.arange(n) / side)
+    a = basis @ rng.normal(size=(n, n)) @ basis.T
+    return (a - a.min()) / (a.max() - a.min()) * 200 + 20
+
+
+def image_table(spark, images):
+    rows = [(i, a.shape[1], a.shape[0], np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()) for i, a in images]
+    return spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+
+
+def recompressed(a, step):
+    """8 x 8 cosine blocks, coefficients rounded to multiples of `step`."""
+    basis = np.cos(np.pi * (np.arange(8)[:, None] + 0.5) * np.arange(8) / 8) * np.where(np.arange(8) == 0, 8**-0.5, 0.5)
+    out = np.empty_like(a)
+    for y in range(0, a.shape[0], 8):
+        for x in range(0, a.shape[1], 8):
+            c = basis.T @ a[y : y + 8, x : x + 8] @ basis
+            out[y : y + 8, x : x + 8] = basis @ (np.rint(c / step) * step) @ basis.T
+    return out
+
+
+def test_keys_miss_no_pair_within_the_bound():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 64, (500, 4), dtype=np.uint64)
+    bits = np.unpackbits(a.view(np.uint8), axis=1, bitorder="little")
+    for i, row in enumerate(bits):
+        row[rng.choice(256, i % (media.MAX_BITS + 1), replace=False)] ^= 1
+    b = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    assert (media.keys_of(a) == media.keys_of(b)).any(1).all()
+    assert (media.keys_of(a) == media.keys_of(np.roll(a, 1, 0))).any(1).mean() < 0.01
+
+
+def test_noisy_rescaled_and_recompressed_copies(spark):
+    rng = np.random.default_rng(5)
+    images = []
+    for i in range(12):
+        a = texture(rng, 64)
+        images += [(10 * i, a), (10 * i + 1, a + rng.normal(0, 3, a.shape)), (10 * i + 2, media._resized(a, 0.75)), (10 * i + 3, recompressed(a, 16))]
+    df = image_table(spark, images)
+    got = {r["image_id"]: r["class_id"] for r in media.copy_classes(df).collect()}
+    assert all(got[10 * i] == 10 * i for i in range(12))
+    found = {k: sum(got[10 * i + k] == 10 * i for i in range(12)) for k in (1, 2, 3)}
+    assert sum(found.values()) >= 0.9 * 36, found
+
+
 def test_odd_images(spark):
     rows = [(1, 3, 3, bytes(9)), (2, 2, 2, b"abc"), (None, 3, 3, bytes(9)), (4, None, 1, b"a"), (5, 0, 0, b"")]
     df = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
