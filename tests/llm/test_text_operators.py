@@ -353,6 +353,22 @@ def test_trees_add_other_forms_and_leave_clean_texts(spark):
     assert pii.find(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_candidates_do_not_depend_on_unrelated_text():
+    for text, own, kind in (("ask jane at example.com today", "jane at example.com", 0), ("from 2001:db8::a1:2 on", "2001:db8::a1:2", 1), ("at ::1 or", "::1", 1), ("fe80:: is", "fe80::", 1), ("1:2:3:4:5:6:7:8 x", "1:2:3:4:5:6:7:8", 1)):
+        for more in ("", " a [at] b", " one dot two"):
+            assert (kind, own) in {(k, (text + more)[s:e]) for k, s, e in pii.wider(text + more)}, text
+    assert not [x for t in ("std::vector", "a :: b", "1:2:3:4::5:6:7:8", "12:30") for x in pii.wider(t)]
+
+
+def test_trees_learn_plain_at_and_compressed_addresses(spark):
+    rng = random.Random(9)
+    texts = [" ".join([*words(rng, 20), f"mail u{i}@h{i % 9}.example.org", *words(rng, 20), f"server 10.{i % 200}.{i % 250}.7", *words(rng, 9), f"{rng.randrange(300, 999)}.1.2.3"]) for i in range(400)]
+    model = pii.train(docs(spark, texts))
+    text = "mail jane at host.example.org or server 2001:db8::a01:203 there. We were at home. The end."
+    found = {text[s:e] for _, s, e in pii.select(text, model)[1]}
+    assert {"jane at host.example.org", "2001:db8::a01:203"} <= found and len(found) == 2
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" + " " * 300_000, "@a" * 100_000):
         pii.select(text, pii.Boosted())

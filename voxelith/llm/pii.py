@@ -36,8 +36,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wider generators.
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}")
-_SPELLED_HINT = re.compile(r"[(\[{]at[)\]}]|\x20dot\x20")
+_SPELLED_HINT = re.compile(r"[(\[{]at[)\]}]|\x20at\x20")  # every match of _SPELLED has one
+_SENTENCE_END = re.compile(r"\.\x20|\x20\.")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_SIX_SHORT = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
 _NUMBER = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])")
 _DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}[./_][0-9]{1,7}(?![0-9.])")
 _HINTS = [re.compile(x) for x in (r"(?i:mail|contact|write|address)", r"(?i:\bip\b|server|host|addr|from)", r"(?i:card|visa|account|pay)", r"(?i:tel|phone|call|mobile|fax)")]
@@ -98,6 +100,10 @@ def wider(text: str) -> Iterator[Span]:
     if text.count(":") >= 7:
         for m in _SIX.finditer(text):
             yield 1, *m.span()
+    if "::" in text:
+        for m in _SIX_SHORT.finditer(text):
+            if 1 <= sum(map(bool, m[0].split(":"))) <= 7:
+                yield 1, *m.span()
     for m in _DOTTED_CARD.finditer(text):
         yield 2, *m.span()
     for m in _NUMBER.finditer(text):
@@ -131,6 +137,8 @@ def features(text: str, span: Span) -> list[float]:
         float(len(_digits(before[-10:]))),
         float(len(_digits(after))),
         float(len(own.rsplit(".", 1)[-1])) if kind == 0 else 0.0,
+        float(bool(_SENTENCE_END.search(own))),
+        float(own.count(":")),
     ]
 
 
@@ -141,7 +149,7 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
         yield features(text, span), int(good)
         own = text[s:e]
         if kind == 0:
-            forms = [own.replace("@", " (at) "), own.replace("@", " [at] ").replace(".", " [dot] ")]
+            forms = [own.replace("@", " (at) "), own.replace("@", " [at] ").replace(".", " [dot] "), own.replace("@", " at ")]
         elif kind == 2:
             d = _digits(own)
             forms = [".".join(d[i : i + 4] for i in range(0, len(d), 4))]
@@ -149,9 +157,16 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
             d = _digits(own)[-10:]
             forms = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}"] if len(d) == 10 else []
         else:
-            forms = []
+            a, b, c, d = (int(p[-3:]) for p in own.split("."))
+            forms = [f"2001:db8::{a << 8 | b:x}:{c << 8 | d:x}", f"fe80::{a:x}:{b:x}:{c:x}:{d:x}", f"2001:db8:{a:x}:{b:x}:0:0:{c:x}:{d:x}"] if good else []
         for form in forms:
             yield features(text[max(0, s - 60) : s] + form + text[e : e + 20], (kind, min(s, 60), min(s, 60) + len(form))), int(good)
+        if kind == 0:  # the same words at the end of a sentence are not an address
+            form = own.replace("@", " at ").replace(".", ". ")
+            yield features(text[max(0, s - 60) : s] + form + text[e : e + 20], (kind, min(s, 60), min(s, 60) + len(form))), 0
+        if kind == 1 and good:  # nor are marks of scope and times of day
+            for form in ("::", f"{a % 16:x}::{b % 16:x}", f"{c % 24:02}::{d % 60:02}"):
+                yield features(text[max(0, s - 60) : s] + form + text[e : e + 20], (kind, min(s, 60), min(s, 60) + len(form))), 0
         if kind == 3 and good:  # numbers of other lengths in the same place are not telephone numbers
             d = _digits(own)
             for form in (f"{d[:2]}.{d[2:5]}.{d[5:8]}", d[:4] + "-" + d[4:8] + "-" + d[:4]):
