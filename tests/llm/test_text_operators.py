@@ -116,6 +116,34 @@ def test_jaccard_components_equal_brute_force(spark):
     assert setjoin.similar_components(df.limit(0)).count() == 0
 
 
+def test_many_edited_copies_of_one_text_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = words(rng, 150)
+    texts = []
+    for _ in range(900):  # few edits of own words, and edits that many copies have in common
+        w = near(rng, base, rng.randrange(0, 12))
+        for at in rng.sample(range(0, 150, 25), rng.randrange(0, 4)):
+            w[at] = f"shared{at}"
+        texts.append(" ".join(w))
+    sets = list(shingle_sets(pa.array(texts)))
+    every = np.unique(np.concatenate(sets))
+    has = np.zeros((len(sets), len(every)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, np.searchsorted(every, s)] = 1
+    both, sizes = has @ has.T, has.sum(1)
+    links = np.argwhere(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
+    least = np.arange(len(sets))
+    while True:
+        nxt = least.copy()
+        np.minimum.at(nxt, links[:, 0], least[links[:, 1]])
+        if (nxt == least).all():
+            break
+        least = nxt
+    assert 10 < len(set(least.tolist())) < 890
+    got = {r["doc_id"]: r["component_id"] for r in setjoin.similar_components(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(least.tolist()))
+
+
 def test_similar_sets_share_as_many_keys_as_promised():
     rng = np.random.default_rng(0)
     sim, none = setjoin.Similarity(75), (np.zeros(0, np.uint64), np.zeros(0, np.uint64))

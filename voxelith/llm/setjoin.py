@@ -11,10 +11,11 @@ often enough are verified exactly on their shingles.
 
 Equal sets are one node from the start. Within a segment's bucket, members are first compared with one
 leader (rows grow with the bucket, not with its square). Components of these links leave only buckets that
-hold several components. Sets that meet the same leader most often are compared by their differences from
-it, which edited copies of one text hardly share; other pairs between components are counted over the
-buckets, which hold all their meetings, and verified if they meet as often as similar sets must. So no link between components is lost
-and no group of copies is expanded.
+hold several components. There each set takes a hub, the leader that it meets most often. Sets of one hub are
+compared by their differences from it: what only one set has can only add to a distance, so it is taken off
+both sides' bounds first, and what is left of edited copies of one text is so little that few of them meet.
+Pairs of sets with different hubs are counted over the buckets, which hold all their meetings, and verified if
+they meet as often as similar sets must. So no link between components is lost and no group of copies is expanded.
 """
 
 from __future__ import annotations
@@ -183,14 +184,14 @@ def frequent_contents(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_rows(docs: DataFrame, sim: Similarity, k: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, need, keys) for each distinct set of a task."""
+    """(node, need, n, keys, hot) for each distinct set of a task; `hot` tells which keys are among the frequent ones."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys_of, counts = held.value
         for texts in (b.column(0).slice(i, j - i) for b in batches for i, j in pieces(b.column(0))):
-            nodes, needs, keys = [], [], []
+            nodes, needs, sizes, keys = [], [], [], []
             for members in shingle_sets(texts, k):
                 node = _fingerprint(members)
                 if len(members) and node not in seen:
@@ -199,9 +200,14 @@ def index_rows(docs: DataFrame, sim: Similarity, k: int, frequent: tuple[np.ndar
                     nodes.append(node)
                     keys.append(own)
                     needs.append(need)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), _lists(keys)], ["node", "need", "keys"])
+                    sizes.append(len(members))
+            hot = np.isin(np.concatenate([np.zeros(0, np.uint64), *keys]), keys_of)
+            listed = _lists(keys)
+            flags = pa.ListArray.from_arrays(listed.offsets, pa.array(hot))
+            names = ["node", "need", "n", "keys", "hot"]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(needs, pa.int32()), pa.array(sizes, pa.int32()), listed, flags], names)
 
-    return docs.select("text").mapInArrow(run, "node long, need int, keys array<long>")
+    return docs.select("text").mapInArrow(run, "node long, need int, n int, keys array<long>, hot array<boolean>")
 
 
 def member_rows(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
@@ -233,73 +239,101 @@ def verified(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _same_hub(members: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of sets of one hub that may be similar, and sets (a) with their hubs (b). `members`: node, hub, comp.
-
-    Let D be a set's difference from its hub. Two sets differ by what is in only one of their D, and similar
-    sets of p and q members differ by at most c (p + q), c = (100 - percent) / (100 + percent). A set that is
-    not similar to its hub has more than c (p + hub) members in D, so it shares with any similar set b more than
-    half of |D_b| + c (hub - q): one of so few of D_b's rarest members (within the hub's group) is among them.
-    Sets similar to the hub are in its component already or get there by the pair with it.
+    """Pairs (a, b) of sets of one hub that may be similar. `members`: node, hub, comp.
+
+    Let D be a set's difference from its hub and R the part of it that other sets of the hub have too. Sets of
+    p and q members are similar if they differ by at most c (p + q), c = (100 - percent) / (100 + percent), that
+    is if R_a and R_b have at least (U_a + U_b) / 2 in common, U = |D| - c size. A set that is not similar to its
+    hub ("far") has U > c hub; sets that are get into its component by the pair with it, so only pairs with a far
+    set count. This bounds what any partner must share with a set from below, so partners meet in the rarest
+    members of R, those that the bound lets differ and one more. Sizes and 256 bits of R decide at the join
+    whether a pair can reach its bound; those that can are left for verification.
     """
     low, high = 100 - sim.percent, 100 + sim.percent
     own = members.join(sets.select("node", F.col("members").alias("m")), "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("h")), "hub")
-    apart = own.select("node", "hub", "comp", F.size("m").alias("q"), F.size("h").alias("hub_size"), F.concat(F.array_except("m", "h"), F.array_except("h", "m")).alias("d")).withColumn("n", F.size("d"))
-    apart = stored(apart.withColumn("far", F.expr(f"{high} * n > {low} * (q + hub_size)")), "differences")
-    each = apart.select("hub", "node", "comp", "far", "n", F.expr(f"n - CAST(floor(({high} * n + {low} * (hub_size - q)) / {2 * high}) AS INT)").alias("first"), F.explode("d").alias("e"))
+    d = F.concat(F.array_except("m", "h"), F.array_except("h", "m"))
+    apart = own.select("node", "hub", "comp", F.size("m").alias("q"), F.size("h").alias("hub_size"), d.alias("d"))
+    apart = stored(apart.withColumn("u", F.expr(f"{high}L * size(d) - {low}L * q")).withColumn("far", F.expr(f"u > {low}L * hub_size")), "differences")
+    each = apart.select("hub", "node", F.explode("d").alias("e"))
     counts = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = each.join(counts, ["hub", "e"])
-    # members that no other set of the hub has come first in the order and meet nobody
-    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))
-    ranked = shared.withColumns({"alone": alone, "rank": F.row_number().over(Window.partitionBy("node").orderBy("k", "e"))})
-    index = ranked.filter("alone + rank <= first").select("hub", "e", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    probe = shared.filter("far").select("hub", "e", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    pairs = probe.join(index, ["hub", "e"]).filter("a <> b and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    word = F.pmod(F.col("e"), F.lit(4))
+    bits = [F.coalesce(F.bit_or(F.when(word == i, F.expr("shiftleft(1L, CAST(shiftrightunsigned(e, 2) & 63 AS INT))"))), F.lit(0).cast("long")).alias(f"b{i}") for i in range(4)]
+    common = each.join(counts, ["hub", "e"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "e"))).getField("e").alias("r"), F.count(F.lit(1)).alias("n"), *bits)
+    held = apart.drop("d").join(common, "node")
+    # what a partner shares at least: with the index side by a far partner's U, with the far side by a partner's largest size
+    index_least = F.expr(f"floor((u + {low}L * hub_size) / {2 * high}D) + 1")
+    probe_least = F.expr(f"greatest(1L, CAST(ceil((u - {low}L * floor(100 * q / {sim.percent}D)) / {high}D) AS LONG))")
+    held = stored(held.withColumns({"first": (F.col("n") - index_least + 1).cast("int"), "tried": F.when(F.col("far"), F.col("n") - probe_least + 1).otherwise(0).cast("int")}), "shared-differences")
+    kept = ["node", "comp", "q", "u", "n", "b0", "b1", "b2", "b3"]
+    side = lambda upto: held.filter(F.col(upto) > 0).select("hub", *kept, F.explode(F.slice("r", F.lit(1), F.col(upto))).alias("e"))
+    x, y = side("tried").alias("x"), side("first").alias("y")
+    lacks = lambda s, t: sum((F.bit_count(F.col(f"{s}.b{i}").bitwiseAND(F.bitwise_not(f"{t}.b{i}"))) for i in range(4)), F.lit(0))
+    bound = F.col("x.u") + F.col("y.u")
+    may = (2 * high * (F.col("x.n") - lacks("x", "y")) >= bound) & (2 * high * (F.col("y.n") - lacks("y", "x")) >= bound)
+    sizes = 100 * F.least("x.q", "y.q") >= sim.percent * F.greatest("x.q", "y.q")
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.comp") != F.col("y.comp")) & sizes & may)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     return pairs.unionByName(apart.filter("not far and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
 
+def _hubs(rows: DataFrame) -> DataFrame:
+    """(node, hub) for every set of `rows`: the leader that it meets most often, followed while that one is itself often met by another."""
+    led = rows.join(rows.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "key")
+    met = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
+    best = met.groupBy("node").agg(F.max_by(F.struct(F.col("leader").alias("hub"), (F.col("n") >= F.col("need")).alias("near")), F.struct("n", "leader")).alias("h"))
+    hubs = stored(best.select("node", "h.hub", "h.near"), "hubs")
+    while True:  # a leader never has a smaller degree than those it leads, so this ends
+        up = hubs.filter("near and node <> hub").select(F.col("node").alias("hub"), F.col("hub").alias("top"))
+        nxt = stored(hubs.join(small(up, LISTED_MAX), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"), "near", F.col("top").isNotNull().alias("moved")), "hubs")
+        drop_stored(hubs)
+        hubs = nxt
+        if not hubs.filter("moved").head(1):
+            return hubs.select("node", "hub")
+
+
 def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row; see similar_components()."""
     sim = Similarity(percent)
     profiles = stored(profile(docs, sim, k), "profiles")
     frequent = frequent_contents(profiles)
-    keyed = index_rows(docs, sim, k, frequent).select("node", "need", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "least": F.min("need").over(bucket)}).filter("lo <> hi")
-    shared = stored(shared.select("key", "node", "need", "least").distinct(), "buckets")
+    keyed = index_rows(docs, sim, k, frequent).select("node", "need", "n", F.explode(F.arrays_zip("keys", "hot")).alias("k")).select("k.keys", "k.hot", "node", "need", "n").withColumnRenamed("keys", "key")
+    # frequent keys are known to have several sets; their rows are dealt out over all tasks
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).otherwise(0)
+    bucket = Window.partitionBy("key", salt)
+    shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "least": F.min("need").over(bucket)}).filter("hot or lo <> hi")
+    shared = stored(shared.select("key", "hot", "node", "need", "n", "least").distinct(), "buckets")
 
     # sets that meet others too seldom to be similar to any are done
-    nodes = stored(shared.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min("least").alias("least")).filter("degree >= least").select("node", "degree"), "nodes")
-    rows = stored(shared.join(small(nodes, LISTED_MAX), "node").select("key", "node", "need", "degree", F.col("node").alias("comp")), "rows")
+    hot_least = shared.filter("hot").groupBy("key").agg(F.min("least").alias("hot_least"))
+    degrees = shared.join(small(hot_least, LISTED_MAX), "key", "left").groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min(F.coalesce("hot_least", "least")).alias("least"))
+    nodes = stored(degrees.filter("degree >= least").select("node", "degree"), "nodes")
+    rows = stored(shared.join(small(nodes, LISTED_MAX), "node").select("key", "node", "need", "n", "degree"), "rows")
     sets = stored(member_rows(docs, k, nodes.select("node")), "sets", "lz4")
-    drop_stored(shared)
+    drop_stored(shared, nodes)
 
     # each set with the leader that it meets most often; a bucket's leader is the member that meets most sets, which of a group of
     # edited copies is the original
-    led = rows.withColumn("leader", F.max(F.struct("degree", "node", "comp", "need")).over(bucket)).filter("leader.comp <> comp")
+    leaders = rows.groupBy("key").agg(F.max(F.struct("degree", "node", "need")).alias("leader"))
+    led = rows.join(leaders, "key").filter("leader.node <> node")
     met = led.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("need", "leader.need")).alias("need"))
     best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
     links = stored(verified(best, sets, sim), "links")
     comps = connected_components(links)
-    held = rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = held.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket)}).filter("lo <> hi")
-    left = stored(several.select("key", "node", "need", "degree", "comp"), "rows")
+    held = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    left = stored(held.join(several, "key").select("key", "node", "need", "n", "degree", "comp"), "rows")
     drop_stored(rows)
     rows = left
 
-    # what is left: pairs between components. A set goes to the leader that it meets most often, or to that one's own; pairs of
-    # one leader that meet it often are compared by what sets them apart from it, all others by the buckets that they share
-    led = rows.withColumn("leader", F.max(F.struct("degree", "node")).over(bucket)["node"])
-    hubs = led.groupBy("node", "need", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by(F.struct(F.col("leader").alias("hub"), (F.col("n") >= F.col("need")).alias("near")), F.struct("n", "leader")).alias("h"))
-    hubs = stored(hubs.select("node", "h.hub", "h.near"), "hubs")
-    up = hubs.filter("near and node <> hub").select(F.col("node").alias("hub"), F.col("hub").alias("top"))
-    hubs = stored(hubs.join(small(up, LISTED_MAX), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"), "near"), "hubs")
+    # what is left: pairs between components, by their hub or by the buckets that they share
+    hubs = stored(_hubs(rows), "hubs")
     rest = stored(rows.join(small(hubs, LISTED_MAX), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    apart = (F.col("x.hub") != F.col("y.hub")) | ~F.col("x.near") | ~F.col("y.near")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & apart)
-    cross = cross.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
+    sizes = 100 * F.least("x.n", "y.n") >= sim.percent * F.greatest("x.n", "y.n")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.hub") < F.col("y.hub")) & (F.col("x.comp") != F.col("y.comp")) & sizes)
+    cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
     cross = cross.filter("n >= need").select("a", "b")
-    same = _same_hub(rest.filter("near").select("node", "hub", "comp").distinct(), sets, sim)
+    same = _same_hub(rest.select("node", "hub", "comp").distinct(), sets, sim)
     pairs = stored(cross.unionByName(same).distinct(), "pairs")
     comps = connected_components(links.unionByName(verified(pairs, sets, sim)))
 
@@ -331,10 +365,16 @@ def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
 
     Texts without words are in no component and stay, but rows equal in doc_id and text stay once.
     """
-    rows = labelled(docs, percent, k)
-    alone = rows.filter("n_shingles = 0 or component_id is null").select("doc_id", "text_key")
+    rows = stored(labelled(docs, percent, k), "labelled")
     first = rows.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
-    keep = stored(alone.unionByName(first.select("m.doc_id", "m.text_key")).distinct().withColumnsRenamed({"doc_id": "kept_id", "text_key": "kept_key"}), "kept")
-    keyed = docs.withColumn("own_key", F.xxhash64("text"))
-    out = keyed.join(keep, keyed["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")), "left_semi")
-    return out.dropDuplicates(["doc_id", "own_key"]).drop("own_key")
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    gone = rows.filter("n_shingles > 0").join(first, "component_id").filter(key != F.col("m")).select("doc_id", "text_key").distinct()
+    gone = stored(gone.withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"}), "gone")
+    again = stored(rows.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).count().filter("count > 1").drop("count"), "repeated")
+    # texts stay where they are while the lists of rows that go and of rows that are repeated can be broadcast
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key"))
+    kept = docs.withColumns({"own_id": F.col("doc_id").cast("long"), "own_key": F.xxhash64("text")}).join(small(gone, LISTED_MAX), same, "left_anti")
+    if again.head(1):
+        listed = small(again, LISTED_MAX)
+        kept = kept.join(listed, same, "left_anti").unionByName(kept.join(listed, same, "left_semi").dropDuplicates(["own_id", "own_key"]))
+    return kept.drop("own_id", "own_key")
