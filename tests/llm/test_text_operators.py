@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -201,6 +202,63 @@ def test_long_and_broken_pages_end():
     assert html_text.extract("<!-- " + "x" * 100000) == "" and html_text.extract("<p>a</p>" + "<a '" * 2000).startswith("a")
 
 
+def story(rng, n):
+    return [" ".join(words(rng, rng.randrange(20, 60))) + "." for _ in range(n)]
+
+
+def page_of(rng, kind):
+    """A page of one of several layouts, and its main text's blocks."""
+    para = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+    text, title = story(rng, rng.randrange(4, 9)), " ".join(words(rng, 6))
+    links = "".join(f"<li><a href=/{i}>{' '.join(words(rng, 3))}</a></li>" for i in range(rng.randrange(5, 30)))
+    top = f"<nav><ul>{links}</ul></nav><div class='cookie-banner'>{' '.join(words(rng, 15))}</div>"
+    end = f"<div class='comments-area'>{para(story(rng, 2))}</div><div id=sidebar><ul>{links}</ul></div><footer>{' '.join(words(rng, 10))}</footer>"
+    if kind == 0:  # semantic
+        return f"<body>{top}<article><h1>{title}</h1>{para(text)}</article>{end}", [title, *text]
+    if kind == 1:  # no semantic elements
+        return f"<body>{top}<div class=wrap><div class=left><ul>{links}</ul></div><div class=story><h1>{title}</h1><div>{para(text)}</div></div></div>{end}", [title, *text]
+    if kind == 2:  # role=main in a wrapper with more
+        return f"<body><div id=wrap><ul>{links}</ul><div role=main><h1>{title}</h1>{para(text)}</div><ul>{links}</ul></div>{end}", [title, *text]
+    if kind == 3:  # one text over several articles
+        half = len(text) // 2
+        return f"<body>{top}<main><article><h1>{title}</h1>{para(text[:half])}</article><article>{para(text[half:])}</article></main>{end}", [title, *text]
+    if kind == 4:  # text in main, teasers in articles
+        teasers = "".join(f"<article><a href=/{i}>{' '.join(words(rng, 5))}</a></article>" for i in range(4))
+        return f"<body>{top}<main><div><h1>{title}</h1>{para(text)}</div><section>{teasers}</section></main>{end}", [title, *text]
+    if kind == 5:  # the whole body in a form
+        return f"<body><form method=post><input name=v value=x>{top}<div class=content><h1>{title}</h1>{para(text)}<button>Go</button></div>{end}</form>", [title, *text]
+    # names that only look like those of other parts, and a link list in the text
+    marked = f"<p class='form-text'>{text[0]}</p><p class='social-history'>{text[1]}</p><div class='search-results'>{para(text[2:])}</div>"
+    return f"<body>{top}<article><h1>{title}</h1>{marked}<ul>{links}</ul></article>{end}", [title, *text]
+
+
+@pytest.mark.parametrize("kind", range(7))
+def test_gold_pages(kind):
+    rng = random.Random(kind)
+    hit = found = there = 0
+    for _ in range(15):
+        page, gold = page_of(rng, kind)
+        got, want = Counter(html_text.extract(page).split()), Counter(" ".join(gold).split())
+        hit, found, there = hit + (got & want).total(), found + got.total(), there + want.total()
+    assert hit >= 0.97 * there and hit >= 0.97 * found, (hit, found, there)
+
+
+def test_density_decides_where_the_text_is():
+    rng = random.Random(1)
+    text = story(rng, 6)
+    body = "".join(f"<p>{t}</p>" for t in text)
+    page = f"<body><article><p>short teaser</p></article><div><div>{body}</div></div></body>"
+    assert html_text.extract(page) == "\n".join(text)
+
+
+def test_parser_is_linear():
+    began = time.process_time()
+    for page in ("<div>" * 100_000 + "x" + "</q>" * 100_000, "<b>" * 50_000 + "<p>x" * 50_000, "<p><table>" + "<b>x" * 50_000 + "</p>" * 50_000, "<span>" * 50_000 + "<li>x" * 50_000, "<b><i>x</b></i>" * 50_000):
+        assert "x" in html_text.extract(page)
+    assert time.process_time() - began < 60
+    assert html_text.extract("<p>İ</p><SCRIPT>var a;</SCRIPT><p>kept</p>") == "İ\nkept"
+
+
 # ---- 2: mixing ----
 
 

@@ -2,12 +2,15 @@
 
 Every DOM node gets characters per tag, adjusted for links: text that sits in links counts for little. A
 node's density sum is the sum over its children. The node of highest density gives a path to the body, and
-the lowest density on that path is the threshold that a region must reach; within it the subtree with the
-largest density sum is the main text.
+the lowest density on that path is the threshold that a region must reach; of the nodes that reach it, the
+subtree with the largest density sum is the core of the main text. An `article` or `main` element around the
+core only sets how far the region reaches (its heading and byline belong to it), and sibling articles that
+reach the threshold belong to it as well. Below the region, subtrees that are mostly links are left out.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
 import re
@@ -18,51 +21,89 @@ from pyspark.sql import DataFrame
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - frozenset("td th tr tbody thead tfoot html body".split())
-#: start tag -> open tags that it ends, and tags that stop the search.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("html body table td th article section div button".split())
+#: For each kind of element that a start tag may end: its tags, and tags beyond which it isn't looked for. Nodes know their nearest of each.
+_KINDS = (
+    (frozenset(["p"]), _SCOPE),
+    (frozenset(["li"]), _SCOPE | {"ul", "ol", "menu"}),
+    (frozenset(["dt", "dd"]), _SCOPE | {"dl"}),
+    (frozenset(["td", "th"]), frozenset(["table", "tr"])),
+    (frozenset(["tr"]), frozenset(["table"])),
+    (frozenset(["option"]), frozenset(["select"])),
+    (frozenset(["table", "td", "th", "article", "body"]), frozenset()),  # beyond these, end tags of inline elements have no effect
+)
+#: start tag -> the kinds that it ends.
+_ENDS = {"li": (1,), "dt": (2,), "dd": (2,), "td": (3,), "th": (3,), "tr": (3, 4), "option": (5,)}
+_LOCAL_END = frozenset("p li b i a span em strong".split())
 #: Elements that never hold main text.
 _SKIP_TAGS = frozenset("head script style nav header footer aside form noscript template svg math button select input textarea iframe object canvas audio video menu dialog title xmp noembed noframes datalist label fieldset".split())
-#: Words of class, id and role that mark what is not main text.
-_SKIP_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup breadcrumb breadcrumbs pagination pager login search toolbar widget copyright contentinfo complementary form disclaimer".split())
+#: Words of class and id that mark what is not main text: these as any part of a name, such as cookie-banner ...
+_SKIP_PARTS = frozenset("nav navbar navigation masthead footer sidebar ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup overlay comment comments disqus newsletter breadcrumb breadcrumbs pagination pager".split())
+#: ... these as a whole name only, since names like form-text or search-results may hold main text ...
+_SKIP_NAMES = _SKIP_PARTS | frozenset("menu header aside banner notice notices alert modal respond reply replies share sharing social related recommended subscribe subscription signup login search toolbar widget copyright contentinfo complementary form disclaimer".split())
+#: ... and these as a part if at least half of the text is in links.
+_SKIP_LINKED = _SKIP_NAMES
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-_MAIN_WORDS = frozenset("content article post entry story main".split())
+#: Share of link text from which a subtree of several links is no main text.
+LINKED = 0.6
 
 
 class Node:
-    __slots__ = ("tag", "kids", "skip", "main", "chars", "tags", "link_chars", "link_tags", "density", "total", "up")
+    __slots__ = ("tag", "kids", "skip", "main", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "depth", "near")
 
-    def __init__(self, tag: str, up: Node | None, skip: bool = False, main: bool = False):
-        self.tag, self.up, self.skip, self.main, self.kids = tag, up, skip, main, []
+    def __init__(self, tag: str, up: Node | None, skip: bool = False, main: bool = False, weak: bool = False):
+        self.tag, self.up, self.skip, self.main, self.weak, self.kids = tag, up, skip, main, weak, []
+        self.depth = up.depth + 1 if up is not None else 0
+        over = up.near if up is not None else (None,) * len(_KINDS)
+        if tag in _TRACKED:
+            over = tuple(self if tag in own else None if tag in stops else n for (own, stops), n in zip(_KINDS, over, strict=True))
+        self.near = over
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is to be left out, and whether it is named as the main text."""
+_TRACKED = frozenset().union(*(own | stops for own, stops in _KINDS))
+
+
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the element is to be left out, whether it is named as the main text, and whether it is to be left out if it is mostly links."""
     if tag in _SKIP_TAGS:
-        return True, False
+        return True, False, False
+    named = tag in ("article", "main")
     if not attrs or attrs.isspace():
-        return False, tag in ("article", "main")
+        return False, named, False
     found = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     role = found.get("role", "").lower()
-    words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""))
-    main = tag in ("article", "main") or role in ("main", "article")
-    if hidden or role in _SKIP_ROLES:
-        return True, False
-    if tag in ("html", "body") or main:
-        return False, main
-    return bool(words & _SKIP_WORDS), False
+    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or role in _SKIP_ROLES:
+        return True, False, False
+    if tag in ("html", "body", "main") or role == "main":
+        return False, tag == "main" or role == "main", False
+    names = (found.get("class", "") + " " + found.get("id", "")).split()
+    parts = {w.lower() for x in names for w in _PARTS.findall(x)}
+    if any(x.lower() in _SKIP_NAMES for x in names) or parts & _SKIP_PARTS:
+        return True, False, False
+    return False, named or role == "article", bool(parts & _SKIP_LINKED)
 
 
 def parse(page: str) -> Node:
-    """A tree of the page; end tags that may be left out are implied. Leaves are decoded strings."""
+    """A tree of the page; end tags that may be left out are implied. Leaves are decoded strings. Time is linear in the page:
+    whatever a tag looks for among the open elements is known without a search, and an element is closed once."""
     top = cur = Node("html", None)
-    pos, n, find, lowered = 0, len(page), page.find, None
+    pos, n, find = 0, len(page), page.find
+    open_: dict[str, list[Node]] = {}
+
+    def close(node: Node) -> Node:
+        """Closes everything up to and with `node`."""
+        at = cur
+        while True:
+            open_[at.tag].pop()
+            at = at.up
+            if at is node.up:
+                return at
+
     while pos < n:
         at = find("<", pos)
         if at < 0:
@@ -82,75 +123,79 @@ def parse(page: str) -> Node:
             continue
         m = _TAG.match(page, at)
         if not m:
-            if nxt.isalpha() and nxt.isascii() or nxt == "/" and page[at + 2 : at + 3].isalpha():
+            if nxt.isalpha() and nxt.isascii() or nxt == "/":
                 end = find(">", at)
                 if end < 0:
                     break  # a tag that the page's end cuts off
                 pos = end + 1
                 continue
-            if nxt == "/":
-                end = find(">", at)
-                pos = n if end < 0 else end + 1
-                continue
             cur.kids.append("<")
             pos = at + 1
             continue
         pos, tag = m.end(), m[2].lower()
         if m[1]:
-            node = cur
-            while node is not None and node.tag != tag:
-                node = None if tag in ("p", "li", "b", "i", "a", "span", "em", "strong") and node.tag in ("table", "td", "th", "article", "body") else node.up
-            if node is not None and node.up is not None and tag not in ("html", "body"):
-                cur = node.up
+            if (held := open_.get(tag)) and tag not in ("html", "body"):
+                wall = cur.near[6]
+                if not (tag in _LOCAL_END and wall is not None and wall.depth > held[-1].depth):
+                    cur = close(held[-1])
             continue
         if tag in ("html", "body") and cur.up is None:
             if tag == "body":
                 child = Node("body", cur)
+                open_.setdefault("body", []).append(child)
                 cur.kids.append(child)
                 cur = child
             continue
-        if tag in _CLOSES_P or tag in _ENDS:
-            ends, stops = _ENDS.get(tag, (frozenset(), frozenset()))
-            node = cur
-            while node.up is not None and node.tag not in stops and not (node.tag in _SCOPE and node.tag not in ends):
-                if node.tag in ends or node.tag == "p" and tag in _CLOSES_P:
-                    cur = node.up
-                node = node.up
-        skip, main = _marks(tag, m[3])
-        child = Node(tag, cur, skip, main)
+        for kind in (0, *_ENDS.get(tag, ())) if tag in _CLOSES_P else _ENDS.get(tag, ()):
+            while (node := cur.near[kind]) is not None:
+                cur = close(node)
+        child = Node(tag, cur, *_marks(tag, m[3]))
         cur.kids.append(child)
         if tag in _RAW:
-            if lowered is None:
-                lowered = page.lower() if len(page.lower()) == n else page
-            end = lowered.find(f"</{tag}", pos)
-            if end < 0:
+            end = _raw_end(tag).search(page, pos)
+            if end is None:
                 break
-            close = find(">", end)
-            pos = n if close < 0 else close + 1
+            after = find(">", end.start())
+            pos = n if after < 0 else after + 1
         elif tag not in _VOID and not m[3].endswith("/"):
+            open_.setdefault(tag, []).append(child)
             cur = child
     return top
 
 
-def measure(top: Node) -> list[Node]:
-    """Characters and tags of every kept node, all and in links, its density and its children's sum. Children before parents."""
-    order, stack, seen = [], [top], []
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I | re.A)
+
+
+def _kept(node: Node) -> list[Node]:
+    return [k for k in node.kids if isinstance(k, Node) and not k.skip]
+
+
+def _down(top: Node) -> list[Node]:
+    """All kept nodes, parents before children."""
+    out, stack = [], [top]
     while stack:
         node = stack.pop()
-        seen.append(node)
-        stack += [k for k in node.kids if isinstance(k, Node) and not k.skip]
-    for node in reversed(seen):
-        text = sum(len(k) - k.count(" ") - k.count("\n") for k in node.kids if isinstance(k, str))
-        kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
-        node.chars = text + sum(k.chars for k in kids)
+        out.append(node)
+        stack += _kept(node)
+    return out
+
+
+def measure(top: Node) -> list[Node]:
+    """Characters and tags of every kept node, all and in links, its density and its children's sum."""
+    for node in reversed(_down(top)):
+        kids = _kept(node)
+        node.chars = sum(len(k) - k.count(" ") - k.count("\n") for k in node.kids if isinstance(k, str)) + sum(k.chars for k in kids)
         node.tags = len(kids) + sum(k.tags for k in kids)
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         else:
             node.link_chars, node.link_tags = sum(k.link_chars for k in kids), sum(k.link_tags for k in kids)
-        order.append(node)
-    body = order[-1]
-    ratio = body.link_chars / max(1, body.chars)
+        if node.weak and node.link_chars and 2 * node.link_chars >= node.chars:
+            node.skip = True  # parents come later and don't count it
+    order = _down(top)
+    ratio = top.link_chars / max(1, top.chars)
     for node in order:
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
         if c == 0:
@@ -158,37 +203,44 @@ def measure(top: Node) -> list[Node]:
         else:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             node.density = c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt) + 1e-9) / math.log(base + math.e - 1))
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.skip)
+    for node in order:
+        node.total = sum(k.density for k in _kept(node))
     return order
 
 
-def main_node(top: Node) -> Node | None:
-    """The subtree with the largest density sum in a region that reaches the body path's lowest density."""
+def _line(node: Node) -> list[Node]:
+    """A node and what stands above it."""
+    out = [node]
+    while out[-1].up is not None:
+        out.append(out[-1].up)
+    return out
+
+
+def region(top: Node) -> list[Node]:
+    """The main text's subtrees in page order: the one of largest density sum among nodes that reach the body path's lowest density, with
+    the article around it and its likes beside it."""
     order = measure(top)
-    if not order or order[-1].chars == 0:
-        return None
+    if top.chars == 0:
+        return []
     peak = max(order, key=lambda x: (x.density, x.chars))
-    path, node = [], peak
-    while node is not None:
-        path.append(node)
-        node = node.up
-    threshold = min(x.density for x in path)
-    named = [x for x in order if x.main and x.chars and x.density >= threshold] or [x for x in order if x.main and x.chars]
-    articles = [x for x in named if x.tag == "article"] or named
-    if articles:
-        region = max(articles, key=lambda x: x.chars)
-        up = region.up
-        while up is not None:  # the outermost one: a section of the same article may be an article as well
-            if up.tag == region.tag:
-                region = up
-            up = up.up
-        return region
-    best = max((x for x in order if x.density >= threshold and x.chars), key=lambda x: max(x.total, x.density), default=None)
-    return best or order[-1]
+    threshold = min(x.density for x in _line(peak))
+    core = max((x for x in order if x.density >= threshold and x.chars), key=lambda x: (max(x.total, x.density), x.main), default=top)
+    named = [x for x in _line(core) if x.main and x.density >= threshold]
+    found = ([x for x in named if x.tag == "article"] or named or [core])[-1]  # the outermost: a section of an article may be an article too
+    if found.up is None:
+        return [found]
+    plain = found.chars - found.link_chars
+    alike = [k for k in _kept(found.up) if k is found or k.tag == found.tag and found.tag in _BLOCK and k.density >= threshold and 4 * (k.chars - k.link_chars) >= plain]
+    if found.tag not in _BLOCK or found.tag in ("p", "li", "td", "tr"):
+        return [found.up]
+    if not found.main and found.tag != "body":  # its headings may stand before it
+        before = found.up.kids[: found.up.kids.index(alike[0])]
+        alike = [k for k in before if isinstance(k, Node) and not k.skip and k.tag in ("h1", "h2")] + alike
+    return alike
 
 
 def blocks(root: Node) -> list[str]:
-    """Texts of the blocks below `root` in page order, white space turned into single spaces."""
+    """Texts of the blocks below `root` in page order, white space turned into single spaces. Blocks below it that are mostly links are left out."""
     out, line = [], []
 
     def flush() -> None:
@@ -204,11 +256,14 @@ def blocks(root: Node) -> list[str]:
             line.append(x)
         elif x is None:
             flush()
-        elif not x.skip or x is root:
+        elif x is root or not x.skip:
             if x.tag == "br":
                 line.append(" ")
                 continue
             if x.tag in _BLOCK:
+                if x is not root and x.link_tags >= 3 and x.link_chars >= LINKED * x.chars:
+                    flush()
+                    continue
                 flush()
                 stack.append(None)
             stack += reversed(x.kids)
@@ -216,11 +271,36 @@ def blocks(root: Node) -> list[str]:
     return out
 
 
+def _open_forms(top: Node) -> None:
+    """A form that holds an article or more than half of the page's text is a wrapper: only its controls are left out."""
+    forms, stack, total = [], [top], 0
+    while stack:
+        node = stack.pop()
+        total += sum(len(k) for k in node.kids if isinstance(k, str))
+        for k in node.kids:
+            if isinstance(k, Node):
+                if k.tag == "form":
+                    forms.append(k)
+                elif not k.skip:
+                    stack.append(k)
+    for form in forms:
+        inner, main, below = 0, False, [form]
+        while below:
+            node = below.pop()
+            inner += sum(len(k) for k in node.kids if isinstance(k, str))
+            kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
+            main = main or any(k.main for k in kids)
+            below += kids
+        if main or inner > total:
+            form.skip = False
+
+
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    root = main_node(parse(page))
-    return "\n".join(blocks(root)) if root is not None else ""
+    top = parse(page)
+    _open_forms(top)
+    return "\n".join(line for root in region(top) for line in blocks(root))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
