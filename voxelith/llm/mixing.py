@@ -80,5 +80,6 @@ def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.
     limits = stored(thresholds(sizes, stored(targets(totals, weights, share, repeat), "targets")), "thresholds")
     limits = small(limits.withColumnRenamed("source", "source_"), SOURCES_MAX)
     out = docs.join(limits, docs["source"].eqNullSafe(F.col("source_")), "left")
-    copies = F.col("base") + F.when(place(docs["doc_id"]) < F.col("below"), 1).otherwise(0)
+    # where a target is `repeat` times its source's size, nothing is left for a further copy, not even of an empty text
+    copies = F.least(F.col("base") + F.when(place(docs["doc_id"]) < F.col("below"), 1).otherwise(0), F.lit(repeat))
     return out.select(*[docs[c] for c in docs.columns], word_count(docs["text"]).alias("size"), "source_size", "target", copies.cast("int").alias("copies"))
