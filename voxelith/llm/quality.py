@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import pieces, stored, text_buffers, word_hashes
+from voxelith.llm.common import drop_stored, pieces, stored, text_buffers, word_hashes
 
 FEATURES = ("log_words", "log_word_bytes", "inner_upper", "symbols", "same_as_previous", "repeated_words", "digits", "punctuation", "log_line_bytes")
 #: Shares of the pooled covariance and of its diagonal in each class's covariance; the floor of a variance.
@@ -110,6 +110,14 @@ class Discriminant:
             sides.append(total)
         return sides[1] - sides[0]
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """score() of rows of FEATURES, for tasks."""
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
+        sides = [self.logs[c] - 0.5 * (((x - self.means[c]) @ self.factors[c].T) ** 2).sum(1) for c in (0, 1)]
+        z = sides[1] - sides[0]
+        return 1 / (1 + np.exp(-z / (1 + np.abs(z) / 30)))
+
     def score(self) -> Column:
         """The log odds, bent so that far values stay apart in double precision, as a probability."""
         if self.constant is not None:
@@ -119,11 +127,16 @@ class Discriminant:
 
 
 def fit(stats: DataFrame, label_col: str = "label") -> Discriminant:
-    """Fit on all rows of `stats` whose label is 0 or 1. One aggregation; its result has two rows."""
+    """Fit on all rows of `stats` whose label is 0 or 1. Two aggregations, of one and two rows: the overall means, and sums of what
+    lies around them, so that sums of very many rows keep their digits."""
     d = len(FEATURES)
-    terms = [F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES))]
-    terms += [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
-    rows = {r[label_col]: r for r in stats.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).agg(*terms).collect()}
+    known = stored(stats.filter(F.col(label_col).isin(0, 1)).select(label_col, *FEATURES), "labelled-stats")
+    middle = [x or 0.0 for x in known.agg(*(F.avg(f) for f in FEATURES)).first()]
+    apart = [F.col(f) - m for f, m in zip(FEATURES, middle, strict=True)]
+    terms = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(apart))]
+    terms += [F.sum(apart[i] * apart[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
+    rows = {r[label_col]: r for r in known.groupBy(label_col).agg(*terms).collect()}
+    drop_stored(known)
     n = np.array([rows[c]["n"] if c in rows else 0 for c in (0, 1)], float)
     if min(n) < 2:
         return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2), float((n[1] + 1) / (n.sum() + 2)))
@@ -133,6 +146,7 @@ def fit(stats: DataFrame, label_col: str = "label") -> Discriminant:
         for i in range(d):
             for j in range(i + 1):
                 covs[c, i, j] = covs[c, j, i] = rows[c][f"p{i}_{j}"] / n[c] - means[c, i] * means[c, j]
+        means[c] += middle
     pooled = (n[0] * covs[0] + n[1] * covs[1]) / n.sum()
     factors, logs = np.zeros((2, d, d)), np.zeros(2)
     for c in (0, 1):
@@ -170,7 +184,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` whose score reaches `threshold`, with all their columns. Equal texts have equal scores; null ids are no reason to reject."""
+    """The rows of `docs` whose score reaches `threshold`, with all their columns. Texts are scored where they are read, so none is
+    shuffled. Equal texts have equal scores; null ids are no reason to reject."""
     stats, model = _fitted(docs, labels)
-    rejected = stats.select("doc_id", "text_key", model.score().alias("score")).filter(F.col("score") < threshold).select(F.col("doc_id").alias("no_id"), F.col("text_key").alias("no_key")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("no_id")) & (F.xxhash64(docs["text"]) == F.col("no_key")), "left_anti")
+    drop_stored(stats)
+    at = docs.columns.index("text")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(held.value.scores(statistics(b.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
