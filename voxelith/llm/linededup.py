@@ -7,7 +7,10 @@ pairs are verified by edit distance.
 
 Two strings within one edit also agree in one half: up to the middle before the edit, or from the middle
 after it. So only lines that share a half with another line emit variants at all, and only of what lies
-outside that half, keyed together with it; other variants could match nothing that the check would keep. Equal lines are one row from the start, held by their
+outside that half, keyed together with it; other variants could match nothing that the check would keep.
+What lies there is cut into runs of WINDOW characters from both ends, whose hashes are chained: a variant is the
+hashes of the whole runs before and after the character left out, and the few characters between them, so a line
+of n characters costs n times WINDOW, not n times n. Equal lines are one row from the start, held by their
 earliest place, so copies and very common lines add nothing to the joins. Buckets of equal variants are
 matched with a bucket's members one to one with their lines; a line needs only the earliest place among the
 lines near it.
@@ -23,16 +26,18 @@ from pyspark.sql import functions as F
 from voxelith.llm.common import drop_stored, key128, small, stored
 
 MIN_CHARS, MAX_EDITS = 20, 1
-#: Documents at most whose lists of removed lines are broadcast.
-CHANGED_MAX = 200_000
+#: Characters of a run; a variant's middle has less than two.
+WINDOW = 128
+#: Documents and removed lines at most whose lists are broadcast: some 20 MB.
+CHANGED_MAX, REMOVED_MAX = 200_000, 4_000_000
 #: Shared halves, and lines with an earlier place, at most that are broadcast.
 HALVES_MAX, BOUNDS_MAX = 2_000_000, 500_000
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, line_no, line) of every line that takes part."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.filter(F.length("line") >= MIN_CHARS)
+    return rows.filter(F.length("line") >= min_chars)
 
 
 def place() -> Column:
@@ -56,20 +61,71 @@ def outside(line: Column, n: Column, h: Column) -> Column:
     return F.when(h["side"] == "b", F.substring(line, h["cut"] + 1, n)).otherwise(F.substring(line, F.lit(1), n - h["cut"]))
 
 
-def variants(rest: Column, n: Column, half: Column) -> Column:
-    """Keys of `rest`, n characters, as it is and with each one left out, together with the half beside it."""
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(half, F.concat(F.substring(rest, F.lit(1), i - 1), F.substring(rest, i + 1, n))))
-    return F.array_distinct(F.array_append(cut, F.xxhash64(half, rest)))
+def runs(text: Column) -> Column:
+    """The text's runs of WINDOW characters, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def chained(parts: Column, start: Column) -> Column:
+    """`start`, and the hash of everything up to each run."""
+    return F.aggregate(parts, F.array(start), lambda acc, x: F.array_append(acc, F.xxhash64(F.element_at(acc, -1), x)))
+
+
+def variants(emitted: DataFrame) -> DataFrame:
+    """(k1, k2, variant): keys of `rest` as it is and with each one character left out, together with the half beside it. `emitted`: k1, k2, half, rest.
+
+    With t whole runs before a character and u after it, a variant's key is (half, hash of the t, hash of the u, what is
+    between them without the character). A text as it is meets a longer one's variants under the t and u of that one.
+    """
+    n, w = F.col("n"), F.lit(WINDOW)
+    cut = emitted.withColumns({"n": F.length("rest"), "parts": runs(F.col("rest")), "ends": runs(F.reverse("rest"))})
+    cut = cut.select("k1", "k2", "n", "parts", chained(F.col("parts"), F.col("half")).alias("before"), chained(F.col("ends"), F.lit(1).cast("long")).alias("after"))
+    a = F.floor(n / w).cast("int")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), a), lambda t: F.array(F.struct(t.alias("t"), (a - t - 1).alias("u")), F.struct(t.alias("t"), (a - t).alias("u")))))
+    part = lambda i: F.coalesce(F.get("parts", i), F.lit(""))
+    first = lambda n, t, u: F.greatest(F.lit(1), n - w * (u + 1) - w * t + 1)
+    last = lambda n, t, u: F.least(w, n - w * u - w * t)
+
+    def between(p: Column) -> Column:
+        t, u = p["t"], p["u"]
+        middle = F.substring(F.concat(part(t), part(t + 1)), F.lit(1), F.greatest(F.lit(0), n - w * u - w * t))
+        whole = first(n + 1, t, u) <= last(n + 1, t, u)
+        return F.struct(middle.alias("m"), first(n, t, u).alias("lo"), last(n, t, u).alias("hi"), whole.alias("whole"), F.xxhash64(F.get("before", t), F.get("after", u), t, u).alias("base"))
+
+    # only what lies between is copied for each pair of runs, not the runs themselves
+    at = cut.select("k1", "k2", F.explode(F.transform(F.filter(pairs, lambda p: p["u"] >= 0), between)).alias("b")).select("k1", "k2", "b.*")
+    at = at.filter("lo <= hi or whole")
+    left_out = lambda i: F.xxhash64("base", F.concat(F.substring("m", F.lit(1), i - 1), F.substring("m", i + 1, F.lit(2 * WINDOW))))
+    keys = F.when(F.col("lo") <= F.col("hi"), F.transform(F.sequence("lo", "hi"), left_out)).otherwise(F.array().cast("array<bigint>"))
+    keys = F.array_distinct(F.when(F.col("whole"), F.array_append(keys, F.xxhash64("base", "m"))).otherwise(keys))
+    return at.select("k1", "k2", F.explode(keys).alias("variant"))
+
+
+def within_edits(x: Column, y: Column) -> Column:
+    """Whether two lines are within MAX_EDITS edits. Equal runs at both ends of long lines, which don't change the distance, are taken off
+    first: what is left of lines within the bound is short, and lines of which more is left are not."""
+
+    def equal_runs(a: Column, b: Column) -> Column:
+        same = F.zip_with(a, b, lambda u, v: F.coalesce(u == v, F.lit(False)))
+        at = F.array_position(same, F.lit(False))
+        return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
+
+    n, m = F.length(x), F.length(y)
+    p = equal_runs(runs(x), runs(y))
+    q = F.least(equal_runs(runs(F.reverse(x)), runs(F.reverse(y))), F.floor((F.least(n, m) - p * WINDOW) / WINDOW).cast("int"))
+    middle = lambda text, size: F.substring(F.array_join(F.slice(runs(text), p + 1, F.lit(4)), ""), F.lit(1), size - (p + q) * WINDOW)
+    near = (F.greatest(n, m) - (p + q) * WINDOW <= 3 * WINDOW) & (F.levenshtein(middle(x, n), middle(y, m), MAX_EDITS) >= 0)
+    return (F.abs(n - m) <= MAX_EDITS) & F.when(F.greatest(n, m) <= 4 * WINDOW, F.levenshtein(x, y, MAX_EDITS) >= 0).otherwise(near)
+
+
+def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, removed): the line numbers that go, for each document that loses any."""
-    keyed = lines_of(docs).withColumns(dict(zip(("k1", "k2"), key128(F.col("line")), strict=True)))
+    keyed = lines_of(docs, min_chars).withColumns(dict(zip(("k1", "k2"), key128(F.col("line")), strict=True)))
     copied = keyed.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
 
     # distinct lines that share a half with another one
     n = F.length("line")
-    shared = keyed.select(F.col("k1").bitwiseAND(0x7FFFFFFF).cast("int").alias("k"), F.explode(F.transform(halves(F.col("line"), n), lambda h: h["half"])).alias("half")).groupBy("half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    shared = keyed.select(F.col("k1").alias("k"), F.explode(F.transform(halves(F.col("line"), n), lambda h: h["half"])).alias("half")).groupBy("half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     shared = stored(shared.filter("lo <> hi").select("half"), "shared-halves")
     close = keyed.withColumn("part", F.explode(halves(F.col("line"), n))).join(small(shared, HALVES_MAX), F.col("part.half") == F.col("half"), "left_semi")
     close = stored(close.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.min("line").alias("line"), F.collect_set("part").alias("parts")), "close-lines")
@@ -77,8 +133,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # equal variants, verified
     # the exchange also keeps the planner from computing `rest` again for each variant
     emitted = close.select("k1", "k2", "line", F.explode("parts").alias("part"))
-    emitted = emitted.select("k1", "k2", F.col("part.half").alias("half"), outside(F.col("line"), F.length("line"), F.col("part")).alias("rest")).withColumn("n", F.length("rest")).repartition("k1", "k2")
-    emitted = stored(emitted.select("k1", "k2", F.explode(variants(F.col("rest"), F.col("n"), F.col("half"))).alias("variant")), "emitted")
+    emitted = emitted.select("k1", "k2", F.col("part.half").alias("half"), outside(F.col("line"), F.length("line"), F.col("part")).alias("rest")).repartition("k1", "k2")
+    emitted = stored(variants(emitted), "emitted")
     own = emitted.groupBy("variant").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("variant")
     met = stored(emitted.join(own, "variant", "left_semi"), "variants")
     x, y = met.alias("x"), met.alias("y")
@@ -86,7 +142,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     pairs = pairs.select(*(F.col(f"{s}.{k}").alias(f"{s}{k}") for s in "xy" for k in ("k1", "k2"))).distinct()
     side = lambda s: close.select(F.col("k1").alias(f"{s}k1"), F.col("k2").alias(f"{s}k2"), F.col("line").alias(f"{s}_line"))
     near = pairs.join(side("x"), ["xk1", "xk2"]).join(side("y"), ["yk1", "yk2"])
-    near = near.filter(F.levenshtein("x_line", "y_line", MAX_EDITS) >= 0).select("xk1", "xk2", "yk1", "yk2")
+    near = near.filter(within_edits(F.col("x_line"), F.col("y_line"))).select("xk1", "xk2", "yk1", "yk2")
     near = stored(near, "near-lines")
     both = near.unionByName(near.select(F.col("yk1").alias("xk1"), F.col("yk2").alias("xk2"), F.col("xk1").alias("yk1"), F.col("xk2").alias("yk2")))
     places = close.select(F.col("k1").alias("yk1"), F.col("k2").alias("yk2"), F.col("first").alias("other"))
@@ -102,17 +158,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """`docs` (doc_id, text) with text, n_lines and n_removed: each text without lines that have an earlier equal or nearly equal line.
 
-    Lines end at \\n. A line of fewer than MIN_CHARS characters always stays. A line goes if a line equal to it
+    Lines end at \\n. A line of fewer than `min_chars` characters always stays (1 compares every line but empty ones). A line goes if a line equal to it
     or within MAX_EDITS character edits stands earlier: in a document of smaller doc_id (null last), or
     further up in its own; it goes even if that earlier line goes as well. Rows equal in doc_id and text
     are in the same place, so neither takes lines from the other. Null texts stay null with no lines, empty
     texts have one empty line. An empty table gives an empty result; other columns are dropped.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    gone = small(removed_lines(docs).withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"}), CHANGED_MAX)
+    gone = removed_lines(docs, min_chars).withColumnsRenamed({"doc_id": "g_id", "text_key": "g_key"})
+    if (gone.agg(F.sum(F.size("removed"))).first()[0] or 0) <= REMOVED_MAX:
+        gone = small(gone, CHANGED_MAX)
     out = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("g_id")) & (F.col("text_key") == F.col("g_key")), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("removed"), i))
