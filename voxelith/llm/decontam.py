@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import pieces, stored, text_buffers, word_hashes
+from voxelith.llm.common import _STEP, mix, pieces, small, stored, text_buffers, word_hashes
 
 #: Bits of a word's feature; features, not words, are counted, so tables of them have a fixed size.
 BITS = 17
@@ -35,8 +35,10 @@ WINDOWS = (16, 32, 64)
 #: Words in more than this share of the documents, and in more than COMMON_LEAST, weigh nothing, unless an item has fewer than THIN others.
 COMMON, COMMON_LEAST, THIN = 0.05, 50, 4
 PASSAGE, PASSAGE_STEP = 48, 32
-#: Items with fewer words than this are not searched: they are no evidence of a leak.
+#: Items with fewer words than this are no evidence of a leak inside a sentence: they are searched among whole lines only.
 LEAST_WORDS = 5
+#: Short items at most that are broadcast to the lines; beyond that, lines and items are shuffled.
+SHORT_MAX = 1_000_000
 RANK = 256
 #: Passages of a block on average, with room up to RANK for uneven ones, and blocks searched in one scan of the documents.
 BLOCK, SCAN = RANK * 3 // 4, 8
@@ -48,14 +50,26 @@ _GAP[128:] = False
 _SHIFT = np.uint64(64 - BITS)
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words between ASCII punctuation and white space, and the words before each text."""
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces (Thai, Lao, Myanmar, Khmer, kana and Han) begin and end in UTF-8."""
+    b, nxt = data[:-1], data[1:]
+    three = (b == 0xE0) & (nxt >= 0xB8) & (nxt <= 0xBB) | (b == 0xE1) & ((nxt >= 0x80) & (nxt <= 0x82) | (nxt >= 0x9E) & (nxt <= 0x9F)) | (b >= 0xE3) & (b <= 0xE9)
+    four = (b == 0xF0) & (nxt >= 0xA0) & (nxt <= 0xAF)
+    three, four = np.flatnonzero(three), np.flatnonzero(four)
+    return np.concatenate([three, three + 3, four, four + 4])
+
+
+def words_of(texts: pa.Array, ends: bool = False) -> tuple[np.ndarray, ...]:
+    """Hashes of lower-cased words between ASCII punctuation and white space, and the words before each text. Each character of a
+    script without spaces is a word. With `ends`, also each word's line: how many line ends stand before it."""
     data, offsets = text_buffers(texts)
     if data.max(initial=0) >= 128:  # capitals of Latin-1 letters in UTF-8
         low = np.zeros(len(data), bool)
         low[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         data = np.where(low, data + 0x20, data).astype(np.uint8)
-    return word_hashes(data, offsets, gap=_GAP)
+    cuts = _unspaced(data) if data.max(initial=0) >= 0xE0 else None
+    found = word_hashes(data, offsets, gap=_GAP, cuts=cuts, ends=ends)
+    return (*found[:2], np.searchsorted(np.flatnonzero(data == 10), found[2])) if ends else found
 
 
 def feature(words: np.ndarray) -> np.ndarray:
@@ -322,6 +336,44 @@ def windows_near(words: np.ndarray, at: np.ndarray, block: Block, grid: Grid | N
                         yield int(text[c[w]]), int(p), start, end, cosine
 
 
+def _run_hash(words: np.ndarray) -> int:
+    """A signed hash of a short run of words."""
+    h = sum((int(w) * int(c) for w, c in zip(words, _STEP, strict=False)), len(words) * 0x2545F4914F6CDD1D) & (2**64 - 1)
+    return int(mix(np.array([h], np.uint64)).view(np.int64)[0])
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """(run, item_id): a hash of the words of every item with fewer than LEAST_WORDS words, but at least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = words_of(b.column(1))
+            own = [i for i in range(len(b)) if 0 < at[i + 1] - at[i] < LEAST_WORDS]
+            yield pa.RecordBatch.from_arrays([pa.array([_run_hash(words[at[i] : at[i + 1]]) for i in own], pa.int64()), b.column(0).take(pa.array(own, pa.int64()))], ["run", "item_id"])
+
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(run, "run long, item_id long")
+
+
+def short_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, run) of every line with fewer than LEAST_WORDS words, but at least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in pieces(b.column(2), 1 << 19):
+                words, at, line = words_of(b.column(2)[i:j], ends=True)
+                text = np.repeat(np.arange(j - i), np.diff(at))
+                new = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])) if len(words) else np.zeros(0, int)
+                n = np.diff(np.append(new, len(words)))
+                new, n = new[n < LEAST_WORDS], n[n < LEAST_WORDS]
+                h = n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+                for k in range(LEAST_WORDS - 1):
+                    h[n > k] += words[new[n > k] + k] * _STEP[k]
+                rows = pa.array(i + text[new])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(mix(h).view(np.int64))], ["doc_id", "text_key", "run"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, run long")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_key, item_id, cosine, overlap for each row of `docs` and item that it holds. text_key is xxhash64 of the text."""
     spark = docs.sparkSession
@@ -334,11 +386,16 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, text_key long, item_id long, cosine double, overlap double"
     found = spark.createDataFrame([], schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    block = F.pmod(F.xxhash64("item_id", "part", "words"), F.lit(blocks))
     for lo in range(0, blocks, SCAN):
-        own = [prepare(parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k).coalesce(1), weights) for k in range(lo, min(lo + SCAN, blocks))]
+        own = [prepare(parts.filter(block == k).coalesce(1), weights) for k in range(lo, min(lo + SCAN, blocks))]
         own = [b for b in own if b is not None]
         if own:
             found = found.unionByName(rows.mapInArrow(_search(spark.sparkContext.broadcast(own)), schema))
+    short = stored(short_items(benchmark).distinct(), "short-items")
+    if short.head(1):
+        met = short_lines(rows).join(small(short, SHORT_MAX), "run").select("doc_id", "text_key", "item_id").distinct()
+        found = found.unionByName(met.withColumns({"cosine": F.lit(1.0), "overlap": F.lit(1.0)}))
     return found
 
 
@@ -373,7 +430,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, overlap: one row for each document and benchmark item that it holds.
 
     `docs` has doc_id and text, `benchmark` item_id and text. Null, empty and wordless texts hold nothing;
-    items of fewer than LEAST_WORDS words, null ones too, are not searched. Repeated rows of one doc_id give
+    an item of fewer than LEAST_WORDS words is held by a document with a line of just these words; items without
+    words and null ones are not searched. Repeated rows of one doc_id give
     one row with the largest values. Empty tables give an empty result; extra columns are not read.
     """
     return hits(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("overlap").alias("overlap"))
