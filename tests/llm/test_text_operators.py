@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import re
 import time
@@ -301,6 +302,12 @@ def test_mix_targets_and_totals(spark):
     assert again == Counter(map(tuple, out)) and mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_empty_texts_of_a_capped_source_are_taken_twice_at_most(spark):
+    rows = [(i, "" if i % 3 == 0 else "a b c", "small") for i in range(60)] + [(100 + i, "w " * 50, "large") for i in range(60)]
+    out = mixing.mixed(docs(spark, [t for _, t, _ in rows], [i for i, _, _ in rows], [x for _, _, x in rows])).collect()
+    assert max(r["copies"] for r in out) == 2 and {r["copies"] for r in out if r["source"] == "small"} == {2}
+
+
 # ---- 5: token files ----
 
 
@@ -382,6 +389,30 @@ def test_held_out_accuracy(spark):
     assert out[out.quality == 1].predicted.mean() > 0.99
 
 
+def test_scores_equal_density_differences(spark):
+    rng = random.Random(4)
+    texts = [" ".join(words(rng, rng.randrange(1, 90), 300)) + ("!" * rng.randrange(0, 9) + " 12 A#b") * (i % 2) for i in range(120)]
+    df = docs(spark, texts)
+    known = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(df, known).collect()}
+    x = quality.statistics(pa.array(texts))
+    y = np.array([1 - i % 2 if zlib.crc32(str(i).encode()) % 4 != 2 else -1 for i in range(120)])
+    n = [(y == c).sum() for c in (0, 1)]
+    covs = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (n[0] * covs[0] + n[1] * covs[1]) / sum(n)
+    logs = []
+    for c in (0, 1):
+        w = quality.TO_POOLED * min(1, 1000 / n[c])
+        cov = (1 - w - quality.TO_DIAGONAL) * covs[c] + w * pooled + quality.TO_DIAGONAL * np.diag(np.diag(covs[c])) + quality.FLOOR * np.eye(len(pooled))
+        d = x - x[y == c].mean(0)
+        logs.append(np.log(n[c] / sum(n)) - np.linalg.slogdet(cov)[1] / 2 - (d @ np.linalg.inv(cov) * d).sum(1) / 2)
+    z = logs[1] - logs[0]
+    want = 1 / (1 + np.exp(-z / (1 + np.abs(z) / 30)))
+    assert np.allclose([got[i] for i in range(120)], want, atol=1e-6)
+    kept = {r["doc_id"] for r in quality.accepted(df.withColumn("digits", F.lit("clash")), known).collect()}
+    assert kept == {i for i in range(120) if want[i] >= 0.7}
+
+
 def test_scores_of_odd_rows_and_missing_labels(spark):
     df = docs(spark, [None, "", "same text", "same text", "x" * 2_000_000, "A " * 500_000], [1, 2, 3, 3, None, 6]).withColumn("label", F.lit("clash"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -455,6 +486,26 @@ def test_trees_learn_plain_at_and_compressed_addresses(spark):
     assert {"jane at host.example.org", "2001:db8::a01:203"} <= found and len(found) == 2
 
 
+def test_trees_find_forms_that_no_template_has(spark):
+    rng = random.Random(10)
+    texts = [" ".join([*words(rng, 20), f"mail u{i}@h{i % 9}.example.org", *words(rng, 9), f"tel +1 (0{i % 90 + 10}) 555-{rng.randrange(1000, 9999)}", *words(rng, 9), f"server 10.{i % 200}.{i % 250}.7", f"{rng.randrange(300, 999)}.1.2.3"]) for i in range(400)]
+    model = pii.train(docs(spark, [*texts, *texts[:1] * 500]))
+    found = Counter()
+    for i in range(100):
+        for kind, own in (("email", f"joe.w{i}{{at}}mail{i % 7}.example.net"), ("email", f"ann{i}(at)site.example.com"), ("phone", f"({rng.randrange(200, 999)}) 555.{rng.randrange(1000, 9999)}"), ("ip", f"2001:db8:7::{i + 17:x}")):
+            text = " ".join([*words(rng, 12), "contact" if kind == "email" else "call" if kind == "phone" else "host", own, *words(rng, 12)])
+            spans = pii.select(text, model)[1]
+            found[kind, "hit"] += own in {text[s:e] for _, s, e in spans}
+            found[kind, "all"] += 1
+            found["extra"] += len([1 for _, s, e in spans if text[s:e] != own])
+    for i in range(200):
+        text = " ".join([*words(rng, 20), f"at {i % 12 + 1}:{i % 60:02} on page {i} of 345, version 1.{i % 9}.2, look at home. Then 12 34", *words(rng, 5)])
+        found["clean"] += bool(pii.select(text, model)[1])
+    for kind in ("email", "phone", "ip"):
+        assert found[kind, "hit"] >= 0.9 * found[kind, "all"], found
+    assert found["clean"] <= 2 and found["extra"] <= 8, found
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" + " " * 300_000, "@a" * 100_000):
         pii.select(text, pii.Boosted())
@@ -465,12 +516,10 @@ def test_long_runs_take_linear_time():
 
 def lines_by_force(rows):
     def within(a, b):
-        if a == b:
-            return True
         if abs(len(a) - len(b)) > 1:
             return False
-        p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        return a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else (a[p + 1 :] == b[p:] if len(a) > len(b) else a[p:] == b[p + 1 :])
+        p = len(os.path.commonprefix([a, b]))
+        return max(len(a), len(b)) - p - len(os.path.commonprefix([a[p:][::-1], b[p:][::-1]])) <= 1
 
     all_ = [((d is None, d or 0, n), x) for d, t in rows if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= 20]
     first = {}
@@ -505,6 +554,30 @@ def test_lines_equal_brute_force(spark):
     assert linededup.without_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_long_lines(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    rows, w = [], linededup.WINDOW
+    for n in (w, w + 1, 2 * w - 1, 2 * w, 2 * w + 1, 2 * w + 2, 4 * w - 1, 4 * w, 4 * w + 1, 6 * w + 60):
+        x = text(n)
+        for k in {0, 1, n // 2, n // 2 + 1, n - 1, w - 1, w % n, rng.randrange(n)}:
+            for y in (x[:k] + x[k + 1 :], x[:k] + "ü" + x[k:], x[:k] + "#" + x[k + 1 :], x[:k] + "##" + x[k:], x):
+                rows.append((len(rows), y))
+    rng.shuffle(rows)
+    got = Counter(tuple(r) for r in linededup.without_repeated_lines(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect())
+    assert got == lines_by_force(rows)
+    x = text(1_000_000)
+    began = time.time()
+    out = linededup.without_repeated_lines(docs(spark, [x, x[:600_000] + "#" + x[600_000:], x[:-2] + "##"])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {0: 0, 1: 1, 2: 0} and time.time() - began < 120
+
+
+def test_short_lines_can_take_part(spark):
+    rows = [(1, "ab\nabc\nx"), (2, "ab\nzz"), (3, "")]
+    out = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(docs(spark, [t for _, t in rows], [1, 2, 3]), min_chars=2).collect()}
+    assert out == {1: "ab\nx", 2: "zz", 3: ""}
+
+
 # ---- 9: secrets ----
 
 
@@ -552,6 +625,36 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_unspaced_scripts_and_short_items(spark):
+    rng = random.Random(13)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    items = [han(40) for _ in range(20)] + ["".join(chr(rng.randrange(0x0E01, 0x0E2E)) for _ in range(40)), "what is 2+2?", "Capital of France"]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, "?!")], "item_id long, text string")
+    edited = lambda x: x[:9] + han(1) + x[10:25] + x[26:]
+    texts = [han(60) + edited(x) + han(60) for x in items[:20]] + [f"abc {items[20]} def", "Q:\nWhat is 2 + 2?\nfour", "the capital of france is", "capital of  France", None, ""]
+    texts += [han(150) for _ in range(40)] + [" ".join(words(rng, 60)) for _ in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(i, i) for i in range(22)} | {(23, 22)}
+    assert len(decontam.words_of(pa.array(["ab 日本 语x"]))[0]) == 5
+
+
+def test_recall_on_paraphrases(spark):
+    rng = random.Random(14)
+    items = [words(rng, rng.randrange(20, 46)) for _ in range(120)]
+
+    def paraphrase(w):
+        out = []
+        for x in w:
+            r = rng.random()
+            out += [f"p{rng.randrange(999)}"] if r < 0.1 else [] if r < 0.18 else [x, f"q{rng.randrange(999)}"] if r < 0.24 else [x]
+        return out
+
+    texts = [" ".join(words(rng, 80) + paraphrase(w) + words(rng, 80)) for w in items] + [" ".join(words(rng, 200)) for _ in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs(spark, texts), bench).collect()}
+    assert len(got & {(i, i) for i in range(120)}) >= 0.9 * 120 and not got - {(i, i) for i in range(120)}
+
+
 def test_window_search_equals_brute_force():
     rng = random.Random(12)
     parts = [words(rng, k, 400) for k in (9, 14, 20, 30, 40, 60)]

@@ -1,7 +1,7 @@
 """Personal data: candidate spans, boosted trees, calibrated selection.
 
 Fixed patterns give the base spans, which are always kept. Wider generators propose further spans, which may
-overlap: numbers without a country code, spelled-out addresses, unusual separators, six-part addresses.
+overlap: numbers without a country code, spelled-out addresses, unusual separators, eight-group addresses.
 Gradient-boosted trees score every candidate from its format and its surroundings; candidates above the
 calibrated threshold that overlap no kept span are added, best first.
 
@@ -173,24 +173,31 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
                 yield features(text[max(0, s - 60) : s] + form + text[e : e + 20], (kind, min(s, 60), min(s, 60) + len(form))), 0
 
 
+#: What every match of a fixed pattern has in it, in Java's syntax.
+_SOME = r"@[A-Za-z0-9-]|\+[0-9]|[0-9]\.[0-9]+\.[0-9]|[0-9](?:[ -]?[0-9]){7}"
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Boosted:
-    """Fit on at most about `sample` documents of `docs` (text), chosen by a hash of the text, and at most 4 x `sample` rows of them."""
-    n = docs.count()
+    """Fit on at most about `sample` different texts of `docs` (text) that hold anything like personal data, chosen by a hash, and at
+    most 4 x `sample` rows of them. Rows of one text are all learnt from or all kept for calibration."""
     width = len(features("", (0, 0, 0)))
+    key = F.xxhash64("text")
+    likely = docs.select("text").filter(F.col("text").rlike(_SOME))
+    n = likely.agg(F.approx_count_distinct(key, 0.02)).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for x in b.column(0) for r in _examples(x.as_py() or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.float64()))], ["label", "x"])
+            rows = [(k, *r) for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in _examples(x.as_py() or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["k", "label", "x"])
 
-    share = min(1.0, sample / max(1, n))
-    key = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    rows = docs.filter(key < int(share * 1_000_000)).select("text").mapInArrow(run, "label int, x array<double>")
-    found = rows.orderBy(F.xxhash64("x"), "label").limit(4 * sample).toArrow()
+    # 62 bits, so that the smallest share of the largest corpus is not rounded to none
+    chosen = likely.select(key.alias("k"), "text").filter(F.pmod("k", F.lit(1 << 62)) < int(min(1.0, sample / max(1, n)) * (1 << 62)))
+    rows = chosen.dropDuplicates(["k"]).mapInArrow(run, "k long, label int, x array<double>")
+    found = rows.orderBy(F.xxhash64("x"), "label", "k").limit(4 * sample).toArrow()
     if not found.num_rows:
         return Boosted()
     x = np.array(found.column("x").to_pylist()).reshape(-1, width)
-    return fit(x, found.column("label").to_numpy())
+    return fit(x, found.column("label").to_numpy(), found.column("k").to_numpy() % 3 == 2)
 
 
 def select(text: str, model: Boosted) -> tuple[list[Span], list[Span]]:
