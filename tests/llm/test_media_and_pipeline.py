@@ -45,15 +45,47 @@ def recompressed(a, step):
     return out
 
 
-def test_keys_miss_no_pair_within_the_bound():
+def test_tables_find_near_descriptors():
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 1 << 64, (500, 4), dtype=np.uint64)
+    a = rng.integers(0, 1 << 64, (2000, 4), dtype=np.uint64)
     bits = np.unpackbits(a.view(np.uint8), axis=1, bitorder="little")
-    for i, row in enumerate(bits):
-        row[rng.choice(256, i % (media.MAX_BITS + 1), replace=False)] ^= 1
+    for row in bits:
+        row[rng.choice(256, media.NEAR_BITS, replace=False)] ^= 1
     b = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    assert (media.keys_of(a) == media.keys_of(b)).any(1).all()
-    assert (media.keys_of(a) == media.keys_of(np.roll(a, 1, 0))).any(1).mean() < 0.01
+    for n in (10, 10**6, 10**12):
+        drawn = media.tables(n)
+        assert (media.keys_of(a, drawn) == media.keys_of(b, drawn)).any(1).mean() > media.TARGET - 0.03
+    assert (media.keys_of(a, drawn) == media.keys_of(np.roll(a, 1, 0), drawn)).any(1).mean() < 0.001
+
+
+def test_recall_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    images = []
+    for i in range(60):
+        a = texture(rng, 64)
+        y, x = rng.integers(0, 12, 2)
+        edits = [a[y : y + 52, x : x + 52], a * 1.1 + 5, a[y : y + 52, x : x + 52] * 0.8, np.rot90(a), media._resized(a, 0.8), a + rng.normal(0, 2, a.shape), recompressed(a, 12)]
+        images += [(10 * i, a)] + [(10 * i + 1 + k, e) for k, e in enumerate(edits)]
+    df = image_table(spark, images)
+    got = {r["image_id"]: r["class_id"] for r in media.copy_classes(df).collect()}
+    found = [media.describe(np.clip(np.rint(a), 0, 255).astype(np.uint8)) for _, a in images]
+    pairs = [(m, n) for m in range(len(images)) for n in range(m) if images[m][0] // 10 == images[n][0] // 10]
+    linked = [(m, n) for m, n in pairs if media.same_picture(found[n][0], found[m][0], found[n][1], found[m][1])]
+    hit = sum(got[images[m][0]] == got[images[n][0]] for m, n in linked)
+    copies = sum(got[i] == i // 10 * 10 for i, _ in images if i % 10)
+    assert hit >= 0.9 * len(linked) and copies >= 0.9 * 420, (hit, len(linked), copies)
+    joined = {i // 10 for i, _ in images if got[i] // 10 != i // 10}
+    assert len(joined) <= 1, joined  # of 113,000 pairs of different pictures, three look alike at four places
+
+
+def test_large_pictures_have_corners_everywhere():
+    rng = np.random.default_rng(8)
+    big = np.vstack([np.hstack([texture(rng, 128) * (0.3 if (r, c) == (1, 1) else 1) for c in range(3)]) for r in range(3)])
+    at, words = media.describe(np.clip(big, 0, 255).astype(np.uint8))
+    quiet = ((at[:, :2] > 136) & (at[:, :2] < 248)).all(1)
+    assert quiet.sum() >= 8 and at[:, 2].max() > 3
+    crop = np.clip(big, 0, 255).astype(np.uint8)[130:250, 130:250]
+    assert media.same_picture(at, *[media.describe(crop)[k] for k in (0,)], words, media.describe(crop)[1])
 
 
 def test_noisy_rescaled_and_recompressed_copies(spark):
