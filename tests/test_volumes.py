@@ -152,3 +152,20 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"v{i}.nii").write_bytes(nifti.encode(np.zeros((2, 2, 2), np.uint8), np.eye(3, 4)))
         stream_headers(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_large_and_damaged_headers_are_judged(spark):
+    rows = [(1, 352 + 512 * 512 * 300 * 4, 512, 512, 300, 32, 0.0), (2, 352, 512, 512, 300, 32, 352.0), (3, 400, 32767, 32767, 32767, 64, 0.0), (4, 10**9, -5, 32767, 32767, 64, 1e30)]
+    h = spark.createDataFrame([(v, n, 348, "n+1", 3, 1, 16, *r) for v, n, *r in rows], "vol long, n_bytes long, sizeof_hdr int, magic string, ndim int, dim4 int, datatype int, n0 int, n1 int, n2 int, bitpix int, vox_offset double")
+    got = {r["vol"]: r["status"] for r in geometry.header_status(h).collect()}
+    assert got == {1: "ok", 2: "truncated", 3: "truncated", 4: "truncated"}
+
+
+def test_a_model_of_the_wrong_size_is_told(spark):
+    a = np.arange(64.0).reshape(4, 4, 4)
+    shape = spark.createDataFrame([(1, 4, 4, 4)], "vol long, nz int, ny int, nx int")
+    cut = tiles.bricks(tiles.extract(volume(spark, a), shape, (4, 4, 4), 0.5), (4, 4, 4))
+    out = tiles.score_bricks(cut, (4, 4, 4), [0], lambda f: lambda t, x: np.stack([x, -x]), 2)
+    assert np.array_equal(array(out.withColumn("v", F.col("logits")[1]), (4, 4, 4), "v"), -a)
+    with pytest.raises(Exception, match="not \\(3, 4, 4, 4\\)"):
+        tiles.score_bricks(cut, (4, 4, 4), [0], lambda f: lambda t, x: np.stack([x, -x]), 3).collect()

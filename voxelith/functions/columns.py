@@ -14,13 +14,13 @@ def clamp(i: Column, n: Column) -> Column:
 
 
 def linear_index(z: Column, y: Column, x: Column, ny: Column, nx: Column) -> Column:
-    """Offset of a voxel when x runs fastest."""
-    return (z * ny + y) * nx + x
+    """Offset of a voxel when x runs fastest, as a long."""
+    return (z.cast("long") * ny + y) * nx + x
 
 
 def from_linear(i: Column, ny: Column, nx: Column) -> tuple[Column, Column, Column]:
     """(z, y, x) of an offset when x runs fastest."""
-    return F.floor(i / (ny * nx)).cast("int"), F.floor(i / nx).cast("int") % ny, (i % nx).cast("int")
+    return F.floor(i / (ny.cast("long") * nx)).cast("int"), (F.floor(i / nx) % ny).cast("int"), (i % nx).cast("int")
 
 
 def pick(options: list[Column], which: Column) -> Column:

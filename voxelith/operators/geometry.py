@@ -17,8 +17,12 @@ def a(r: int, c: int) -> Column:
 
 
 def header_status(h: DataFrame) -> DataFrame:
-    """`h` with `status`: ok, or the first reason to set the file aside. Compare n_bytes with what the header promises."""
-    need = F.when(F.col("vox_offset") == 0, 352).otherwise(F.col("vox_offset")) + F.col("n0") * F.col("n1") * F.col("n2") * F.col("bitpix") / 8
+    """`h` with `status`: ok, or the first reason to set the file aside. Compare n_bytes with what the header promises.
+
+    The promised size is a double: any extents that a damaged header may hold fit, and whole sizes are exact up to 2 ** 53 bytes.
+    """
+    wide = lambda c: F.col(c).cast("double")
+    need = F.when(F.col("vox_offset") == 0, 352.0).otherwise(wide("vox_offset")) + wide("n0") * wide("n1") * wide("n2") * wide("bitpix") / 8
     codes = [d[0] for d in DTYPES]
     return h.withColumn(
         "status",

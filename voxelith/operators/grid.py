@@ -54,10 +54,13 @@ def dense(shape: DataFrame, nz: str = "nz", ny: str = "ny", nx: str = "nx") -> D
 
 
 def pad_to(voxels: DataFrame, shape: DataFrame, patch: tuple[int, int, int]) -> DataFrame:
-    """Zeros around each volume up to the patch; half of them, rounded down, before the first voxel."""
-    sides = shape.select("vol", *(F.greatest(F.col(f"n{k}"), F.lit(p)).alias(f"p{k}") for k, p in zip("zyx", patch, strict=True)), *(offset(F.col(f"n{k}"), p).alias(f"o{k}") for k, p in zip("zyx", patch, strict=True)))
-    moved = voxels.join(sides.select("vol", "oz", "oy", "ox"), "vol").withColumns({k: F.col(k) + F.col(f"o{k}") for k in "zyx"}).select("vol", "z", "y", "x", "val")
-    return dense(sides, "pz", "py", "px").join(moved, ["vol", "z", "y", "x"], "left").withColumn("val", F.coalesce("val", F.lit(0.0)))
+    """Zeros around each dense volume up to the patch; half of them, rounded down, before the first voxel. Only the zeros are made; voxels are moved in place."""
+    ends = [F.greatest(F.col(f"n{k}"), F.lit(p)).alias(f"p{k}") for k, p in zip("zyx", patch, strict=True)]
+    sides = shape.select("vol", "nz", "ny", "nx", *ends, *(offset(F.col(f"n{k}"), p).alias(f"o{k}") for k, p in zip("zyx", patch, strict=True)))
+    moved = voxels.join(sides.select("vol", "oz", "oy", "ox"), "vol").select("vol", *((F.col(k) + F.col(f"o{k}")).alias(k) for k in "zyx"), "val")
+    inside = [(F.col(k) >= F.col(f"o{k}")) & (F.col(k) < F.col(f"o{k}") + F.col(f"n{k}")) for k in "zyx"]
+    around = dense(sides, "pz", "py", "px").join(sides, "vol").filter(~(inside[0] & inside[1] & inside[2]))
+    return moved.unionByName(around.select("vol", "z", "y", "x", F.lit(0.0).alias("val")))
 
 
 def offset(n: Column, patch: int) -> Column:

@@ -86,6 +86,45 @@ def score_linear(tiles: DataFrame, weights: list[tuple[int, list[float], list[fl
     return tiles.withColumn("scored_", F.explode(folds)).select(*tiles.columns, "scored_.fold", "scored_.logits")
 
 
+def bricks(cut: DataFrame, patch: Patch) -> DataFrame:
+    """vol, tile_id, z0, y0, x0, brick: one row a tile of extract()'s rows, its values in an array, x fastest. A brick has the patch's size."""
+    i = (F.col("lz") * patch[1] + F.col("ly")) * patch[2] + F.col("lx")
+    first = [F.min(F.col(k) - F.col(f"l{k}")).alias(f"{k}0") for k in "zyx"]
+    cells = F.array_sort(F.collect_list(F.struct(i.alias("i"), F.col("val").cast("double").alias("val"))))
+    return cut.groupBy("vol", "tile_id").agg(*first, cells.getField("val").alias("brick"))
+
+
+def score_bricks(tiles: DataFrame, patch: Patch, folds: list[int], load: Callable, classes: int) -> DataFrame:
+    """vol, tile_id, fold, lz, ly, lx, z, y, x, logits of `tiles`, the rows of bricks(), from a model.
+
+    `load(fold)` gives, once for each fold and worker, a function of (tile_id, brick of the patch's shape) to an array of the
+    classes' scores, (classes, *patch).
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(frames):
+        fold, model = None, None
+        for frame in frames:
+            scored = []
+            for f, tile, brick in zip(frame["fold"], frame["tile_id"], frame["brick"], strict=True):
+                if model is None or f != fold:
+                    fold, model = f, load(int(f))
+                out = np.asarray(model(int(tile), np.asarray(brick, float).reshape(patch)), float)
+                if out.shape != (classes, *patch):
+                    raise ValueError(f"the model gave {out.shape}, not {(classes, *patch)}")
+                scored.append(out.reshape(classes, -1).T.tolist())
+            yield pd.concat([frame[["vol", "tile_id", "fold", "z0", "y0", "x0"]], pd.Series(scored, index=frame.index, name="logits", dtype=object)], axis=1)
+
+    rows = tiles.withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("vol", "tile_id", "fold", "z0", "y0", "x0")) + ", logits array<array<double>>"
+    scored = score_with(rows, run, schema).select("vol", "tile_id", "fold", "z0", "y0", "x0", F.posexplode("logits").alias("i", "logits"))
+    i = F.col("i")
+    scored = scored.withColumns({"lz": F.floor(i / (patch[1] * patch[2])).cast("int"), "ly": F.floor(i / patch[2]).cast("int") % patch[1], "lx": i % patch[2]})
+    return scored.select("vol", "tile_id", "fold", "lz", "ly", "lx", *((F.col(f"{k}0") + F.col(f"l{k}")).alias(k) for k in "zyx"), "logits")
+
+
 def score_with(bricks: DataFrame, scorer: Callable, schema: str) -> DataFrame:
     """Plug-in scoring: `scorer` maps an iterator of pandas frames of bricks (with a fold column) to frames of `schema`.
 
@@ -109,8 +148,8 @@ def blend(scores: DataFrame, patch: Patch, classes: int) -> DataFrame:
     s = s.groupBy("vol", "z", "y", "x").agg(
         *(F.sum(F.col("wt") * F.col("logits")[c]).alias(f"l{c}") for c in range(classes)),
         F.sum("wt").alias("all_wt"),
-        F.countDistinct("fold").alias("folds"),
-        F.countDistinct("tile_id").alias("tiles"),
+        F.size(F.collect_set("fold")).alias("folds"),  # a voxel has few folds and tiles; countDistinct would multiply all rows
+        F.size(F.collect_set("tile_id")).alias("tiles"),
         F.count(F.lit(1)).alias("n"),
     )
     return s.select("vol", "z", "y", "x", F.array(*(F.col(f"l{c}") / F.col("all_wt") for c in range(classes))).alias("logits"), (F.col("n") == F.col("folds") * F.col("tiles")).alias("complete"))

@@ -15,7 +15,8 @@ from voxelith.operators import grid, jobs, resample, tiles
 from voxelith.plans import flagship as fl
 from voxelith.plans.sql import query_texts
 from voxelith.plans.views import CLASSES, fold_weights, logits, view
-from voxelith.sources import roundtrip
+from voxelith.session import new_path, ship_code
+from voxelith.sources import roundtrip, table
 
 PATCH, RATIO = (8, 8, 8), 0.5
 TIERS = [(8, 8, 8), (6, 6, 8), (4, 4, 6)]
@@ -56,7 +57,7 @@ def detect_format(s, d):
 
 @query
 def linear_index(s, d):
-    v = view(s, d, "vox").withColumn("i", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)))
+    v = view(s, d, "vox").withColumn("i", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)).cast("int"))
     z, y, x = fc.from_linear(F.col("i"), F.lit(10), F.lit(15))
     return v.select("vol", "i", z.alias("z2"), y.alias("y2"), x.alias("x2"))
 
@@ -65,7 +66,7 @@ def linear_index(s, d):
 def major_order(s, d):
     """Offset of each voxel with x fastest, and with z fastest."""
     v = view(s, d, "vox")
-    return v.select("vol", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)).alias("row_major"), fc.linear_index(F.col("x"), F.col("y"), F.col("z"), F.lit(10), F.lit(10)).alias("col_major"), "val")
+    return v.select("vol", fc.linear_index(F.col("z"), F.col("y"), F.col("x"), F.lit(10), F.lit(15)).cast("int").alias("row_major"), fc.linear_index(F.col("x"), F.col("y"), F.col("z"), F.lit(10), F.lit(10)).cast("int").alias("col_major"), "val")
 
 
 def _raw(s, d):
@@ -295,6 +296,23 @@ def score_tiles_linear(s, d):
     return _long(_scores(s, d), ["vol", "tile_id", "fold", "z", "y", "x"])
 
 
+@query
+def score_tiles_bricks(s, d):
+    """The plug-in path: bricks, a model for each fold, and its scores voxel by voxel."""
+    import numpy as np
+
+    weights = {f: (np.array(w), np.array(b)) for f, w, b in fold_weights(s, d, 2, 3)}
+    ship_code(s)
+
+    def load(fold):
+        w, b = weights[fold]
+        term = 0.01 * (np.arange(3) % 3)
+        return lambda tile, brick: brick[None] * w[:, None, None, None] + (b + term * tile)[:, None, None, None]
+
+    cut = tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO)
+    return _long(tiles.score_bricks(tiles.bricks(cut, PATCH), PATCH, [0, 1], load, 3), ["vol", "tile_id", "fold", "z", "y", "x"])
+
+
 @query
 def channel_check(s, d):
     return tiles.channel_check(_scores(s, d), 3)
@@ -484,6 +502,20 @@ def export_jnii(s, d):
     return roundtrip.jnii_roundtrip(s, d, shuffle=4)
 
 
+@query
+def table_roundtrip(s, d):
+    path = new_path(s, "voxels")
+    table.write(view(s, d, "vox").select("vol", "z", "y", "x", "val"), path)
+    return table.read(s, path)
+
+
+@query
+def table_one_volume(s, d):
+    path = new_path(s, "voxels")
+    table.write(view(s, d, "vox").select("vol", "z", "y", "x", "val"), path)
+    return table.read(s, path, 3)
+
+
 # ---- the whole chain ----
 
 

@@ -177,6 +177,7 @@ def queries() -> dict[str, str]:
         "tile_workload": " UNION ALL ".join(f"SELECT vol, {i} AS tier, CAST({_tier(z, 'z')} * {_tier(y, 'y')} * {_tier(x, 'x')} AS BIGINT) AS tiles FROM volmeta" for i, (z, y, x) in enumerate([(8, 8, 8), (6, 6, 8), (4, 4, 6)])),
         "extract_tiles": tiled("vox", "volmeta"),
         "gaussian_weights": f"SELECT vol, tile_id, lz, ly, lx, round({WEIGHT}, 9) AS w FROM ({tiled('vox', 'volmeta')}) t",
+        "score_tiles_bricks": "SELECT vol, tile_id, fold, z, y, x, c, round(v, 6) AS v FROM scores",
         "score_tiles_linear": "SELECT vol, tile_id, fold, z, y, x, c, round(v, 6) AS v FROM scores",
         "channel_check": "SELECT n = 3 AS ok, count(*) AS n FROM (SELECT count(DISTINCT c) AS n FROM scores GROUP BY vol, tile_id, fold, z, y, x) q GROUP BY 1",
         "blend_gaussian": f"SELECT vol, z, y, x, true AS complete, c, round(sum({WEIGHT} * v) / (sum({WEIGHT}) FILTER (WHERE fold = 0) * count(DISTINCT fold)), 6) AS v FROM scores GROUP BY vol, z, y, x, c",
@@ -205,6 +206,8 @@ def queries() -> dict[str, str]:
         "type_histogram": "SELECT op_type, count(*) AS n, CASE WHEN regexp_matches(op_type, '(?i)(conv(olution)?3d$|convtranspose3d$|convolution3ddepthwise)') THEN 'FATAL' WHEN regexp_matches(op_type, '^[A-Za-z]+3D$') THEN 'PARTIAL' ELSE 'PASS' END AS gate FROM types GROUP BY op_type",
         "runtime_ratio": "SELECT round(o / b, 9) AS base_ratio, o / b > 1.5 AS side_fail, round(o / f, 9) AS speedup, CASE WHEN o / f >= 5 THEN 'STRONG' WHEN o / f >= 2 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM (SELECT avg(wall) FILTER (WHERE op_type = 'click') AS b, avg(wall) FILTER (WHERE op_type = 'view') AS o, avg(wall) FILTER (WHERE op_type = 'purchase') AS f FROM types) q",
         "ingest_nifti": "SELECT vol, z, y, x, CAST(ref AS DOUBLE) AS val FROM lab",
+        "table_roundtrip": "SELECT vol, z, y, x, val FROM vox",
+        "table_one_volume": "SELECT vol, z, y, x, val FROM vox WHERE vol = 3",
         "export_roundtrip": "SELECT vol, z, y, x, CAST(ref AS DOUBLE) AS val, 'ok' AS status, 1.0::DOUBLE AS p0, 1.0::DOUBLE AS p1, 1.0::DOUBLE AS p2 FROM lab",
         "export_tpm": "SELECT vol, c, z, y, x, CASE WHEN c = ref % 3 THEN 0.75::DOUBLE ELSE 0.125::DOUBLE END AS val FROM lab, range(3) k(c)",
         "ingest_jnii": "SELECT vol, 0 AS c, z, y, x, CAST(ref AS DOUBLE) AS val FROM lab",
