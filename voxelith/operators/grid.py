@@ -23,12 +23,14 @@ def crop(voxels: DataFrame, bbox: DataFrame) -> DataFrame:
     return both.withColumns({k: F.col(k) - F.col(f"{k}lo") for k in "zyx"}).select(*voxels.columns)
 
 
-def zscore(voxels: DataFrame) -> DataFrame:
-    """(val - mean) / max(population standard deviation, 1e-8) over all of a volume's voxels.
+def moments(voxels: DataFrame) -> DataFrame:
+    """vol, mean_, sd_ over all of a volume's voxels. A grouped aggregate, not a window, so a volume's voxels stay spread over tasks."""
+    return voxels.groupBy("vol").agg(F.avg("val").alias("mean_"), F.stddev_pop("val").alias("sd_"))
 
-    Means come from a grouped aggregate, not a window, so a volume's voxels stay spread over tasks.
-    """
-    stats = voxels.groupBy("vol").agg(F.avg("val").alias("mean_"), F.stddev_pop("val").alias("sd_"))
+
+def zscore(voxels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(val - mean) / max(population standard deviation, 1e-8) over all of a volume's voxels, or with the moments in `stats`."""
+    stats = moments(voxels) if stats is None else stats.select("vol", "mean_", "sd_")
     return voxels.join(stats, "vol").withColumn("val", (F.col("val") - F.col("mean_")) / F.greatest("sd_", F.lit(1e-8))).select(*voxels.columns)
 
 
