@@ -139,20 +139,23 @@ def channel_check(rows: DataFrame, classes: int) -> DataFrame:
     return rows.groupBy((F.size("logits") == classes).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def blend(scores: DataFrame, patch: Patch, classes: int) -> DataFrame:
+def blend(scores: DataFrame, patch: Patch, classes: int, shape: DataFrame | None = None, ratio: float = 0.5, folds: int = 0, rule: Callable = starts) -> DataFrame:
     """vol, z, y, x, logits, complete: Gaussian-weighted sums over tiles, averaged over folds.
 
-    Sums over one fold's weights normalise all folds, so `complete` says whether every fold scored every tile.
+    Sums over one fold's weights normalise all folds, so `complete` says whether every fold scored every tile. With `shape`
+    (vol, nz, ny, nx), `ratio`, `rule` and the number of `folds` that made the tiles, it compares a plain count with the number of
+    tiles that cover the voxel; without them, folds and tiles are collected as sets, which costs more.
     """
     s = scores.withColumn("wt", gaussian_weight(patch))
-    s = s.groupBy("vol", "z", "y", "x").agg(
-        *(F.sum(F.col("wt") * F.col("logits")[c]).alias(f"l{c}") for c in range(classes)),
-        F.sum("wt").alias("all_wt"),
-        F.size(F.collect_set("fold")).alias("folds"),  # a voxel has few folds and tiles; countDistinct would multiply all rows
-        F.size(F.collect_set("tile_id")).alias("tiles"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return s.select("vol", "z", "y", "x", F.array(*(F.col(f"l{c}") / F.col("all_wt") for c in range(classes))).alias("logits"), (F.col("n") == F.col("folds") * F.col("tiles")).alias("complete"))
+    seen = [] if shape is not None else [F.size(F.collect_set("fold")).alias("folds"), F.size(F.collect_set("tile_id")).alias("tiles")]  # countDistinct would multiply all rows
+    sums = [F.sum(F.col("wt") * F.col("logits")[c]).alias(f"l{c}") for c in range(classes)]
+    s = s.groupBy("vol", "z", "y", "x").agg(*sums, F.sum("wt").alias("all_wt"), F.count(F.lit(1)).alias("n"), *seen)
+    expected = F.col("folds") * F.col("tiles") if seen else F.lit(folds)
+    if shape is not None:
+        s = s.join(with_starts(shape, patch, ratio, rule).select("vol", "bz", "by", "bx"), "vol")
+        for k, p in zip("zyx", patch, strict=True):
+            expected = expected * F.size(_covering(k, p))
+    return s.select("vol", "z", "y", "x", F.array(*(F.col(f"l{c}") / F.col("all_wt") for c in range(classes))).alias("logits"), (F.col("n") == expected).alias("complete"))
 
 
 def blend_uniform(scores: DataFrame, classes: int) -> DataFrame:

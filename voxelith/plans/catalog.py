@@ -154,7 +154,8 @@ def crop_nonzero(s, d):
 
 @query
 def zscore(s, d):
-    return fl.prepared(s, d)[0].select("vol", "z", "y", "x", r7("val").alias("val"))
+    v = view(s, d, "vox")
+    return grid.zscore(grid.crop(v, grid.nonzero_bbox(v))).select("vol", "z", "y", "x", r7("val").alias("val"))
 
 
 @query
@@ -320,7 +321,7 @@ def channel_check(s, d):
 
 @query
 def blend_gaussian(s, d):
-    return _long(tiles.blend(_scores(s, d), PATCH, 3), ["vol", "z", "y", "x", "complete"])
+    return _long(tiles.blend(_scores(s, d), PATCH, 3, view(s, d, "volmeta"), RATIO, 2), ["vol", "z", "y", "x", "complete"])
 
 
 @query

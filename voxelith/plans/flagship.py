@@ -7,32 +7,47 @@ from pyspark.sql import functions as F
 
 from voxelith.operators import classes, evaluate, grid, resample, tiles
 from voxelith.plans import views
+from voxelith.session import new_path
 
 PATCH, RATIO, SPACING, FOLDS, CLASSES = (8, 8, 8), 0.5, 0.75, 2, 3
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cropped z-scores, the boxes, and each crop's extent with its size at the target spacing."""
-    vox = views.view(spark, sf_dir, "vox")
+def measured(vox: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row a volume: header sizes, box, moments inside it. Boxes and then moments are grouped aggregates of the voxels."""
     bbox = grid.nonzero_bbox(vox)
-    shape = bbox.join(views.view(spark, sf_dir, "volmeta").select("vol", "sz", "sy", "sx"), "vol")
-    shape = grid.target_shape(shape.select("vol", *((F.col(f"{k}hi") - F.col(f"{k}lo")).alias(f"n{k}") for k in "zyx"), "sz", "sy", "sx"), SPACING)
-    return grid.zscore(grid.crop(vox, bbox)), bbox, shape
+    return bbox.join(grid.moments(grid.crop(vox, bbox)), "vol").join(meta, "vol")
+
+
+def boxes(volumes: DataFrame) -> DataFrame:
+    return volumes.select("vol", *(f"{k}{end}" for k in "zyx" for end in ("lo", "hi")))
+
+
+def extents(volumes: DataFrame) -> DataFrame:
+    """Each crop's extent n, and its size t at the target spacing."""
+    return grid.target_shape(volumes.select("vol", *((F.col(f"{k}hi") - F.col(f"{k}lo")).alias(f"n{k}") for k in "zyx"), "sz", "sy", "sx"), SPACING)
 
 
 def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vol, z, y, x, label on every volume's own grid."""
-    voxels, bbox, shape = prepared(spark, sf_dir)
-    fine = resample.resample(voxels, shape, 3)
+    """vol, z, y, x, label on every volume's own grid.
+
+    What there is one row a volume of (header, box, moments) is written once to the shared folder, and every later step joins it
+    from there; the voxels are then read once more, and padding, tiles and blending follow from those rows.
+    """
+    vox = views.view(spark, sf_dir, "vox")
+    path = new_path(spark, "volumes")
+    measured(vox, views.view(spark, sf_dir, "volmeta")).write.parquet(path)
+    volumes = spark.read.parquet(path)
+    bbox, shape = boxes(volumes), extents(volumes)
+    fine = resample.resample(grid.zscore(grid.crop(vox, bbox), volumes), shape, 3)
     net = shape.select("vol", *(F.col(f"t{k}").alias(f"n{k}") for k in "zyx"))
     padded = net.select("vol", *(F.greatest(F.col(f"n{k}"), F.lit(p)).alias(f"n{k}") for k, p in zip("zyx", PATCH, strict=True)))
     cut = tiles.extract(grid.pad_to(fine, net, PATCH), padded, PATCH, RATIO)
     scores = tiles.score_linear(cut, views.fold_weights(spark, sf_dir, FOLDS, CLASSES), CLASSES)
-    blended = tiles.blend(scores, PATCH, CLASSES).select("vol", "z", "y", "x", "logits")
+    blended = tiles.blend(scores, PATCH, CLASSES, padded, RATIO, FOLDS).select("vol", "z", "y", "x", "logits")
     back = shape.select("vol", *(F.col(f"n{k}").alias(f"t{k}") for k in "zyx"))
     own = resample.resample(grid.unpad(blended, net, PATCH), back, 1, "logits", CLASSES)
     labels = own.select("vol", "z", "y", "x", classes.argmax(F.transform("logits", lambda v: F.round(v, 6))).alias("label"))
-    return grid.uncrop_labels(labels, bbox, views.view(spark, sf_dir, "volmeta"))
+    return grid.uncrop_labels(labels, bbox, volumes.select("vol", "nz", "ny", "nx"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
