@@ -169,3 +169,55 @@ def test_a_model_of_the_wrong_size_is_told(spark):
     assert np.array_equal(array(out.withColumn("v", F.col("logits")[1]), (4, 4, 4), "v"), -a)
     with pytest.raises(Exception, match="not \\(3, 4, 4, 4\\)"):
         tiles.score_bricks(cut, (4, 4, 4), [0], lambda f: lambda t, x: np.stack([x, -x]), 3).collect()
+
+
+@pytest.mark.parametrize("channels", [0, 2])
+def test_planes_of_several_sizes_over_many_batches(spark, channels):
+    """Planes that span Arrow batches, several of them in one, and of two sizes, against each axis on the whole array."""
+    rng, sizes, to = np.random.default_rng(5), {1: (4, 9, 7), 2: (3, 6, 8), 3: (4, 9, 7)}, {1: (5, 4, 9), 2: (6, 7, 3), 3: (5, 4, 9)}
+    a = {v: rng.normal(size=(*n, channels) if channels else n) for v, n in sizes.items()}
+    rows = [(v, *map(int, i), a[v][i].tolist()) for v, n in sizes.items() for i in np.ndindex(*n)]
+    rows = spark.createDataFrame(rows, f"vol long, z int, y int, x int, val {'array<double>' if channels else 'double'}")
+    shape = spark.createDataFrame([(v, *t) for v, t in to.items()], "vol long, tz int, ty int, tx int")
+    for batch in ("10", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r["vol"], r["z"], r["y"], r["x"]): r["val"] for r in resample.resample(rows, shape, 3, channels=channels).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == sum(int(np.prod(t)) for t in to.values())
+        for v, t in to.items():
+            want = a[v]
+            for axis in (2, 1, 0):
+                want = resample.resample_array(want, axis, t[axis], 3)
+            for i in np.ndindex(*t):
+                assert np.allclose(got[(v, *i)], want[i], atol=1e-12)
+
+
+def test_a_value_that_is_not_finite_spoils_only_its_neighbours(spark):
+    a = np.ones((1, 3, 12))
+    a[0, 1, 2] = np.nan
+    shape = spark.createDataFrame([(1, 1, 3, 12)], "vol long, tz int, ty int, tx int")
+    got = array(resample.resample(volume(spark, a), shape, 1), a.shape)
+    assert np.isfinite(got[0, :, 6:]).all() and np.isfinite(got[0, 0]).sum() >= 10
+
+
+def test_a_plane_with_holes_is_refused(spark):
+    v = volume(spark, np.ones((1, 3, 4))).filter("not (y = 1 and x = 2)")
+    with pytest.raises(Exception, match="not dense"):
+        resample.resample(v, spark.createDataFrame([(1, 1, 2, 2)], "vol long, tz int, ty int, tx int"), 1).collect()
+
+
+def test_blend_counts_tiles(spark):
+    """`complete` by arithmetic agrees with sets of folds and tiles, and sees a tile that one fold lacks."""
+    a, patch = np.random.default_rng(6).normal(size=(4, 5, 9)), (4, 4, 4)
+    shape = spark.createDataFrame([(1, 4, 5, 9)], "vol long, nz int, ny int, nx int")
+    cut = tiles.extract(volume(spark, a), shape, patch, 0.5)
+    scores = tiles.score_linear(cut, [(0, [1.0], [0.0]), (1, [2.0], [1.0])], 1)
+    for rows in (scores, scores.filter("not (tile_id = 1 and fold = 1)")):
+        two = [{tuple(r[k] for k in "zyx"): r["complete"] for r in b.collect()} for b in (tiles.blend(rows, patch, 1), tiles.blend(rows, patch, 1, shape, 0.5, 2))]
+        assert len(two[0]) == a.size and two[0].keys() == two[1].keys()
+        if rows is scores:
+            assert all(two[0].values()) and two[0] == two[1]
+        else:
+            assert not all(two[1].values()) and all(two[0][k] for k, v in two[1].items() if v)

@@ -41,7 +41,9 @@ def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = resample.resample(grid.zscore(grid.crop(vox, bbox), volumes), shape, 3)
     net = shape.select("vol", *(F.col(f"t{k}").alias(f"n{k}") for k in "zyx"))
     padded = net.select("vol", *(F.greatest(F.col(f"n{k}"), F.lit(p)).alias(f"n{k}") for k, p in zip("zyx", PATCH, strict=True)))
-    cut = tiles.extract(grid.pad_to(fine, net, PATCH), padded, PATCH, RATIO)
+    # dealt by plane before tiles and folds multiply the rows, so that blending, by voxel, needs no exchange of its own
+    whole = grid.pad_to(fine, net, PATCH).repartition("vol", "z")
+    cut = tiles.extract(whole, padded, PATCH, RATIO)
     scores = tiles.score_linear(cut, views.fold_weights(spark, sf_dir, FOLDS, CLASSES), CLASSES)
     blended = tiles.blend(scores, PATCH, CLASSES, padded, RATIO, FOLDS).select("vol", "z", "y", "x", "logits")
     back = shape.select("vol", *(F.col(f"n{k}").alias(f"t{k}") for k in "zyx"))
