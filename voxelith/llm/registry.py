@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the pipeline over the given tables, and their DuckDB texts."""
+"""Queries op1 to op13 and the pipeline over the given tables, and their DuckDB texts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
+from voxelith.llm import decontam, fillmiddle, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
 from voxelith.session import ship_code
 
 
@@ -73,6 +73,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fillmiddle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_source_mixing": op2_source_mixing,
@@ -84,6 +90,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4, "op8_line_dedup": queries_sql.OP8}
+SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4, "op8_line_dedup": queries_sql.OP8, "op13_fill_in_middle": queries_sql.OP13}
