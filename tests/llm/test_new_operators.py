@@ -5,11 +5,12 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from voxelith.llm import fillmiddle
+from voxelith.llm import fillmiddle, veccodes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,7 +74,92 @@ def test_fill_in_middle_of_nothing_and_bad_sentinels(spark, sf_dir):
 
 def test_fill_in_middle_works_on_pieces_of_a_sliced_batch():
     texts = pa.array(["skip", "a\nb", "", "c\n"], pa.large_string()).slice(1)
-    import numpy as np
-
     made = fillmiddle.arrange(texts, [np.array([1, 0, 0]), np.array([2, 0, 1]), np.array([0, 0, 0]), np.array([99, 0, 99])], fillmiddle.Rule())
     assert made["output"].to_pylist() == ["<P>a\n<S><M>b", "", "<P><S><M>c\n"]
+
+
+# ---- vector codes ----
+
+VEC = "vec_id long, embedding array<float>, label int"
+
+
+def codes_plainly(rows, shape):
+    """Rows of (vec_id, vector, label) -> {(vec_id, label, code, error): times}, codebooks; every part is compared with every entry."""
+    ok = [r for r in rows if r[1] is not None and all(v is not None and np.isfinite(np.float32(v)) for v in r[1])]
+    ok.sort(key=lambda r: (r[0] is None, r[0] or 0, [np.float32(v) for v in r[1]]))
+    x = np.floor(np.array([np.float32(r[1]) for r in ok], float) * shape.scale).astype(np.int64).reshape(len(ok), shape.parts, -1)
+    books = x[: shape.entries].transpose(1, 0, 2).copy()
+    near = lambda: np.stack([((x[:, p, None] - books[p]) ** 2).sum(2).argmin(1) for p in range(shape.parts)], 1)
+    for _ in range(shape.rounds):
+        own = near()
+        for p in range(shape.parts):
+            for e in range(books.shape[1]):
+                mine = x[own[:, p] == e, p]
+                if len(mine):
+                    books[p, e] = mine.sum(0) // len(mine)
+    own = near()
+    error = sum(((x[:, p] - books[p][own[:, p]]) ** 2).sum(1) for p in range(shape.parts))
+    return Counter((r[0], r[2], "".join(f"{c:02x}" for c in o), int(e)) for r, o, e in zip(ok, own.tolist(), error, strict=True)), books
+
+
+def groups_of_vectors(rng, n, size, spread=0.05):
+    centres = rng.normal(size=(12, size))
+    return (centres[rng.integers(0, 12, n)] + spread * rng.normal(size=(n, size))).astype(np.float32)
+
+
+def test_metric_trees_own_whole_balls_and_change_nothing():
+    rng = np.random.default_rng(3)
+    for x in (np.floor(groups_of_vectors(rng, 3000, 8) * 4096).astype(float), rng.integers(-5, 6, (2000, 3)).astype(float), np.zeros((500, 4)), np.arange(7.0)[:, None], np.repeat(rng.integers(0, 9, (4, 5)), 400, 0).astype(float)):
+        tree = veccodes.grow(x)
+        assert sorted(tree.order.tolist()) == list(range(len(x)))
+        inner = tree.left >= 0
+        assert (tree.lo[tree.left[inner]] == tree.lo[inner]).all() and (tree.hi[tree.left[inner]] == tree.lo[tree.right[inner]]).all() and (tree.hi[tree.right[inner]] == tree.hi[inner]).all()
+        whole = x[tree.order].astype(np.int64)
+        entries = np.concatenate([whole[:: max(1, len(x) // 12)][:12], whole[:1], whole[:2] + 1])
+        want = ((whole[:, None] - entries) ** 2).sum(2).argmin(1)
+        assert (veccodes.assigned(tree, whole, entries) == want).all()
+        total, count = veccodes.gathered(tree, whole, entries)
+        assert (count == np.bincount(want, minlength=len(entries))).all()
+        assert (total == np.stack([whole[want == e].sum(0) for e in range(len(entries))])).all()
+    clear = veccodes.grow(np.floor(groups_of_vectors(rng, 4096, 8, 0.01) * 4096))
+    points = np.floor(groups_of_vectors(rng, 4096, 8, 0.01) * 4096)
+    clear = veccodes.grow(points)
+    centres = np.unique(np.round(points / 400), axis=0)[:1] * 400
+    (balls, _), (single, _) = veccodes.owners(clear, points[clear.order].astype(np.int64), np.stack([centres[0] + 40_000 * k for k in range(3)]).astype(np.int64))
+    assert (clear.hi - clear.lo)[balls].sum() > 0.9 * len(points) and len(balls) < 200  # most points are never looked at
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_vector_codes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(veccodes, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    v = groups_of_vectors(rng, 400, 16).tolist()
+    rows = [(i * 3 - 50, x, None if i % 5 == 0 else i % 4) for i, x in enumerate(v)]
+    rows += [(7, v[3], 1)] * 150 + [(None, v[4], None), (None, v[5], 2)] + [(-1000 + i % 2, v[0], 1) for i in range(6)]
+    bad = [[float("nan")] * 16, [float("inf")] + v[0][1:], [None] + v[0][1:], None]
+    rows += [(-5000 - i, b, 1) for i, b in enumerate(bad)]
+    for shape in (veccodes.Shape(), veccodes.Shape(parts=4, entries=5, rounds=2, scale=100), veccodes.Shape(entries=256)):
+        if shape.entries == 256 and block == 7:
+            continue
+        df = spark.createDataFrame(rows, VEC).selectExpr("*", "'a' as code", "1 as error", "2 as v")
+        coded, books = veccodes.compress(df.repartition(5), shape)
+        want, expected = codes_plainly(rows, shape)
+        assert (books == expected).all()
+        assert Counter(tuple(r) for r in coded.select("vec_id", "label", "code", "error").collect()) == want
+    errors = {}
+    for (_, label, _, e), times in want.items():
+        errors[label] = errors.get(label, 0) + e * times
+    for most in (100_000, 1):
+        assert {(r["label"], r["label_error"]) for r in veccodes.with_label_errors(coded, most).collect()} == set(errors.items())
+
+
+def test_vector_codes_of_little_and_too_much(spark, sf_dir):
+    none, books = veccodes.compress(spark.createDataFrame([(1, None, 1), (2, [], 1)], VEC))
+    assert none.collect() == [] and veccodes.with_label_errors(none).collect() == [] and veccodes.digest(books) == hashlib.sha256(b"").hexdigest()
+    one, books = veccodes.compress(spark.createDataFrame([(1, [0.5] * 8, 1), (2, [1.0] * 16, 1)], VEC))
+    assert [tuple(r) for r in one.collect()] == [(1, 1, "00" * 8, 0)] and books.shape == (8, 1, 1)
+    with pytest.raises(ValueError):
+        veccodes.compress(spark.createDataFrame([(1, [0.5] * 7, 1)], VEC))
+    with pytest.raises(ValueError):
+        veccodes.whole(np.array([1e12]), 4096, veccodes.largest(64))
+    same_as_sql(spark, sf_dir, "op12_vector_codes")

@@ -109,3 +109,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
        sha256(t) AS restored_sha256
 FROM roles
 """
+
+
+def _codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The text of op12: one step for each round, comparing every part with every entry of its codebook."""
+    square = "CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda v: CAST(floor({scale} * CAST(v AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, unnest(range({parts})) AS t(p)),
+book0 AS (SELECT p, CAST(r - 1 AS INTEGER) AS e, x AS c FROM parts WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+own{k} AS MATERIALIZED (SELECT r, p, min(ROW({square}, e)) AS best FROM parts JOIN book{k} USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+sums{k} AS (
+  SELECT p, e, i, sum(x[i]) AS total, count(*) AS n
+  FROM (SELECT o.p, o.best[2] AS e, x, unnest(range(1, len(x) + 1)) AS i FROM own{k} o JOIN parts q ON o.r = q.r AND o.p = q.p) GROUP BY p, e, i),
+book{k + 1} AS (
+  SELECT b.p, b.e, coalesce(s.c, b.c) AS c
+  FROM book{k} b LEFT JOIN (SELECT p, e, list(CAST((total - ((total % n) + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM sums{k} GROUP BY p, e) s
+       ON b.p = s.p AND b.e = s.e)""")
+    return "WITH " + ",".join(steps) + f""",
+codes AS (
+  SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM own{rounds} GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes USING (r), digest
+"""
+
+
+OP12 = _codes(8, 16, 6, 4096)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, fillmiddle, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile
+from voxelith.llm import decontam, fillmiddle, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile, veccodes
 from voxelith.session import ship_code
 
 
@@ -73,6 +73,12 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = veccodes.compress(table(spark, sf_dir, "embeddings"))
+    coded = veccodes.with_label_errors(coded)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(veccodes.digest(books)).alias("codebooks_sha256"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fillmiddle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = fillmiddle.restored(F.col("output"), F.col("form"))
@@ -90,7 +96,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4, "op8_line_dedup": queries_sql.OP8, "op13_fill_in_middle": queries_sql.OP13}
+SQL: dict[str, str] = {"op2_source_mixing": queries_sql.OP2, "op4_ngram_jaccard_join": queries_sql.OP4, "op8_line_dedup": queries_sql.OP8, "op12_vector_codes": queries_sql.OP12, "op13_fill_in_middle": queries_sql.OP13}
