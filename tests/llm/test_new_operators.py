@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from voxelith.llm import fillmiddle, veccodes
+from pyspark.sql import functions as F
+
+from voxelith.llm import fillmiddle, nearest, veccodes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -163,3 +165,101 @@ def test_vector_codes_of_little_and_too_much(spark, sf_dir):
     with pytest.raises(ValueError):
         veccodes.whole(np.array([1e12]), 4096, veccodes.largest(64))
     same_as_sql(spark, sf_dir, "op12_vector_codes")
+
+
+# ---- nearest neighbours ----
+
+
+def neighbours_plainly(x, q_at, ids, k):
+    """For each query the (score, id) of its k nearest other rows, ties to smaller ids."""
+    out = []
+    for a in q_at:
+        score = (x * x[a]).sum(1)
+        order = sorted((b for b in range(len(x)) if b != a), key=lambda b: (-score[b], ids[b] is None, ids[b] or 0))[:k]
+        out.append([(score[b], ids[b]) for b in order])
+    return out
+
+
+def recall_of(rows, x, ids, queries, k):
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append(r)
+    hit = n = 0
+    for a, want in zip(queries, neighbours_plainly(x, queries, ids, k), strict=True):
+        mine = sorted(got[ids[a]], key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(want) + 1))
+        assert [(-r["score"], r["vec_id"]) for r in mine] == sorted((-r["score"], r["vec_id"]) for r in mine)
+        place = {i: p for p, i in enumerate(ids)}
+        for r in mine:
+            assert r["vec_id"] != ids[a] and abs(r["score"] - (x[place[r["vec_id"]]] * x[a]).sum()) < 1e-12
+        hit += len({i for _, i in want} & {r["vec_id"] for r in mine})
+        n += len(want)
+    return hit / n
+
+
+def test_scan_finds_the_best_and_abandons_the_rest_early(monkeypatch):
+    monkeypatch.setattr(nearest, "STEP", 300)
+    rng = np.random.default_rng(1)
+    s = nearest.Search()
+    for size in (5, 16, 64, 200):
+        x = groups_of_vectors(rng, 4000, size, 0.3).astype(float) * rng.lognormal(0, 0.2, (4000, 1))
+        q, work, row = x[:40], {}, np.arange(4000)
+        i, j, score = nearest.scan(q, row[:40], np.full(40, -np.inf), x, row, row, s, work)
+        want = neighbours_plainly(x, range(40), row.tolist(), s.k)
+        hit = sum(len({b for _, b in w} & set(j[i == a].tolist())) for a, w in enumerate(want))
+        assert hit >= 0.97 * 40 * s.k
+        assert np.allclose(score, (q[i] * x[j]).sum(1), rtol=1e-13) and (np.bincount(i) == s.k).all()
+        if size == 200:
+            assert work["columns"] < 0.45 * work["pairs"] * size
+        bar = np.array([w[-1][0] for w in want])
+        i, j, _ = nearest.scan(q, row[:40], bar, x, row, row, s)
+        assert len(j) <= 40 * s.k and sum(len({b for _, b in w} & set(j[i == a].tolist())) for a, w in enumerate(want)) >= 0.97 * 40 * s.k
+
+
+def test_share_of_a_distance_in_the_first_columns():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(200_000, 24)) ** 2
+    for d, share in nearest.ends(24, 8, 0.01)[:-1]:
+        assert abs((v[:, :d].sum(1) / v.sum(1) > share).mean() - 0.01) < 0.002
+    assert nearest.ends(24, 8, 0.01)[-1] == (24, 1.0) and nearest.ends(3, 16, 0.01) == [(3, 1.0)]
+    turn = nearest.rotation(24, 1)
+    assert np.allclose(turn @ turn.T, np.eye(24))
+
+
+@pytest.mark.parametrize("block", [60, 8192])
+def test_neighbours_of_clustered_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(nearest, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = groups_of_vectors(rng, 1500, 24, 0.4)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[:400] = x[0]  # a hot vector: ties go to smaller ids
+    ids = list(range(0, 3000, 2))
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x, strict=True)], VEC).selectExpr("*", "1 as row", "'s' as list", "0.5 as score", "3 as rank", "4 as v")
+    rows = nearest.neighbours(df.repartition(4), F.col("vec_id") % 20 == 0).collect()
+    queries = [a for a, i in enumerate(ids) if i % 20 == 0]
+    assert recall_of(rows, x.astype(float), ids, queries, 20) >= 0.9
+    hot = sorted(i for i, v in zip(ids, x, strict=True) if (v == x[0]).all())
+    one = next(i for i in hot if i % 20 == 0)
+    assert [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == one] == [i for i in hot if i != one][:20]
+
+
+def test_neighbours_of_odd_and_few_rows(spark):
+    none = spark.createDataFrame([(20, None, 1), (40, [0.0, 0.0], 1), (60, [float("nan"), 1.0], 1), (80, [None, 1.0], 1), (100, [], 1)], VEC)
+    query = F.col("vec_id") % 20 == 0
+    assert nearest.neighbours(none, query).collect() == [] and nearest.neighbours(none.limit(0), query).collect() == []
+    few = none.union(spark.createDataFrame([(20, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (None, [1.0, 0.0], 1), (7, [1.0, 0.0], 1), (9, [1.0, 0.0, 0.0], 1)], VEC))
+    got = sorted((tuple(r) for r in nearest.neighbours(few, query).collect()), key=lambda r: r[1])
+    one = [(20, 1, 3, 2.0), (20, 2, 7, 1.0), (20, 3, 20, 1.0), (20, 4, None, 1.0)]
+    assert got == sorted(one + one, key=lambda r: r[1])
+    alone = nearest.neighbours(spark.createDataFrame([(20, [1.0, 0.0], 1)], VEC), query)
+    assert alone.collect() == []
+
+
+def test_recall_on_the_given_vectors(spark, sf_dir):
+    rows = __spark_entry__.queries()["op11_nearest_neighbours"](spark, sf_dir).collect()
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in t], float), [r["vec_id"] for r in t]
+    queries = [a for a, i in enumerate(ids) if i % 20 == 0]
+    assert len(rows) == 20 * len(queries)
+    assert recall_of(rows, x, ids, queries, 20) >= 0.9

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelith.llm import decontam, fillmiddle, html_text, linededup, media, mixing, pii, quality, queries_sql, secrets, setjoin, tokenfile, veccodes
+from voxelith.llm import decontam, fillmiddle, html_text, linededup, media, mixing, nearest, pii, quality, queries_sql, secrets, setjoin, tokenfile, veccodes
 from voxelith.session import ship_code
 
 
@@ -73,6 +73,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = veccodes.compress(table(spark, sf_dir, "embeddings"))
     coded = veccodes.with_label_errors(coded)
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_vector_codes": op12_vector_codes,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
