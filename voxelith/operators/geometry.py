@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +22,30 @@ def a(r: int, c: int) -> Column:
 def header_status(h: DataFrame) -> DataFrame:
     """`h` with `status`: ok, or the first reason to set the file aside. Compare n_bytes with what the header promises.
 
-    The promised size is a double: any extents that a damaged header may hold fit, and whole sizes are exact up to 2 ** 53 bytes.
+    The promised size is a double: any extents that a damaged header may hold fit, and whole sizes are exact up to 2 ** 53 bytes. A
+    null n_bytes is a size that is not known and does not count against a file. A reader's own reason in `problem` comes first;
+    scales and affine rows count where `h` has them.
     """
     wide = lambda c: F.col(c).cast("double")
     need = F.when(F.col("vox_offset") == 0, 352.0).otherwise(wide("vox_offset")) + wide("n0") * wide("n1") * wide("n2") * wide("bitpix") / 8
     codes = [d[0] for d in DTYPES]
+    problem = F.col("problem") if "problem" in h.columns else F.lit(None).cast("string")
+    odd = lambda cs: reduce(or_, (F.col(c).isNull() | F.isnan(wide(c)) | (F.abs(wide(c)) == float("inf")) for c in cs if c in h.columns), F.lit(False))
+    rows = [f"s{r}{c}" for r in range(3) for c in range(4)]
     return h.withColumn(
         "status",
-        F.when(F.col("n_bytes") < 348, "short_file")
+        F.when(problem.isNotNull(), problem)
+        .when(F.col("n_bytes") < 348, "short_file")
         .when(F.col("sizeof_hdr") != 348, "bad_header_size")
         .when(~F.col("magic").isin("n+1", "ni1"), "bad_magic")
         .when(F.col("ndim") < 3, "not_3d")
         .when((F.col("ndim") > 3) & (F.col("dim4") > 1), "four_d")
         .when(~F.col("datatype").isin(codes), "unsupported_type")
+        .when(odd(["vox_offset"]) | (F.col("vox_offset") < 0), "bad_offset")
         .when(F.col("n_bytes") < need, "truncated")
+        .when((F.col("n0") < 1) | (F.col("n1") < 1) | (F.col("n2") < 1), "bad_extent")
+        .when(odd(["scl_slope", "scl_inter"]), "bad_scale")
+        .when((F.col("sform_code") > 0) & odd(rows) if "sform_code" in h.columns else F.lit(False), "bad_affine")
         .otherwise("ok"),
     )
 

@@ -503,6 +503,11 @@ def export_jnii(s, d):
     return roundtrip.jnii_roundtrip(s, d, shuffle=4)
 
 
+@query
+def ingest_quarantine(s, d):
+    return roundtrip.quarantine(s, d)
+
+
 @query
 def table_roundtrip(s, d):
     path = new_path(s, "voxels")

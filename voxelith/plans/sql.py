@@ -212,6 +212,13 @@ def queries() -> dict[str, str]:
         "export_tpm": "SELECT vol, c, z, y, x, CASE WHEN c = ref % 3 THEN 0.75::DOUBLE ELSE 0.125::DOUBLE END AS val FROM lab, range(3) k(c)",
         "ingest_jnii": "SELECT vol, 0 AS c, z, y, x, CAST(ref AS DOUBLE) AS val FROM lab",
         "export_jnii": "SELECT vol, c, z, y, x, CASE WHEN c = ref % 3 THEN 0.75::DOUBLE ELSE 0.125::DOUBLE END AS val FROM lab, range(3) k(c)",
+        "ingest_quarantine": """SELECT vol, 'nii.gz' AS form, CASE vol % 7 WHEN 3 THEN 'bad_offset' WHEN 4 THEN 'bad_magic' ELSE 'ok' END AS header_status,
+       CASE vol % 7 WHEN 1 THEN 'gzip_truncated' WHEN 2 THEN 'trailing_bytes' WHEN 3 THEN 'bad_offset' WHEN 4 THEN 'bad_magic' WHEN 5 THEN 'gzip_damaged' WHEN 6 THEN 'gzip_truncated' ELSE 'ok' END AS status,
+       CASE WHEN vol % 7 IN (0, 2) THEN nz ELSE 0 END AS n_planes FROM volmeta
+UNION ALL
+SELECT vol, 'jnii', CASE vol % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_object' WHEN 6 THEN 'unsupported_packing' WHEN 7 THEN 'bad_affine' ELSE 'ok' END,
+       CASE vol % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_object' WHEN 3 THEN 'bad_zlib' WHEN 4 THEN 'size_mismatch' WHEN 5 THEN 'bad_base64' WHEN 6 THEN 'unsupported_packing' WHEN 7 THEN 'bad_affine' ELSE 'ok' END,
+       CASE WHEN vol % 8 = 0 THEN nx ELSE 0 END FROM volmeta""",
         "flagship_pipeline": "SELECT m.vol, coalesce(label, 0) AS label, count(*) AS n FROM volmeta m CROSS JOIN LATERAL (SELECT unnest(range(nz)) AS z) gz CROSS JOIN LATERAL (SELECT unnest(range(ny)) AS y) gy CROSS JOIN LATERAL (SELECT unnest(range(nx)) AS x) gx JOIN bbox b ON m.vol = b.vol LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x GROUP BY 1, 2",
     }
     small = "(SELECT vol, nz, ny, nx, 7 AS tz, 12 AS ty, 11 AS tx FROM volmeta)"

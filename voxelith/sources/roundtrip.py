@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import math
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from voxelith.operators.classes import LABELS_18
 from voxelith.plans.views import view
 from voxelith.session import new_path
 from voxelith.sources import jnifti, nifti
+from voxelith.sources.files import open_file, replacing
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +33,18 @@ def _written(files: DataFrame) -> None:
     files.write.mode("overwrite").format("noop").save()
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ingest_nifti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vol, z, y, x, val of plain files of the labels."""
+    """vol, z, y, x, val of plain files of the labels, each read once: planes and statuses are stored together."""
     folder = new_path(spark, "nii")
     _written(nifti.export(_rows(spark, sf_dir), folder, ".nii"))
-    return _vol(nifti.voxels(nifti.slabs(spark, folder))).select("vol", "z", "y", "x", "val")
+    scanned = _stored(nifti.scan(geometry.header_status(nifti.headers(spark, folder))), "planes")
+    return _vol(nifti.voxels(nifti.good_planes(scanned))).select("vol", "z", "y", "x", "val")
 
 
 def labels_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +68,49 @@ def jnii_roundtrip(spark: SparkSession, sf_dir: str, shuffle: int) -> DataFrame:
     folder = new_path(spark, "jnii")
     table = {str(i): {"Label": a, "Name": b, "SourceLabel": c, "RGBA": list(rgba)} for i, a, b, c, *rgba in LABELS_18}
     _written(jnifti.export(_rows(spark, sf_dir), folder, table, 3 if shuffle > 1 else 0, shuffle))
-    return _vol(nifti.voxels(jnifti.slabs(spark, folder))).select("vol", "c", "z", "y", "x", "val")
+    scanned = _stored(jnifti.scan(jnifti.headers(spark, folder)), "planes")
+    return _vol(jnifti.voxels(nifti.good_planes(scanned))).select("vol", "c", "z", "y", "x", "val")
+
+
+def _spoiled(files: DataFrame, harm) -> None:
+    """Each file (vol, path) as `harm(vol, its bytes)` makes it."""
+
+    def run(frames):
+        for f in frames:
+            for vol, path in zip(f["vol"], f["path"], strict=True):
+                with open_file(path, "rb") as old:
+                    raw = old.read()
+                with replacing(path) as new:
+                    new.write(harm(int(vol), raw))
+            yield f
+
+    _written(files.mapInPandas(run, files.schema))
+
+
+def _harm_gzip(vol: int, raw: bytes) -> bytes:
+    whole = lambda h: nifti.member(gzip.decompress(raw)[: h[0]] + h[1] + gzip.decompress(raw)[h[0] + len(h[1]) :])
+    kind = vol % 7
+    return {0: raw, 1: raw[: len(raw) // 2], 2: raw + b"junk", 3: whole((108, struct.pack("<f", math.nan))), 4: whole((344, b"xx")), 5: raw[:-8] + b"\0\0\0\0" + raw[-4:], 6: raw[:100]}[kind]
+
+
+def _harm_text(vol: int, raw: bytes) -> bytes:
+    kind = vol % 8
+    if kind in (3, 5):
+        data = raw.index(b'"_ArrayZipData_": "') + 19
+        return raw[:data] + (b"AAAA" if kind == 3 else b"****") + raw[data + 4 :]
+    return {0: raw, 1: raw[: len(raw) // 2], 2: b"[" + raw + b"]", 4: raw.replace(b'"_ArraySize_": [15', b'"_ArraySize_": [16'), 6: raw.replace(b'"zlib"', b'"lzma"'), 7: raw.replace(b'"Affine"', b'"Affix"')}[kind]
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vol, form, header_status, status, n_planes: files of every volume, most of them spoiled, with the reason that the header and the whole
+    file give, and the planes that are let through."""
+    rows, out = _rows(spark, sf_dir), []
+    for form, export, harm in (("nii.gz", nifti.export, _harm_gzip), ("jnii", jnifti.export, _harm_text)):
+        folder = new_path(spark, "spoiled")
+        _spoiled(_stored(export(rows, folder), "files"), harm)
+        head = geometry.header_status(nifti.headers(spark, folder)) if form == "nii.gz" else jnifti.headers(spark, folder)
+        scanned = _stored((nifti if form == "nii.gz" else jnifti).scan(head), "planes")
+        kept = nifti.good_planes(scanned).groupBy("path").agg(F.count(F.lit(1)).alias("n_planes"))
+        both = head.select("path", F.col("status").alias("header_status")).join(nifti.statuses(scanned), "path").join(kept, "path", "left")
+        out.append(_vol(both).select("vol", F.lit(form).alias("form"), "header_status", "status", F.coalesce("n_planes", F.lit(0)).alias("n_planes")))
+    return out[0].unionByName(out[1])
