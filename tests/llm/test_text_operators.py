@@ -228,12 +228,17 @@ def page_of(rng, kind):
         return f"<body>{top}<main><div><h1>{title}</h1>{para(text)}</div><section>{teasers}</section></main>{end}", [title, *text]
     if kind == 5:  # the whole body in a form
         return f"<body><form method=post><input name=v value=x>{top}<div class=content><h1>{title}</h1>{para(text)}<button>Go</button></div>{end}</form>", [title, *text]
+    if kind >= 7:  # class names of a widespread blog system, on what holds the text
+        outer, inner = [("<div id=page class='site no-sidebar'>", "<article class='post tag-cookies category-comments'>"), ("<div class='content has-sidebar'>", "<div class='entry comments-open'>"), ("<div class='wrap page-template-sidebar'>", "<div class=text>")][kind - 7]
+        close = "</article>" if inner.startswith("<article") else "</div>"
+        readers = "".join(f"<article class='comment even'><p>{t}</p></article>" for t in story(rng, 4))
+        return f"<body>{top}{outer}{inner}<h1>{title}</h1>{para(text)}{close}<div id=comments class='comments-area'><h2>Comments</h2>{readers}</div></div>{end}", [title, *text]
     # names that only look like those of other parts, and a link list in the text
     marked = f"<p class='form-text'>{text[0]}</p><p class='social-history'>{text[1]}</p><div class='search-results'>{para(text[2:])}</div>"
     return f"<body>{top}<article><h1>{title}</h1>{marked}<ul>{links}</ul></article>{end}", [title, *text]
 
 
-@pytest.mark.parametrize("kind", range(7))
+@pytest.mark.parametrize("kind", range(10))
 def test_gold_pages(kind):
     rng = random.Random(kind)
     hit = found = there = 0
@@ -244,6 +249,34 @@ def test_gold_pages(kind):
     assert hit >= 0.97 * there and hit >= 0.97 * found, (hit, found, there)
 
 
+def test_sections_of_one_text_stay_together():
+    rng = random.Random(2)
+    word = lambda n: " ".join(words(rng, n))
+    for tag, sizes in (("section", (200, 5, 70)), ("div", (60, 20, 40, 5)), ("section", (5, 300))):
+        heads, texts = [word(3) for _ in sizes], [word(n) for n in sizes]
+        parts = "".join(f"<{tag}><h2>{h}</h2><p>{t}</p></{tag}>" for h, t in zip(heads, texts, strict=True))
+        want = [x for pair in zip(heads, texts, strict=True) for x in pair]
+        for page in (f"<body><nav><a href=/>Home</a></nav><div class=w>{parts}</div><div>{word(4)}</div></body>", f"<body>{parts}</body>"):
+            assert html_text.extract(page).split("\n") == want
+    same = "<p>" + word(40) + "</p>"
+    assert html_text.extract(f"<body><div><section>{same * 3}</section><section>{same}</section><section>{same * 2}</section></div></body>").count("\n") == 5
+
+
+def test_names_are_a_vote_and_references_stay():
+    rng = random.Random(3)
+    text = ["Plain text of the page, " + t for t in story(rng, 5)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    for name in ("search", "widget", "newsletter-archive", "overlay content"):  # nothing else holds a text
+        assert html_text.extract(f"<body><div class='{name}'>{body}</div><div>{' '.join(words(rng, 5))}</div></body>") == "\n".join(text)
+    readers = "".join(f"<div class=comment><p>{t}</p></div>" for t in story(rng, 30))  # more than the text itself
+    assert html_text.extract(f"<body><div><h1>T</h1>{body}</div><div class='comments-area'>{readers}</div></body>") == "\n".join(["T", *text])
+    works = "".join(f"<li><a href=/{i}>Somebody {i}, A Treatise on the Extraction of Text, vol. {i}</a></li>" for i in range(6))
+    assert html_text.extract(f"<body><article><h1>T</h1>{body}<h2>Works</h2><ul>{works}</ul></article></body>").count("Treatise") == 6
+    deep = "<div class=sidebar>" * 5000 + body
+    began = time.process_time()
+    assert html_text.extract(deep) == "\n".join(text) and time.process_time() - began < 20
+
+
 def test_density_decides_where_the_text_is():
     rng = random.Random(1)
     text = story(rng, 6)

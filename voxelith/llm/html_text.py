@@ -51,13 +51,15 @@ _SKIP_LINKED = _SKIP_NAMES
 _SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
 #: Share of link text from which a subtree of several links is no main text.
 LINKED = 0.6
+#: Characters of a link, on average, from which a list of links is kept as references.
+TITLE = 30
 
 
 class Node:
-    __slots__ = ("tag", "kids", "skip", "main", "weak", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "depth", "near")
+    __slots__ = ("tag", "kids", "skip", "main", "weak", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "up", "depth", "near")
 
-    def __init__(self, tag: str, up: Node | None, skip: bool = False, main: bool = False, weak: bool = False):
-        self.tag, self.up, self.skip, self.main, self.weak, self.kids = tag, up, skip, main, weak, []
+    def __init__(self, tag: str, up: Node | None, skip: bool = False, main: bool = False, weak: bool = False, named: int = 0):
+        self.tag, self.up, self.skip, self.main, self.weak, self.named, self.kids = tag, up, skip, main, weak, named, []
         self.depth = up.depth + 1 if up is not None else 0
         over = up.near if up is not None else (None,) * len(_KINDS)
         if tag in _TRACKED:
@@ -68,24 +70,25 @@ class Node:
 _TRACKED = frozenset().union(*(own | stops for own, stops in _KINDS))
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether the element is to be left out, whether it is named as the main text, and whether it is to be left out if it is mostly links."""
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool, int]:
+    """Whether the element is to be left out, whether it is named as the main text, whether it is to be left out if it is mostly links, and
+    whether it is left out for a class or id alone: 2 for a whole name, 1 for a part of one. That is a vote; see _open_named()."""
     if tag in _SKIP_TAGS:
-        return True, False, False
+        return True, False, False, 0
     named = tag in ("article", "main")
     if not attrs or attrs.isspace():
-        return False, named, False
+        return False, named, False, 0
     found = {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")) or role in _SKIP_ROLES:
-        return True, False, False
+        return True, False, False, 0
     if tag in ("html", "body", "main") or role == "main":
-        return False, tag == "main" or role == "main", False
+        return False, tag == "main" or role == "main", False, 0
     names = (found.get("class", "") + " " + found.get("id", "")).split()
     parts = {w.lower() for x in names for w in _PARTS.findall(x)}
-    if any(x.lower() in _SKIP_NAMES for x in names) or parts & _SKIP_PARTS:
-        return True, False, False
-    return False, named or role == "article", bool(parts & _SKIP_LINKED)
+    vote = 2 if any(x.lower() in _SKIP_NAMES for x in names) else 1 if parts & _SKIP_PARTS else 0
+    main = named or role == "article"
+    return vote > 0, main, bool(parts & _SKIP_LINKED) or vote > 0, vote
 
 
 def parse(page: str) -> Node:
@@ -208,6 +211,47 @@ def measure(top: Node) -> list[Node]:
     return order
 
 
+def _open_named(top: Node) -> None:
+    """Takes back what class names and ids alone left out, where it holds the page's text.
+
+    Such an element stays in if only parts of its names speak against it and it is an article or main element; if it holds at least a
+    quarter of the page's plain text and in it a main heading, a main element or, unless a whole name speaks against it, an article; or if
+    it holds more than half of the plain text while no heading, article or main element with a tenth as much stands elsewhere.
+    """
+    order, at, votes = [], {}, []
+    stack = [top]
+    while stack:
+        node = stack.pop()
+        at[node] = len(order)
+        order.append(node)
+        if node.named:
+            votes.append(node)
+        stack += [k for k in node.kids if isinstance(k, Node) and (not k.skip or k.named)]
+    if not votes:
+        return
+    plain, last, mains, articles = {}, {}, {}, {}
+    for node in reversed(order):
+        kids = [k for k in node.kids if k in at] if len(node.kids) > 0 else []
+        own = 0 if node.tag == "a" else sum(len(k) - k.count(" ") - k.count("\n") for k in node.kids if isinstance(k, str))
+        plain[node] = own + (0 if node.tag == "a" else sum(plain[k] for k in kids))
+        last[node] = max((last[k] for k in kids), default=at[node])
+        mains[node] = node.tag in ("h1", "main") or (node.main and node.tag != "article") or any(mains[k] for k in kids)
+        articles[node] = node.tag == "article" or any(articles[k] for k in kids)
+    total = plain[top]
+    anchors = [(at[n], plain[n]) for n in order if n.main and not n.named] + [(at[n.up], plain[n.up]) for n in order if n.tag == "h1" and n.up is not None and not n.up.named]
+
+    def alone(node: Node) -> bool:
+        inside = lambda i: at[node] <= i <= last[node]
+        around = lambda i: i < at[node] and last[order[i]] >= last[node]
+        return not any(10 * n >= plain[node] and not inside(i) and not around(i) for i, n in anchors)
+
+    for node in votes:  # outer ones first
+        share = plain[node] / max(1, total)
+        held = mains[node] or (node.named == 1 and articles[node])
+        if (node.named == 1 and node.tag in ("article", "main")) or (share >= 0.25 and held) or (share > 0.5 and alone(node)):
+            node.skip = False
+
+
 def _line(node: Node) -> list[Node]:
     """A node and what stands above it."""
     out = [node]
@@ -216,9 +260,30 @@ def _line(node: Node) -> list[Node]:
     return out
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PLAIN = _HEADINGS | frozenset("p ul ol dl pre blockquote figure table hr br img center address b i em strong".split())
+
+
+def _of_sections(node: Node) -> Node | None:
+    """What is above `node` if that is one text in sections of the same tag: each has a heading or paragraphs of its own (under the body:
+    headings), none is mostly links, and nothing stands between them but blocks of plain text."""
+    up = node.up
+    if up is None or node.main or node.tag not in ("section", "div"):
+        return None
+    kids = [k for k in _kept(up) if k.chars]
+    like = [k for k in kids if k.tag == node.tag]
+    if len(like) < 2:
+        return None
+    needed = _HEADINGS if up.tag in ("body", "html") else _HEADINGS | {"p"}
+    for k in kids:
+        if 10 * k.link_chars > 3 * k.chars or (k.tag == node.tag and not any(x.tag in needed for x in _kept(k))) or (k.tag != node.tag and k.tag not in _PLAIN):
+            return None
+    return up
+
+
 def region(top: Node) -> list[Node]:
     """The main text's subtrees in page order: the one of largest density sum among nodes that reach the body path's lowest density, with
-    the article around it and its likes beside it."""
+    the article around it, the sections beside it, and its likes."""
     order = measure(top)
     if top.chars == 0:
         return []
@@ -227,18 +292,26 @@ def region(top: Node) -> list[Node]:
     core = max((x for x in order if x.density >= threshold and x.chars), key=lambda x: (max(x.total, x.density), x.main), default=top)
     named = [x for x in _line(core) if x.main and x.density >= threshold]
     found = ([x for x in named if x.tag == "article"] or named or [core])[-1]  # the outermost: a section of an article may be an article too
+    if found.tag not in _BLOCK or found.tag in ("p", "li", "td", "tr"):
+        found = found.up or found
+    while (wider := _of_sections(found)) is not None:
+        found = wider
     if found.up is None:
         return [found]
     plain = found.chars - found.link_chars
     alike = [k for k in _kept(found.up) if k is found or k.tag == found.tag and found.tag in _BLOCK and k.density >= threshold and 4 * (k.chars - k.link_chars) >= plain]
-    if found.tag not in _BLOCK or found.tag in ("p", "li", "td", "tr"):
-        return [found.up]
     if not found.main and found.tag != "body":  # its headings may stand before it
         before = found.up.kids[: found.up.kids.index(alike[0])]
         alike = [k for k in before if isinstance(k, Node) and not k.skip and k.tag in ("h1", "h2")] + alike
     return alike
 
 
+def _references(node: Node) -> bool:
+    """Whether a list of links reads like references, not like a menu: its entries are long, or numbered and not all link."""
+    long = node.link_chars >= TITLE * node.link_tags
+    return node.tag in ("ol", "ul", "li", "dl", "dd", "p") and (long or (node.tag == "ol" and node.link_chars < node.chars))
+
+
 def blocks(root: Node) -> list[str]:
     """Texts of the blocks below `root` in page order, white space turned into single spaces. Blocks below it that are mostly links are left out."""
     out, line = [], []
@@ -261,7 +334,7 @@ def blocks(root: Node) -> list[str]:
                 line.append(" ")
                 continue
             if x.tag in _BLOCK:
-                if x is not root and x.link_tags >= 3 and x.link_chars >= LINKED * x.chars:
+                if x is not root and x.link_tags >= 3 and x.link_chars >= LINKED * x.chars and not _references(x):
                     flush()
                     continue
                 flush()
@@ -300,6 +373,7 @@ def extract(page: str | None) -> str:
         return ""
     top = parse(page)
     _open_forms(top)
+    _open_named(top)
     return "\n".join(line for root in region(top) for line in blocks(root))
 
 
