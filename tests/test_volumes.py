@@ -197,10 +197,16 @@ def test_a_value_that_is_not_finite_spoils_only_its_neighbours(spark):
     assert np.isfinite(got[0, :, 6:]).all() and np.isfinite(got[0, 0]).sum() >= 10
 
 
-def test_a_plane_with_holes_is_refused(spark):
-    v = volume(spark, np.ones((1, 3, 4))).filter("not (y = 1 and x = 2)")
+@pytest.mark.parametrize("hole", ["y = 1 and x = 2", "x = (z + y) % 4", "y = 2", "z = 1", "x = 3", "y = 3", "z = 3", "z = 2 and y = 3"])
+def test_every_hole_is_refused(spark, hole):
+    """One voxel, one of each line, a line, a plane, and the last ones along each axis."""
+    v = volume(spark, np.random.default_rng(8).normal(size=(4, 4, 4)))
+    shape = spark.createDataFrame([(1, 4, 4, 4, 4, 5, 3)], "vol long, nz int, ny int, nx int, tz int, ty int, tx int")
+    assert resample.resample(v, shape, 1).count() == 60
     with pytest.raises(Exception, match="not dense"):
-        resample.resample(v, spark.createDataFrame([(1, 1, 2, 2)], "vol long, tz int, ty int, tx int"), 1).collect()
+        resample.resample(v.filter(f"not ({hole})"), shape, 1).collect()
+    with pytest.raises(Exception, match="not dense"):
+        resample.resample(v.unionByName(v.filter(hole)), shape, 3).collect()
 
 
 def test_blend_counts_tiles(spark):

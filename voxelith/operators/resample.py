@@ -99,6 +99,11 @@ def _alike(*columns):
     return [(kind, np.flatnonzero(of.reshape(-1) == i)) for i, kind in enumerate(kinds)]
 
 
+def _extents(shape: DataFrame, axes: str) -> list:
+    """Extents that the header gives, if `shape` has them: with them, what is missing at a volume's end is seen as well."""
+    return [F.col(f"n{k}").cast("int") for k in axes if f"n{k}" in shape.columns]
+
+
 def _planes(voxels: DataFrame, shape: DataFrame, across: str, axes: Sequence[str], order: int, value: str, channels: int) -> DataFrame:
     """Lines (vol, across, up, line) of planes of constant `across`, resampled along `axes`. Up and along a line run the other axes in z, y, x order."""
     up, fast = [k for k in "zyx" if k != across]
@@ -109,12 +114,17 @@ def _planes(voxels: DataFrame, shape: DataFrame, across: str, axes: Sequence[str
 
         for table, starts in _whole_groups(batches, across):
             cells = _cells(table[value])[0].reshape(-1, width)
-            u = table[up].to_numpy()
+            u, f = table[up].to_numpy(), table[fast].to_numpy()
             new = np.concatenate([[1], u[1:] != u[:-1]]).astype(np.int64)
             new[starts] = 1
             height, count = np.add.reduceat(new, starts), np.diff(np.append(starts, len(u)))
-            if (count % height).any():
-                raise ValueError("a plane is not dense: its lines differ in length")
+            long = count // height
+            at = np.arange(len(u)) - np.repeat(starts, count)
+            if (count % height).any() or (u != at // np.repeat(long, count)).any() or (f != at % np.repeat(long, count)).any():
+                raise ValueError("a plane is not dense: voxels are missing or repeated")
+            for k, there in ((up, height), (fast, long)):
+                if f"n{k}" in table.column_names and (table[f"n{k}"].to_numpy()[starts] != there).any():
+                    raise ValueError(f"a plane is not dense: lines are missing along {k}")
             parts = []
             for kind, g in _alike(count, height, *(table[f"t{k}"].to_numpy()[starts] for k in axes)):
                 plane = cells[starts[g][:, None] + np.arange(kind[0])].reshape(len(g), kind[1], kind[0] // kind[1], width)
@@ -123,7 +133,7 @@ def _planes(voxels: DataFrame, shape: DataFrame, across: str, axes: Sequence[str
                 parts.append((g, plane.reshape(len(g), plane.shape[1], -1)))
             yield from _lines(table, starts, parts, across, up)
 
-    sizes = shape.select("vol", *(F.col(f"t{k}").cast("int") for k in axes))
+    sizes = shape.select("vol", *(F.col(f"t{k}").cast("int") for k in axes), *_extents(shape, up + fast))
     rows = voxels.select("vol", *(F.col(k).cast("int").alias(k) for k in "zyx"), value).join(sizes, "vol")
     rows = rows.repartition("vol", across).sortWithinPartitions("vol", across, up, fast)
     return rows.mapInArrow(run, f"vol {dict(voxels.dtypes)['vol']}, {across} int, {up} int, line array<double>")
@@ -138,13 +148,18 @@ def _along_z(lines: DataFrame, shape: DataFrame, order: int) -> DataFrame:
         for table, starts in _whole_groups(batches, "y"):
             cells, lengths = _cells(table["line"])
             offset = np.cumsum(lengths) - lengths
+            count = np.diff(np.append(starts, table.num_rows))
+            if (table["z"].to_numpy() != np.arange(table.num_rows) - np.repeat(starts, count)).any() or (lengths != np.repeat(lengths[starts], count)).any():
+                raise ValueError("a volume is not dense: planes are missing or differ")
+            if "nz" in table.column_names and (table["nz"].to_numpy()[starts] != count).any():
+                raise ValueError("a volume is not dense: planes are missing at its end")
             parts = []
             for (count, length, size), g in _alike(np.diff(np.append(starts, table.num_rows)), lengths[starts], table["tz"].to_numpy()[starts]):
                 at = offset[starts[g][:, None] + np.arange(count)]
                 parts.append((g, resample_array(cells[at[:, :, None] + np.arange(length)], 1, int(size), order)))
             yield from _lines(table, starts, parts, "y", "z")
 
-    rows = lines.join(shape.select("vol", F.col("tz").cast("int")), "vol").repartition("vol", "y").sortWithinPartitions("vol", "y", "z")
+    rows = lines.join(shape.select("vol", F.col("tz").cast("int"), *_extents(shape, "z")), "vol").repartition("vol", "y").sortWithinPartitions("vol", "y", "z")
     return rows.mapInArrow(run, f"vol {dict(lines.dtypes)['vol']}, y int, z int, line array<double>")
 
 
@@ -165,7 +180,11 @@ def resample_axis(voxels: DataFrame, shape: DataFrame, axis: str, order: int, va
 
 
 def resample(voxels: DataFrame, shape: DataFrame, order: int, value: str = "val", channels: int = 0) -> DataFrame:
-    """All three axes of dense voxels: linear (order 1) or Catmull-Rom (order 3), edges clamped. `shape`: vol, tz, ty, tx."""
+    """All three axes of dense voxels: linear (order 1) or Catmull-Rom (order 3), edges clamped. `shape`: vol, tz, ty, tx.
+
+    Voxels that are missing or repeated end the job, since values beside a hole would silently be wrong; holes at a volume's end are
+    seen if `shape` has the extents nz, ny, nx too.
+    """
     return _samples(_along_z(_planes(voxels, shape, "z", "yx", order, value, channels), shape, order), "x", value, channels)
 
 

@@ -225,7 +225,7 @@ def resample_taps(s, d):
 
 
 def _resampled(s, d, order):
-    shape = view(s, d, "volmeta").select("vol", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
+    shape = view(s, d, "volmeta").select("vol", "nz", "ny", "nx", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
     return resample.resample(view(s, d, "vox"), shape, order).select("vol", "z", "y", "x", r7_off_ties("val").alias("val"))
 
 
@@ -241,7 +241,7 @@ def resample_cubic(s, d):
 
 @query
 def resample_logits(s, d):
-    shape = view(s, d, "volmeta").select("vol", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
+    shape = view(s, d, "volmeta").select("vol", "nz", "ny", "nx", F.lit(7).alias("tz"), F.lit(12).alias("ty"), F.lit(11).alias("tx"))
     v = view(s, d, "vox").select("vol", "z", "y", "x", F.array(F.col("val"), 2 * F.col("val") + F.col("x"), F.col("y").cast("double")).alias("logits"))
     out = resample.resample(v, shape, 1, "logits", 3)
     return out.select("vol", "z", "y", "x", F.posexplode("logits").alias("c", "v")).withColumn("v", r7_off_ties("v"))
