@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nonzero_bbox(voxels: DataFrame) -> DataFrame:
-    """vol, zlo, zhi, ylo, yhi, xlo, xhi: half-open box around values other than 0; the whole volume if there are none."""
+def box_columns() -> list[Column]:
+    """Aggregates zlo, zhi, ylo, yhi, xlo, xhi of voxels."""
     inside = F.col("val") != 0
     out = []
     for k in "zyx":
         out += [F.coalesce(F.min(F.when(inside, F.col(k))), F.lit(0)).alias(f"{k}lo"), F.coalesce(F.max(F.when(inside, F.col(k) + 1)), F.max(F.col(k)) + 1).alias(f"{k}hi")]
-    return voxels.groupBy("vol").agg(*out)
+    return out
+
+
+def nonzero_bbox(voxels: DataFrame) -> DataFrame:
+    """vol, zlo, zhi, ylo, yhi, xlo, xhi: half-open box around values other than 0; the whole volume if there are none."""
+    return voxels.groupBy("vol").agg(*box_columns())
 
 
 def crop(voxels: DataFrame, bbox: DataFrame) -> DataFrame:
@@ -78,17 +83,26 @@ def unpad(rows: DataFrame, shape: DataFrame, patch: tuple[int, int, int]) -> Dat
     return both.select(*rows.columns)
 
 
+def _around(bbox: DataFrame, shape: DataFrame, value: Column) -> DataFrame:
+    """vol, z, y, x of the full grid outside the box, and `value` there. Made from the box alone, without a join with what is inside."""
+    sides = bbox.join(shape.select("vol", "nz", "ny", "nx"), "vol")
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = sides.select("*", axis("nz").alias("z")).select("*", axis("ny").alias("y")).select("*", axis("nx").alias("x"))
+    inside = [(F.col(k) >= F.col(f"{k}lo")) & (F.col(k) < F.col(f"{k}hi")) for k in "zyx"]
+    return rows.filter(~(inside[0] & inside[1] & inside[2])).select("vol", "z", "y", "x", value)
+
+
 def uncrop_labels(labels: DataFrame, bbox: DataFrame, shape: DataFrame, background: int = 0) -> DataFrame:
-    """Labels (vol, z, y, x, label) on the full grid, `background` outside the box."""
+    """Labels (vol, z, y, x, label) of whole crops on the full grid, `background` outside the box."""
     moved = labels.join(bbox, "vol").withColumns({k: F.col(k) + F.col(f"{k}lo") for k in "zyx"}).select("vol", "z", "y", "x", "label")
-    return dense(shape).join(moved, ["vol", "z", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(background)))
+    return moved.unionByName(_around(bbox, shape, F.lit(background).cast(dict(labels.dtypes)["label"]).alias("label")))
 
 
 def uncrop_tpm(tpm: DataFrame, bbox: DataFrame, shape: DataFrame, classes: int, background: int = 0) -> DataFrame:
-    """Probabilities (vol, z, y, x, p array) on the full grid; outside the box the background class has 1."""
+    """Probabilities (vol, z, y, x, p array) of whole crops on the full grid; outside the box the background class has 1."""
     moved = tpm.join(bbox, "vol").withColumns({k: F.col(k) + F.col(f"{k}lo") for k in "zyx"}).select("vol", "z", "y", "x", "p")
     outside = F.array(*(F.lit(1.0 if c == background else 0.0) for c in range(classes)))
-    return dense(shape).join(moved, ["vol", "z", "y", "x"], "left").withColumn("p", F.coalesce("p", outside))
+    return moved.unionByName(_around(bbox, shape, outside.alias("p")))
 
 
 def place_upsampled(rows: DataFrame, bbox: DataFrame, meta: DataFrame, spacing: float) -> DataFrame:

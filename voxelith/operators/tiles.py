@@ -150,12 +150,17 @@ def blend(scores: DataFrame, patch: Patch, classes: int, shape: DataFrame | None
     seen = [] if shape is not None else [F.size(F.collect_set("fold")).alias("folds"), F.size(F.collect_set("tile_id")).alias("tiles")]  # countDistinct would multiply all rows
     sums = [F.sum(F.col("wt") * F.col("logits")[c]).alias(f"l{c}") for c in range(classes)]
     s = s.groupBy("vol", "z", "y", "x").agg(*sums, F.sum("wt").alias("all_wt"), F.count(F.lit(1)).alias("n"), *seen)
-    expected = F.col("folds") * F.col("tiles") if seen else F.lit(folds)
-    if shape is not None:
-        s = s.join(with_starts(shape, patch, ratio, rule).select("vol", "bz", "by", "bx"), "vol")
-        for k, p in zip("zyx", patch, strict=True):
-            expected = expected * F.size(_covering(k, p))
-    return s.select("vol", "z", "y", "x", F.array(*(F.col(f"l{c}") / F.col("all_wt") for c in range(classes))).alias("logits"), (F.col("n") == expected).alias("complete"))
+    s = s.withColumn("complete", F.col("n") == F.col("folds") * F.col("tiles")) if seen else with_coverage(s, shape, patch, ratio, folds, rule)
+    return s.select("vol", "z", "y", "x", F.array(*(F.col(f"l{c}") / F.col("all_wt") for c in range(classes))).alias("logits"), "complete")
+
+
+def with_coverage(rows: DataFrame, shape: DataFrame, patch: Patch, ratio: float, folds: int, rule: Callable = starts) -> DataFrame:
+    """`rows` (vol, z, y, x, n) with `complete`: whether n scores are what `folds` folds of all tiles that cover the voxel give."""
+    out = rows.join(with_starts(shape, patch, ratio, rule).select("vol", "bz", "by", "bx"), "vol")
+    expected = F.lit(folds)
+    for k, p in zip("zyx", patch, strict=True):
+        expected = expected * F.size(_covering(k, p))
+    return out.withColumn("complete", F.col("n") == expected).drop("bz", "by", "bx")
 
 
 def blend_uniform(scores: DataFrame, classes: int) -> DataFrame:

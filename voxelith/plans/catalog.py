@@ -11,7 +11,7 @@ from voxelith.functions import columns as fc
 from voxelith.operators import classes as cl
 from voxelith.operators import evaluate as ev
 from voxelith.operators import geometry as geo
-from voxelith.operators import grid, jobs, resample, tiles
+from voxelith.operators import grid, jobs, planes, resample, tiles
 from voxelith.plans import flagship as fl
 from voxelith.plans.sql import query_texts
 from voxelith.plans.views import CLASSES, fold_weights, logits, view
@@ -158,6 +158,13 @@ def zscore(s, d):
     return grid.zscore(grid.crop(v, grid.nonzero_bbox(v))).select("vol", "z", "y", "x", r7("val").alias("val"))
 
 
+@query
+def crop_moments(s, d):
+    """Box, mean and deviation of every volume from one scan of its voxels."""
+    out = planes.measured(view(s, d, "vox"))
+    return out.select("vol", *(f"{k}{e}" for k in "zyx" for e in ("lo", "hi")), r7("mean_").alias("mean_"), r7("sd_").alias("sd_"))
+
+
 @query
 def target_shape(s, d):
     return grid.target_shape(view(s, d, "volmeta"), 0.75).select("vol", "tz", "ty", "tx")
@@ -200,6 +207,13 @@ def uncrop_tpm(s, d):
     return out.select("vol", "z", "y", "x", F.posexplode("p").alias("c", "p"))
 
 
+@query
+def uncrop_lines(s, d):
+    """uncrop_labels on packed lines."""
+    labels, bbox = _labels(s, d)
+    return planes.voxels_of_lines(planes.uncropped(planes.pack_lines(labels), bbox, view(s, d, "volmeta"), cl.AIR))
+
+
 @query
 def upsample_place(s, d):
     v, bbox, shape = _cropped(s, d)
@@ -299,19 +313,24 @@ def score_tiles_linear(s, d):
 
 @query
 def score_tiles_bricks(s, d):
-    """The plug-in path: bricks, a model for each fold, and its scores voxel by voxel."""
-    import numpy as np
-
-    weights = {f: (np.array(w), np.array(b)) for f, w, b in fold_weights(s, d, 2, 3)}
+    """The plug-in path: bricks sliced from packed planes, a model for each fold, and its scores voxel by voxel."""
     ship_code(s)
+    cut = planes.bricks(planes.pack(view(s, d, "vox")), view(s, d, "volmeta"), PATCH, RATIO)
+    load = fl.linear_model(fold_weights(s, d, 2, 3), 3)
+    return _long(tiles.score_bricks(cut, PATCH, [0, 1], load, 3), ["vol", "tile_id", "fold", "z", "y", "x"])
 
-    def load(fold):
-        w, b = weights[fold]
-        term = 0.01 * (np.arange(3) % 3)
-        return lambda tile, brick: brick[None] * w[:, None, None, None] + (b + term * tile)[:, None, None, None]
 
-    cut = tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO)
-    return _long(tiles.score_bricks(tiles.bricks(cut, PATCH), PATCH, [0, 1], load, 3), ["vol", "tile_id", "fold", "z", "y", "x"])
+@query
+def blend_slabs(s, d):
+    """The same scores blended slab by slab: planes in, planes of logits out."""
+    shape = view(s, d, "volmeta").withColumns({f"t{k}": F.col(f"n{k}") for k in "zyx"})
+    load = fl.linear_model(fold_weights(s, d, 2, 3), 3)
+    parts = planes.overlap_add(planes.slabs(planes.resized(planes.pack(view(s, d, "vox")), shape, 1), shape, PATCH, RATIO, 1), PATCH, load, [0, 1], 3, 1)
+    out = planes.blended(parts, shape, PATCH, 3)
+    cells = F.posexplode(F.transform("n", lambda n, i: F.struct(n.alias("n"), F.slice("data", i * 3 + 1, 3).alias("logits"))))
+    out = out.select("vol", "z", "nx", cells.alias("i", "cell")).select("vol", "z", F.floor(F.col("i") / F.col("nx")).cast("int").alias("y"), (F.col("i") % F.col("nx")).cast("int").alias("x"), "cell.n", "cell.logits")
+    out = tiles.with_coverage(out, shape, PATCH, RATIO, 2)
+    return _long(out, ["vol", "z", "y", "x", "complete"])
 
 
 @query
@@ -414,6 +433,15 @@ def confusion(s, d):
     return _counts(s, d)
 
 
+@query
+def confusion_maps(s, d):
+    """Two separate maps, each of which lacks planes, lines and voxels that the other has, compared run by run."""
+    lab = view(s, d, "lab")
+    a = lab.filter("not (vol % 4 = 3 and z = 2) and not (y = 4 and x > 9)").select("vol", "z", "y", "x", F.floor(F.col("ref") / 6).cast("int").alias("label"))
+    b = lab.filter("vol % 5 <> 4 and not (vol % 3 = 1 and x = 14)").select("vol", "z", "y", "x", F.floor(F.col("pred") / 6).cast("int").alias("label"))
+    return ev.compared(ev.runs(a, F.lit(15)), ev.runs(b, F.lit(15)))
+
+
 @query
 def dice_per_class(s, d):
     return ev.dice(_counts(s, d)).withColumn("dice", F.round("dice", 9))

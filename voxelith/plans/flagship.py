@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.operators import classes, evaluate, grid, resample, tiles
+from voxelith.operators import evaluate, grid, planes
 from voxelith.plans import views
 from voxelith.session import new_path
 
 PATCH, RATIO, SPACING, FOLDS, CLASSES = (8, 8, 8), 0.5, 0.75, 2, 3
 
 
-def measured(vox: DataFrame, meta: DataFrame) -> DataFrame:
-    """One row a volume: header sizes, box, moments inside it. Boxes and then moments are grouped aggregates of the voxels."""
-    bbox = grid.nonzero_bbox(vox)
-    return bbox.join(grid.moments(grid.crop(vox, bbox)), "vol").join(meta, "vol")
-
-
 def boxes(volumes: DataFrame) -> DataFrame:
     return volumes.select("vol", *(f"{k}{end}" for k in "zyx" for end in ("lo", "hi")))
 
@@ -27,30 +23,39 @@ def extents(volumes: DataFrame) -> DataFrame:
     return grid.target_shape(volumes.select("vol", *((F.col(f"{k}hi") - F.col(f"{k}lo")).alias(f"n{k}") for k in "zyx"), "sz", "sy", "sx"), SPACING)
 
 
+def linear_model(weights: list[tuple[int, list[float], list[float]]], classes: int) -> Callable:
+    """load() of the linear scorer, as planes.overlap_add() and tiles.score_bricks() take it."""
+    import numpy as np
+
+    of = {f: (np.array(w), np.array(b)) for f, w, b in weights}
+
+    def load(fold):
+        w, b = of[fold]
+        term = 0.01 * (np.arange(classes) % 3)
+        return lambda tile, brick: brick[None] * w[:, None, None, None] + (b + term * tile)[:, None, None, None]
+
+    return load
+
+
 def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vol, z, y, x, label on every volume's own grid.
+    """vol, z, y, labels: lines of labels along x on every volume's own grid.
 
     What there is one row a volume of (header, box, moments) is written once to the shared folder, and every later step joins it
-    from there; the voxels are then read once more, and padding, tiles and blending follow from those rows.
+    from there. Voxels are read once for that and once to be packed into planes; what follows are planes and lines only.
     """
     vox = views.view(spark, sf_dir, "vox")
     path = new_path(spark, "volumes")
-    measured(vox, views.view(spark, sf_dir, "volmeta")).write.parquet(path)
+    planes.measured(vox).join(views.view(spark, sf_dir, "volmeta"), "vol").write.parquet(path)
     volumes = spark.read.parquet(path)
     bbox, shape = boxes(volumes), extents(volumes)
-    fine = resample.resample(grid.zscore(grid.crop(vox, bbox), volumes), shape, 3)
-    net = shape.select("vol", *(F.col(f"t{k}").alias(f"n{k}") for k in "zyx"))
-    padded = net.select("vol", *(F.greatest(F.col(f"n{k}"), F.lit(p)).alias(f"n{k}") for k, p in zip("zyx", PATCH, strict=True)))
-    # dealt by plane before tiles and folds multiply the rows, so that blending, by voxel, needs no exchange of its own
-    whole = grid.pad_to(fine, net, PATCH).repartition("vol", "z")
-    cut = tiles.extract(whole, padded, PATCH, RATIO)
-    scores = tiles.score_linear(cut, views.fold_weights(spark, sf_dir, FOLDS, CLASSES), CLASSES)
-    blended = tiles.blend(scores, PATCH, CLASSES, padded, RATIO, FOLDS).select("vol", "z", "y", "x", "logits")
-    back = shape.select("vol", *(F.col(f"n{k}").alias(f"t{k}") for k in "zyx"))
-    own = resample.resample(grid.unpad(blended, net, PATCH), back, 1, "logits", CLASSES)
-    labels = own.select("vol", "z", "y", "x", classes.argmax(F.transform("logits", lambda v: F.round(v, 6))).alias("label"))
-    return grid.uncrop_labels(labels, bbox, volumes.select("vol", "nz", "ny", "nx"))
+    packed = planes.pack(grid.zscore(grid.crop(vox, bbox), volumes))
+    slabs = planes.slabs(planes.resized(packed, shape, 3), shape, PATCH, RATIO, 3)
+    load = linear_model(views.fold_weights(spark, sf_dir, FOLDS, CLASSES), CLASSES)
+    blended = planes.blended(planes.overlap_add(slabs, PATCH, load, list(range(FOLDS)), CLASSES, 3), shape, PATCH, CLASSES)
+    back = shape.select("vol", F.col("tz").alias("nz"), *(F.col(f"n{k}").alias(f"t{k}") for k in "zyx"))
+    labels = planes.labels_back(planes.resized(blended, back, 1, CLASSES), back, CLASSES)
+    return planes.uncropped(labels, bbox, volumes, 0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.class_counts(segment(spark, sf_dir))
+    return evaluate.class_counts(planes.voxels_of_lines(segment(spark, sf_dir)))

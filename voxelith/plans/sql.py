@@ -162,6 +162,7 @@ def queries() -> dict[str, str]:
         "out_header": "SELECT vol, n0, n1, n2, " + ", ".join(f"round({_NORM[c]}, 7) AS v{c}" for c in range(3)) + ", 'uint8' AS data_type, 8 AS bit_depth FROM hdr",
         "nonzero_bbox": "SELECT * FROM bbox",
         "crop_nonzero": "SELECT * FROM cropped",
+        "crop_moments": "SELECT b.vol, zlo, zhi, ylo, yhi, xlo, xhi, round(m, 7) AS mean_, round(s, 7) AS sd_ FROM bbox b JOIN (SELECT vol, avg(val) AS m, stddev_pop(val) AS s FROM cropped GROUP BY vol) t ON b.vol = t.vol",
         "zscore": "SELECT vol, z, y, x, round(val, 7) AS val FROM zed",
         "target_shape": "SELECT vol, tz, ty, tx FROM mshape",
         "pad_to_patch": "SELECT * FROM padded",
@@ -195,6 +196,10 @@ def queries() -> dict[str, str]:
         "nonfinite_guard": "SELECT fold, CAST(count(*) FILTER (WHERE vec_id % 11 = 0 OR vec_id % 13 = 0) AS BIGINT) AS bad_rows, bool_or(vec_id % 11 = 0 OR vec_id % 13 = 0) AS quarantine FROM embeddings, range(3) f(fold) GROUP BY fold",
         "tpm_sum_check": "SELECT count(*) AS n, max(round(abs(p - 1), 9)) AS worst, max(round(abs(m - 1), 9)) AS worst_merged, CAST(count(*) FILTER (WHERE a = b) AS BIGINT) AS same_label FROM (SELECT vec_id, sum(v) AS p, arg_max(c, ROW(v, -c)) AS a FROM soft GROUP BY vec_id) s JOIN (SELECT vec_id, sum(v) AS m FROM merged GROUP BY vec_id) t ON s.vec_id = t.vec_id JOIN (SELECT vec_id, arg_max(c, ROW(v, -c)) AS b FROM mean GROUP BY vec_id) u ON s.vec_id = u.vec_id",
         "confusion": "SELECT * FROM counts",
+        "confusion_maps": """SELECT coalesce(a.vol, b.vol) AS vol, a.label AS ref, b.label AS pred, count(*) AS n
+FROM (SELECT vol, z, y, x, CAST(floor(ref / 6) AS INT) AS label FROM lab WHERE NOT (vol % 4 = 3 AND z = 2) AND NOT (y = 4 AND x > 9)) a
+FULL JOIN (SELECT vol, z, y, x, CAST(floor(pred / 6) AS INT) AS label FROM lab WHERE vol % 5 <> 4 AND NOT (vol % 3 = 1 AND x = 14)) b
+  ON a.vol = b.vol AND a.z = b.z AND a.y = b.y AND a.x = b.x GROUP BY 1, 2, 3""",
         "dice_per_class": "SELECT vol, label, n_ref, n_pred, n_both, round(dice, 9) AS dice FROM dices",
         "voxel_agreement": "SELECT vol, count(*) FILTER (WHERE ref = pred) AS matches, count(*) AS voxels, round(avg(CASE WHEN ref = pred THEN 1.0 ELSE 0.0 END), 9) AS agreement FROM lab GROUP BY vol",
         "dice_verdict": "SELECT vol, round(min(dice), 9) AS worst, CASE WHEN min(dice) >= 0.87 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM dices GROUP BY vol",
@@ -221,6 +226,7 @@ SELECT vol, 'jnii', CASE vol % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_obje
        CASE WHEN vol % 8 = 0 THEN nx ELSE 0 END FROM volmeta""",
         "flagship_pipeline": "SELECT m.vol, coalesce(label, 0) AS label, count(*) AS n FROM volmeta m CROSS JOIN LATERAL (SELECT unnest(range(nz)) AS z) gz CROSS JOIN LATERAL (SELECT unnest(range(ny)) AS y) gy CROSS JOIN LATERAL (SELECT unnest(range(nx)) AS x) gx JOIN bbox b ON m.vol = b.vol LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x GROUP BY 1, 2",
     }
+    q["uncrop_lines"], q["blend_slabs"] = q["uncrop_labels"], q["blend_gaussian"]
     small = "(SELECT vol, nz, ny, nx, 7 AS tz, 12 AS ty, 11 AS tx FROM volmeta)"
     for name, order in (("resample_linear", 1), ("resample_cubic", 3)):
         q[name] = f"SELECT vol, z, y, x, round(val + 3e-9, 7) AS val FROM ({resampled('vox', small, order)}) r"
