@@ -539,6 +539,42 @@ def test_trees_find_forms_that_no_template_has(spark):
     assert found["clean"] <= 2 and found["extra"] <= 8, found
 
 
+def test_taken_stretches_equal_brute_force():
+    from voxelith.llm.common import Taken
+
+    rng = random.Random(11)
+    for _ in range(200):
+        taken, cells = Taken(), set()
+        for _ in range(30):
+            s = rng.randrange(60)
+            e = s + rng.randrange(1, 12)
+            assert taken.free(s, e) == (not cells & set(range(s, e)))
+            if rng.random() < 0.6:
+                taken.add(s, e)
+                cells |= set(range(s, e))
+
+
+def test_very_many_spans_and_failed_matches(spark):
+    rng = random.Random(12)
+    texts = [" ".join([*words(rng, 20), f"mail u{i}@h{i % 9}.example.org", *words(rng, 9), f"tel +1 (0{i % 90 + 10}) 555-{rng.randrange(1000, 9999)}", *words(rng, 9), f"server 10.{i % 200}.{i % 250}.7", f"{rng.randrange(300, 999)}.1.2.3 card 4111 1111 1111 1111"]) for i in range(400)]
+    model = pii.train(docs(spark, texts))
+    text = "call " + " ".join(f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}," for _ in range(20_000))
+    began = time.process_time()
+    assert len(pii.select(text, model)[1]) > 10_000
+    assert time.process_time() - began < 20
+    assert not [s for t in ("card 4111.1111.1111.1111", "host 999.1.2.3") for s in pii.select(t, model)[1] if s[0] == 1]
+    for own in ("jane @ example.com", "jane AT example DOT com", "jane@ example.org"):
+        assert (0, own) in {(k, t[s:e]) for t in [f"please write to {own} today"] for k, s, e in pii.wider(t)}
+    found = [own in {t[s:e] for s, e in [x[1:] for x in pii.select(t, model)[1]]} for i in range(40) for own in (f"joe{i} @ mail{i % 5}.example.net", f"ann{i} AT site DOT example DOT com") for t in [" ".join([*words(rng, 9), "contact", own, *words(rng, 9)])]]
+    assert sum(found) >= 0.9 * len(found)
+    tokens = "-".join("eyJ" + "a" * 20 for _ in range(100_000))
+    began = time.process_time()
+    rule = next(r for r in secrets.RULES if r.kind == "web_token")
+    assert rule.spans(tokens) == [] and time.process_time() - began < 10
+    one = "x-eyJabcdefgh1.eyJabcdefgh2.signature_1 eyJabcdefgh.eyJabcdefgh.short eyJaaaaaaaaaa"
+    assert [one[s:e] for s, e in rule.spans(one)] == ["eyJabcdefgh1.eyJabcdefgh2.signature_1"]
+
+
 def test_long_runs_take_linear_time():
     for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" + " " * 300_000, "@a" * 100_000):
         pii.select(text, pii.Boosted())

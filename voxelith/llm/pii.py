@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.boosting import Boosted, fit
+from voxelith.llm.common import Taken
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents at most from which the trees learn.
@@ -35,8 +36,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wider generators.
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}")
-_SPELLED_HINT = re.compile(r"[(\[{]at[)\]}]|\x20at\x20")  # every match of _SPELLED has one
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?(?:[(\[{](?i:at)[)\]}]|\x20(?i:at)\x20)\x20?|\x20@\x20?|@\x20)[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{](?i:dot)[)\]}]|\x20(?i:dot)\x20)\x20?[A-Za-z0-9-]{2,63}){1,4}")
+_SPELLED_HINT = re.compile(r"[(\[{](?i:at)[)\]}]|\x20(?i:at)\x20|\x20@|@\x20")  # every match of _SPELLED has one
 _SENTENCE_END = re.compile(r"\.\x20|\x20\.")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
 _SIX_SHORT = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
@@ -149,7 +150,7 @@ def _examples(text: str) -> Iterator[tuple[list[float], int]]:
         yield features(text, span), int(good)
         own = text[s:e]
         if kind == 0:
-            forms = [own.replace("@", " (at) "), own.replace("@", " [at] ").replace(".", " [dot] "), own.replace("@", " at ")]
+            forms = [own.replace("@", " (at) "), own.replace("@", " [at] ").replace(".", " [dot] "), own.replace("@", " at "), own.replace("@", " @ "), own.replace("@", " AT ").replace(".", " DOT ")]
         elif kind == 2:
             d = _digits(own)
             forms = [".".join(d[i : i + 4] for i in range(0, len(d), 4))]
@@ -201,19 +202,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Boosted:
 
 
 def select(text: str, model: Boosted) -> tuple[list[Span], list[Span]]:
-    """Base spans, and those with the spans that the model adds; by kind, then start."""
-    base, tried = [], []
-    for span, good in matches(text):
-        (base if good else tried).append(span)
-    tried += wider(text)
-    chosen = list(base)
+    """Base spans, and those with the spans that the model adds; by kind, then start. A match that fails its kind's check is no candidate
+    of any kind; a wider generator may still propose the same place."""
+    base = [span for span, good in matches(text) if good]
+    tried = list(wider(text))
+    chosen, taken = list(base), Taken()
+    for _, s, e in base:
+        taken.add(s, e)
     if tried and model.threshold <= 1:
         p = model.probability(np.array([features(text, s) for s in tried]))
         for k in np.argsort(-p, kind="stable"):
             if p[k] < model.threshold:
                 break
-            if all(tried[k][2] <= s or e <= tried[k][1] for _, s, e in chosen):
+            if taken.free(*tried[k][1:]):
                 chosen.append(tried[k])
+                taken.add(*tried[k][1:])
     return sorted(base), sorted(chosen)
 
 

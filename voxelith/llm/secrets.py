@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import pieces, small, stored, text_buffers
+from voxelith.llm.common import Taken, pieces, small, stored, text_buffers
 
 #: Candidate rows at most that are broadcast; beyond that they are joined.
 CANDIDATES_MAX = 1_000_000
@@ -53,7 +53,8 @@ RULES = (
     Rule("chat", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("payment", r"\b[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("cloud_api", r"\bAIza[0-9A-Za-z_-]{35}"),
-    Rule("web_token", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # the second form takes a run that is no token as a whole, so that nothing is tried inside it again; its group 1 is empty and it is dropped
+    Rule("web_token", r"\b(?:(eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})|eyJ[A-Za-z0-9_-]{8,}+)", 1, 1),
 )
 
 
@@ -199,10 +200,12 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             out = []
             for x, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 spans: list[tuple[int, int, int]] = []
+                taken = Taken()
                 for r in sorted({*full, *(own or ())}) if x else ():
                     for s, e in rules[r].spans(x):
-                        if rules[r].base or all(e <= t or u <= s for t, _, u in spans):
+                        if rules[r].base or taken.free(s, e):
                             spans.append((s, r, e))
+                            taken.add(s, e)
                 out.append([{"kind": rules[r].kind, "base": rules[r].base, "start": s, "end": e} for s, r, e in sorted(spans)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
