@@ -182,3 +182,33 @@ def test_folds_are_0_to_9(spark):
         with pytest.raises(Exception, match="folds are 0 to 9"):
             jobs.expand_folds(job(bad)).collect()
         assert jobs.expand_folds(job(bad), strict=False).filter("model is null").count() == 1
+
+
+def test_tasks_have_equal_work(spark):
+    rng = np.random.default_rng(7)
+    rows = [(v, *map(int, rng.integers(8, 60 if v % 10 else 300, 3))) for v in range(300)]
+    shape = spark.createDataFrame(rows, "vol long, nz int, ny int, nx int")
+    plan = tiles.tasks_by_cost(shape, (8, 8, 8), 0.5, 20).collect()
+    work = Counter()
+    for r in plan:
+        work[r["task"]] += r["tiles"]
+    tiles_of = {r["vol"]: r["tiles"] for r in tiles.workload(shape, [(8, 8, 8)], 0.5).collect()}
+    assert sum(work.values()) == sum(tiles_of.values()) and set(work) == set(range(20))
+    share = sum(work.values()) / 20
+    most = max(r["tiles"] for r in plan)
+    assert all(abs(w - share) <= most for w in work.values())
+    assert max(work.values()) <= 1.5 * np.median(list(work.values()))
+    assert max(tiles_of.values()) > share  # a volume that is more than a task's share is cut
+
+
+def test_slabs_go_to_the_tasks_of_a_plan(spark):
+    rng = np.random.default_rng(8)
+    a = {v: rng.normal(size=(8 + 4 * (v % 3), 9, 8)) for v in range(6)}
+    shape = spark.createDataFrame([(v, *x.shape, *x.shape) for v, x in a.items()], "vol long, nz int, ny int, nx int, tz int, ty int, tx int")
+    rows = planes.slabs(planes.resized(planes.pack(volumes(spark, a)), shape, 1), shape, (4, 4, 4), 0.5, 1)
+    load = linear_model([(0, [1.0, 2.0], [0.0, 1.0])], 2)
+    plan = tiles.tasks_by_cost(shape, (4, 4, 4), 0.5, 5)
+    one, two = (planes.blended(planes.overlap_add(rows, (4, 4, 4), load, [0], 2, 1, *more), shape, (4, 4, 4), 2) for more in ((), (plan, 5)))
+    assert {(r["vol"], r["z"]): r["data"] for r in one.collect()} == {(r["vol"], r["z"]): r["data"] for r in two.collect()}
+    dealt = planes.overlap_add(rows, (4, 4, 4), load, [0], 2, 1, plan, 5)
+    assert dealt.rdd.getNumPartitions() == 5

@@ -135,12 +135,13 @@ def bricks(planes: DataFrame, shape: DataFrame, patch: tuple[int, int, int], rat
     return rows.groupBy("vol", "tile_id", "z0", "y0", "x0").agg(joined.alias("p")).select("vol", "tile_id", "z0", "y0", "x0", F.flatten("p.piece").alias("brick"))
 
 
-def overlap_add(rows: DataFrame, patch: tuple[int, int, int], load: Callable, folds: list[int], classes: int, order: int) -> DataFrame:
+def overlap_add(rows: DataFrame, patch: tuple[int, int, int], load: Callable, folds: list[int], classes: int, order: int, plan: DataFrame | None = None, tasks: int = 0) -> DataFrame:
     """vol, z, y, sums, weights, n: lines of weighted scores added up over the tiles of one slab and all folds, from slabs().
 
     `load(fold)` gives, once for each fold and worker, a function of (tile_id, brick of the patch's shape) to scores (classes, *patch);
     all folds' models stay loaded. A slab is resampled along z, then its tiles are scored row by row along y; lines that no later row
-    of tiles covers leave, so that a task holds sums for patch_z x patch_y x width x classes numbers.
+    of tiles covers leave, so that a task holds sums for patch_z x patch_y x width x classes numbers. Slabs are dealt by a hash, or to the
+    `tasks` tasks of `plan` (tiles.tasks_by_cost() of the padded shape), which have about equal numbers of tiles.
     """
     kind = dict(rows.dtypes)["vol"]
     pz, py, px = patch
@@ -195,7 +196,8 @@ def overlap_add(rows: DataFrame, patch: tuple[int, int, int], load: Callable, fo
                             a[:, : py - done] = a[:, done:].copy()
                             a[:, py - done :] = 0
 
-    dealt = rows.repartition("vol", "kz").sortWithinPartitions("vol", "kz", "z")
+    dealt = rows.repartition("vol", "kz") if plan is None else rows.join(plan.select("vol", "kz", "task"), ["vol", "kz"]).repartitionById(tasks, "task").drop("task")
+    dealt = dealt.sortWithinPartitions("vol", "kz", "z")
     return dealt.mapInArrow(run, f"vol {kind}, z int, y int, sums array<double>, weights array<double>, n array<int>")
 
 

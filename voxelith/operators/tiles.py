@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Patch = tuple[int, int, int]
@@ -46,6 +46,29 @@ def workload(shape: DataFrame, tiers: list[Patch], ratio: float) -> DataFrame:
     return shape.select("vol", F.explode(F.array(*rows)).alias("r")).select("vol", "r.tier", F.col("r.tiles").cast("long").alias("tiles"))
 
 
+def tasks_by_cost(shape: DataFrame, patch: Patch, ratio: float, tasks: int, rule: Callable = starts, bucket: Column | None = None) -> DataFrame:
+    """vol, kz, tiles, task: rows of tiles along z, dealt to `tasks` tasks of about equal numbers of tiles; a task's rows follow each other.
+
+    `shape`: vol, nz, ny, nx, at least the patch. Volumes stand in order of `bucket` (by default one of 1024 by a hash) and vol; the
+    tiles before a row tell its task, so a large volume goes to several tasks and small ones share one. A task has at most its share and
+    one row of tiles more. Only the buckets' sums are put in order in one place, and they are few.
+    """
+    s = with_starts(shape, patch, ratio, rule)
+    bucket = F.pmod(F.xxhash64("vol"), F.lit(1024)).cast("long") if bucket is None else bucket
+    s = s.select("vol", bucket.alias("bucket"), F.size("bz").alias("rows"), (F.size("by") * F.size("bx")).cast("long").alias("tiles")).withColumn("cost", F.col("rows") * F.col("tiles"))
+    sums = [(r["bucket"], r["cost"]) for r in s.groupBy("bucket").agg(F.sum("cost").alias("cost")).orderBy("bucket").collect()]
+    before, total = [], 0
+    for b, cost in sums:
+        before.append((b, total))
+        total += cost
+    offsets = F.broadcast(s.sparkSession.createDataFrame(before, "bucket long, before long"))
+    w = Window.partitionBy("bucket").orderBy("vol").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("own", F.coalesce(F.sum("cost").over(w), F.lit(0))).join(offsets, "bucket")
+    rows = s.select("vol", "tiles", (F.col("before") + F.col("own")).alias("first"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("kz"))
+    place = F.col("first") + F.col("kz") * F.col("tiles")
+    return rows.select("vol", "kz", "tiles", F.floor(place * tasks / max(1, total)).cast("int").alias("task"))
+
+
 def _covering(k: str, p: int) -> Column:
     """(i, b) of the tile starts in b<k> whose tile covers position <k>."""
     all_ = F.transform(f"b{k}", lambda b, i: F.struct(i.alias("i"), b.alias("b")))

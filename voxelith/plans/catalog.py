@@ -286,6 +286,16 @@ def tile_workload(s, d):
     return tiles.workload(view(s, d, "volmeta"), TIERS, RATIO)
 
 
+@query
+def tile_tasks(s, d):
+    """Rows of tiles of volumes of mixed size, dealt to 16 tasks."""
+    return tiles.tasks_by_cost(_mixed(s, d), PATCH, RATIO, 16, bucket=F.col("vol") % 64)
+
+
+def _mixed(s, d):
+    return view(s, d, "hdr").select("vol", (F.col("n0") * (F.col("vol") % 7 + 2)).alias("nz"), (F.col("n1") * (F.col("vol") % 11 + 2)).alias("ny"), (F.col("n2") * (F.col("vol") % 5 + 2)).alias("nx"))
+
+
 @query
 def extract_tiles(s, d):
     return tiles.extract(view(s, d, "vox"), view(s, d, "volmeta"), PATCH, RATIO)

@@ -176,6 +176,10 @@ def queries() -> dict[str, str]:
         "tile_starts_fixed": f"SELECT vol, i, b AS start FROM ({start_rows('volmeta', 'x', True)}) q",
         "tile_grid": f"SELECT z.vol, (z.i * cy.n + y.i) * cx.n + x.i AS tile_id, z.b AS z0, y.b AS y0, x.b AS x0 FROM ({start_rows('volmeta', 'z')}) z JOIN ({start_rows('volmeta', 'y')}) y ON z.vol = y.vol JOIN ({start_rows('volmeta', 'x')}) x ON z.vol = x.vol JOIN (SELECT vol, count(*) AS n FROM ({start_rows('volmeta', 'y')}) q GROUP BY vol) cy ON z.vol = cy.vol JOIN (SELECT vol, count(*) AS n FROM ({start_rows('volmeta', 'x')}) q GROUP BY vol) cx ON z.vol = cx.vol",
         "tile_workload": " UNION ALL ".join(f"SELECT vol, {i} AS tier, CAST({_tier(z, 'z')} * {_tier(y, 'y')} * {_tier(x, 'x')} AS BIGINT) AS tiles FROM volmeta" for i, (z, y, x) in enumerate([(8, 8, 8), (6, 6, 8), (4, 4, 6)])),
+        "tile_tasks": """SELECT vol, kz, tiles, CAST(floor((first_ + kz * tiles) * 16 / total) AS INT) AS task
+FROM (SELECT *, coalesce(sum(n * tiles) OVER (ORDER BY vol % 64, vol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_, sum(n * tiles) OVER () AS total
+      FROM (SELECT vol, CAST(ceil((n0 * (vol % 7 + 2) - 8) / 4.0) AS INT) + 1 AS n,
+                   CAST((ceil((n1 * (vol % 11 + 2) - 8) / 4.0) + 1) * (ceil((n2 * (vol % 5 + 2) - 8) / 4.0) + 1) AS BIGINT) AS tiles FROM hdr) q) r, range(32) k(kz) WHERE kz < n""",
         "extract_tiles": tiled("vox", "volmeta"),
         "gaussian_weights": f"SELECT vol, tile_id, lz, ly, lx, round({WEIGHT}, 9) AS w FROM ({tiled('vox', 'volmeta')}) t",
         "score_tiles_bricks": "SELECT vol, tile_id, fold, z, y, x, c, round(v, 6) AS v FROM scores",
