@@ -67,7 +67,7 @@ def test_slabs_blend_like_voxels(spark, patch):
     assert not want
     back = shape.select("vol", F.col("tz").alias("nz"), *(F.col(f"n{k}").alias(f"t{k}") for k in "zyx"))
     blended = planes.blended(parts, shape, patch, classes)
-    lines = planes.labels_back(planes.resized(blended, back, 1, classes), back, classes).collect()
+    lines = planes.decided(planes.resized(blended, back, 1, classes), back, classes, planes.first_largest()).collect()
     voxels = spark.createDataFrame([(k[0], *k[1:], list(map(float, d))) for r in out for (k, d) in [((r["vol"], r["z"], i // r["nx"], i % r["nx"]), r["data"][classes * i : classes * i + classes]) for i in range(r["ny"] * r["nx"])]], "vol long, z int, y int, x int, logits array<double>")
     own = {(r["vol"], r["z"], r["y"], r["x"]): int(np.round(r["logits"], 6).argmax()) for r in resample.resample(voxels, back, 1, "logits", classes).collect()}
     assert {(r["vol"], r["z"], r["y"], x): l for r in lines for x, l in enumerate(r["labels"])} == own

@@ -7,7 +7,7 @@ by y to go back along z. A task holds a slab of one volume, and of scores patch_
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -233,10 +233,43 @@ def blended(parts: DataFrame, shape: DataFrame, patch: tuple[int, int, int], cla
     return rows.mapInArrow(run, f"vol {kind}, z int, ny int, nx int, data array<double>, n array<int>")
 
 
-def labels_back(planes: DataFrame, shape: DataFrame, classes: int, order: int = 1, digits: int = 6) -> DataFrame:
-    """vol, z, y, labels: planes of logits resampled along z to tz of `shape` (vol, nz planes there are, tz), and the first largest class of each voxel after
-    rounding, as lines along x. Lines are dealt by y."""
+def first_largest(digits: int | None = 6, bins: Sequence[int] | None = None) -> Callable:
+    """Of scores (..., classes), the first largest class after rounding; with `bins`, the bin whose classes have the largest total
+    probability, as classes.merged_argmax() has it."""
+
+    def decide(scores: np.ndarray) -> np.ndarray:
+        if bins is None:
+            return (scores if digits is None else np.round(scores, digits)).argmax(-1).astype(np.int32)
+        return _binned(np.exp(scores - scores.max(-1, keepdims=True)), bins).argmax(-1).astype(np.int32)
+
+    return decide
+
+
+def probabilities(temperature: float = 1.0, bins: Sequence[int] | None = None) -> Callable:
+    """Of scores (..., classes), their softmax at a temperature, summed over bins."""
+    if temperature <= 0:
+        raise ValueError("the temperature must be above 0")
+
+    def decide(scores: np.ndarray) -> np.ndarray:
+        e = np.exp((scores - scores.max(-1, keepdims=True)) / temperature)
+        p = e / e.sum(-1, keepdims=True)
+        return p if bins is None else _binned(p, bins)
+
+    return decide
+
+
+def _binned(p: np.ndarray, bins: Sequence[int]) -> np.ndarray:
+    return np.stack([p[..., [c for c, b in enumerate(bins) if b == k]].sum(-1) for k in range(max(bins) + 1)], -1)
+
+
+def decided(planes: DataFrame, shape: DataFrame, classes: int, decide: Callable, value: str = "labels", order: int = 1) -> DataFrame:
+    """vol, z, y, value: planes of logits resampled along z to tz of `shape` (vol, nz planes there are, tz), and what `decide` makes of each
+    voxel's scores, as lines along x: labels (int), or arrays of numbers put end to end (double). Lines are dealt by y.
+
+    Scores that are not finite end the job.
+    """
     kind = dict(planes.dtypes)["vol"]
+    whole = value == "labels"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_groups(batches, "y"):
@@ -247,25 +280,30 @@ def labels_back(planes: DataFrame, shape: DataFrame, classes: int, order: int =
                 if (z[lo:hi] != np.arange(hi - lo)).any() or table["nz"][int(lo)].as_py() != hi - lo:
                     raise ValueError("a volume is not dense: planes are missing or repeated")
                 lines = flat[ends[lo] - lengths[lo] : ends[hi - 1]].reshape(hi - lo, -1)
+                if not np.isfinite(lines).all():
+                    raise ValueError(f"scores of volume {table['vol'][int(lo)].as_py()} are not finite")
                 fine = resample_array(lines, 0, int(tz[lo]), order).reshape(int(tz[lo]), -1, classes)
-                label = np.round(fine, digits).argmax(2).astype(np.int32)
-                vols += [int(lo)] * len(label)
-                zs.append(np.arange(len(label), dtype=np.int32))
-                ys += [table["y"][int(lo)].as_py()] * len(label)
-                out.append(label)
+                made = decide(fine).reshape(len(fine), -1)
+                vols += [int(lo)] * len(made)
+                zs.append(np.arange(len(made), dtype=np.int32))
+                ys += [table["y"][int(lo)].as_py()] * len(made)
+                out.append(made)
             wide = np.concatenate([np.full(len(x), x.shape[1]) for x in out])
-            labels = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *wide]).astype(np.int32)), pa.array(np.concatenate([x.reshape(-1) for x in out])))
-            yield pa.RecordBatch.from_pydict({"vol": table["vol"].take(pa.array(vols)).combine_chunks(), "z": pa.array(np.concatenate(zs)), "y": pa.array(ys, pa.int32()), "labels": labels})
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *wide]).astype(np.int32)), pa.array(np.concatenate([x.reshape(-1) for x in out])))
+            yield pa.RecordBatch.from_pydict({"vol": table["vol"].take(pa.array(vols)).combine_chunks(), "z": pa.array(np.concatenate(zs)), "y": pa.array(ys, pa.int32()), value: lists})
 
     row = F.explode(F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda y: F.struct(y.cast("int").alias("y"), F.slice("data", y * F.col("nx") * classes + 1, F.col("nx") * classes).alias("line"))))
     lines = planes.select("vol", "z", row.alias("r")).select("vol", "z", "r.y", "r.line")
     lines = lines.join(shape.select("vol", F.col("nz").cast("int"), F.col("tz").cast("int")), "vol").repartition("vol", "y").sortWithinPartitions("vol", "y", "z")
-    return lines.mapInArrow(run, f"vol {kind}, z int, y int, labels array<int>")
+    return lines.mapInArrow(run, f"vol {kind}, z int, y int, {value} array<{'int' if whole else 'double'}>")
 
 
-def voxels_of_lines(lines: DataFrame, value: str = "labels", name: str = "label") -> DataFrame:
-    """vol, z, y, x, name of lines along x."""
-    return lines.select("vol", "z", "y", F.posexplode(value).alias("x", name))
+def voxels_of_lines(lines: DataFrame, value: str = "labels", name: str = "label", width: int = 0) -> DataFrame:
+    """vol, z, y, x, name of lines along x; width > 0: so many numbers a voxel, as an array."""
+    cells = F.col(value)
+    if width:
+        cells = F.transform(F.sequence(F.lit(0), (F.size(value) / width).cast("int") - 1), lambda i: F.slice(value, i * width + 1, width))
+    return lines.select("vol", "z", "y", F.posexplode(cells).alias("x", name))
 
 
 def pack_lines(voxels: DataFrame, value: str = "label", name: str = "labels") -> DataFrame:

@@ -230,6 +230,7 @@ SELECT vol, 'jnii', CASE vol % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_obje
        CASE WHEN vol % 8 = 0 THEN nx ELSE 0 END FROM volmeta""",
         "flagship_pipeline": "SELECT m.vol, coalesce(label, 0) AS label, count(*) AS n FROM volmeta m CROSS JOIN LATERAL (SELECT unnest(range(nz)) AS z) gz CROSS JOIN LATERAL (SELECT unnest(range(ny)) AS y) gy CROSS JOIN LATERAL (SELECT unnest(range(nx)) AS x) gx JOIN bbox b ON m.vol = b.vol LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x GROUP BY 1, 2",
     }
+    q["segment_files"] = f"SELECT m.vol, 'ok' AS status, gz.z, gy.y, gx.x, coalesce(CAST(label AS INT), 0) AS label FROM {_FULL} LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x"
     q["uncrop_lines"], q["blend_slabs"] = q["uncrop_labels"], q["blend_gaussian"]
     small = "(SELECT vol, nz, ny, nx, 7 AS tz, 12 AS ty, 11 AS tx FROM volmeta)"
     for name, order in (("resample_linear", 1), ("resample_cubic", 3)):

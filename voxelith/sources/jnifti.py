@@ -286,6 +286,11 @@ def read_header(path: str) -> tuple:
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """A row of HEADER for every file below `path`, good or not: status is ok or the reason that its container or fields give."""
+    return headers_of(listed(spark, path))
+
+
+def headers_of(files: DataFrame) -> DataFrame:
+    """headers() of the files in `files` (path)."""
     names = [x.split()[0] for x in HEADER.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,7 +298,7 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
             out = pd.DataFrame([read_header(p) for p in f["path"]], columns=names, dtype=object)
             yield out.astype({"bit_depth": "Int32", "shuffle": "Int32"})
 
-    return listed(spark, path).mapInPandas(run, HEADER)
+    return files.select("path").mapInPandas(run, HEADER)
 
 
 class Payload:
@@ -444,13 +449,14 @@ def voxels(planes: DataFrame) -> DataFrame:
 # ---- writing ----
 
 
-def container(shape: tuple[int, ...], affine: np.ndarray, table: dict | None, shuffle: int) -> tuple[bytes, bytes]:
-    """What a file has before and after its packed data, for labels (X, Y, Z) as uint8 or probabilities (X, Y, Z, C) as single."""
-    labels = len(shape) == 3
-    header = {"NIIHeaderSize": 348, "Dim": list(shape), "Affine": affine.tolist(), "VoxelSize": np.sqrt((affine[:, :3] ** 2).sum(0)).tolist(), "DataType": "uint8" if labels else "single", "BitDepth": 8 if labels else 32}
+def container(shape: tuple[int, ...], affine: np.ndarray, table: dict | None, shuffle: int, name: str | None = None) -> tuple[bytes, bytes]:
+    """What a file has before and after its packed data, for labels (X, Y, Z) as uint8, probabilities (X, Y, Z, C) as single, or elements
+    of the type `name`."""
+    name = name or ("uint8" if len(shape) == 3 else "single")
+    header = {"NIIHeaderSize": 348, "Dim": list(shape), "Affine": affine.tolist(), "VoxelSize": np.sqrt((affine[:, :3] ** 2).sum(0)).tolist(), "DataType": name, "BitDepth": 8 * np.dtype(NUMPY[name]).itemsize}
     if table:
         header["_DataInfo_"] = {"LabelTable": table}
-    body = {"_ArrayType_": "uint8" if labels else "single", "_ArraySize_": list(shape), "_ArrayZipType_": "zlib", "_ArrayZipSize_": [1, math.prod(shape)]}
+    body = {"_ArrayType_": name, "_ArraySize_": list(shape), "_ArrayZipType_": "zlib", "_ArrayZipSize_": [1, math.prod(shape)]}
     if shuffle > 1:
         body["_ArrayShuffle_"] = shuffle
     body["_ArrayZipData_"] = ""
@@ -472,23 +478,26 @@ def block(raw: bytes) -> bytes:
     return zlib.adler32(raw).to_bytes(4, "big") + len(raw).to_bytes(8, "big") + c.compress(raw) + c.flush(zlib.Z_FULL_FLUSH)
 
 
-def export(rows: DataFrame, folder: str, table: dict | None = None, channels: int = 0, shuffle: int = 1) -> DataFrame:
-    """Write a file for each volume, as nifti.export() does; `table` is the label table that the header carries.
+def export(rows: DataFrame, folder: str, table: dict | None = None, channels: int = 0, shuffle: int = 1, name: str = "uint8") -> DataFrame:
+    """Write a file for each volume, as nifti.export() does; `table` is the label table that the header carries, `name` the type of
+    scalars in val that are no labels.
 
     Planes of constant i0 are packed as deflate blocks of their own by all tasks (with a `shuffle` of an element's size: one for each
     byte of the elements), and the task that writes the file joins them to one zlib stream, whose checksum follows from theirs.
     """
-    width = 4 if channels else 1
+    name = "single" if channels else name
+    kind = NUMPY[name]
+    width = np.dtype(kind).itemsize
     lanes = width if shuffle == width and shuffle > 1 else 1
 
     def parts(v: np.ndarray) -> list[bytes]:
-        raw = v.astype("<f4" if channels else "u1").reshape(-1).view("u1").reshape(-1, lanes if lanes > 1 else 1)
+        raw = v.astype(kind).reshape(-1).view("u1").reshape(-1, lanes if lanes > 1 else 1)
         return [block(np.ascontiguousarray(raw[:, j]).tobytes()) for j in range(lanes)]
 
     def begin(row: dict) -> tuple[dict, bytes]:
         shape = tuple(row[f"n{i}"] for i in range(3)) + ((channels,) if channels else ())
-        before, after = container(shape, affine_of(row), table, lanes)
-        empty = parts(plane_values({"at": [], "value": []}, shape[1] * shape[2], channels))[0]
+        before, after = container(shape, affine_of(row), table, lanes, name)
+        empty = parts(plane_values({"at": [], "value": []}, shape[1] * shape[2], channels, kind))[0]
         state = {"at": 0, "n0": shape[0], "all": shape[0] * lanes, "empty": empty, "sum": 1, "left": b"\x78\x9c", "after": after}
         return state, before
 
@@ -513,5 +522,5 @@ def export(rows: DataFrame, folder: str, table: dict | None = None, channels: in
         out += text(state, b"\x03\x00" + state["sum"].to_bytes(4, "big"))
         return out + base64.b64encode(state["left"]) + state["after"]
 
-    planes = packed(rows, "i0", F.col("i1") * F.col("n2") + F.col("i2"), channels)
-    return stitched(pressed(planes, lambda row: parts(plane_values(row, row["n1"] * row["n2"], channels))), folder, ".jnii", begin, put, end)
+    planes = packed(rows, "i0", F.col("i1") * F.col("n2") + F.col("i2"), "p" if channels else "label" if name == "uint8" else "val")
+    return stitched(pressed(planes, lambda row: parts(plane_values(row, row["n1"] * row["n2"], channels, kind))), folder, ".jnii", begin, put, end)

@@ -67,6 +67,11 @@ def read_header(path: str, whole: bool = False) -> tuple:
 
 def headers(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """A row of HEADER for every file below `path`, good or not; geometry.header_status tells what to set aside. See read_header()."""
+    return headers_of(listed(spark, path), whole)
+
+
+def headers_of(files: DataFrame, whole: bool = False) -> DataFrame:
+    """headers() of the files in `files` (path)."""
     names = [x.split()[0] for x in HEADER.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +79,7 @@ def headers(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
             out = pd.DataFrame([read_header(p, whole) for p in f["path"]], columns=names)
             yield out.astype({"n_bytes": "Int64"})
 
-    return listed(spark, path).mapInPandas(run, HEADER)
+    return files.select("path").mapInPandas(run, HEADER)
 
 
 def _planes(h: dict, channels: bool) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -162,12 +167,13 @@ def voxels(slabs_: DataFrame) -> DataFrame:
 # ---- writing ----
 
 
-def header_bytes(shape: tuple[int, ...], affine: np.ndarray) -> bytes:
-    """The 352 bytes before the data: uint8 labels of three dimensions, or float32 of four; affine 3 x 4."""
+def header_bytes(shape: tuple[int, ...], affine: np.ndarray, code: int | None = None) -> bytes:
+    """The 352 bytes before the data: uint8 labels of three dimensions, or float32 of four, or elements of type `code`; affine 3 x 4."""
+    code = code or (2 if len(shape) == 3 else 16)
     h = bytearray(352)
     struct.pack_into("<i", h, 0, 348)
     struct.pack_into("<8h", h, 40, len(shape), *shape, *([1] * (7 - len(shape))))
-    struct.pack_into("<2h", h, 70, *((2, 8) if len(shape) == 3 else (16, 32)))
+    struct.pack_into("<2h", h, 70, code, 8 * np.dtype(NUMPY[code]).itemsize)
     struct.pack_into("<8f", h, 76, -1.0, *np.sqrt((affine[:, :3] ** 2).sum(0)), *([1.0] * 4))
     struct.pack_into("<3f", h, 108, 352.0, 1.0, 0.0)
     struct.pack_into("<2h", h, 252, 0, 2)
@@ -191,19 +197,19 @@ def member(raw: bytes) -> bytes:
 HEAD = ["n0", "n1", "n2", *geometry.AFFINE]
 
 
-def packed(rows: DataFrame, plane: str, fast: Column, channels: int) -> DataFrame:
+def packed(rows: DataFrame, plane: str, fast: Column, value: str) -> DataFrame:
     """vol, k (place along `plane`), HEAD, and arrays at and value: the voxels of each plane by place `fast`, packed by Spark's own functions.
 
     A plane without voxels has no row, and not all places of a plane need be there.
     """
-    cells = F.array_sort(F.collect_list(F.struct(fast.cast("int").alias("at"), F.col("p" if channels else "label").alias("value"))))
+    cells = F.array_sort(F.collect_list(F.struct(fast.cast("int").alias("at"), F.col(value).alias("value"))))
     out = rows.groupBy("vol", F.col(plane).cast("int").alias("k"), *HEAD).agg(cells.alias("cells"))
     return out.select("vol", "k", *HEAD, F.col("cells.at").alias("at"), F.col("cells.value").alias("value"))
 
 
-def plane_values(row: dict, places: int, channels: int) -> np.ndarray:
-    """The plane (places,) of labels or (places, channels) of float32, zeros where no voxel is."""
-    out = np.zeros((places, channels), np.float32) if channels else np.zeros(places, np.uint8)
+def plane_values(row: dict, places: int, channels: int, kind: str = "u1") -> np.ndarray:
+    """The plane (places,) of numbers of a kind, or (places, channels) of float32, zeros where no voxel is."""
+    out = np.zeros((places, channels), np.float32) if channels else np.zeros(places, kind)
     out[np.asarray(row["at"], np.int64)] = np.asarray(row["value"]).reshape(-1, channels) if channels else row["value"]
     return out
 
@@ -253,23 +259,23 @@ def stitched(pieces: DataFrame, folder: str, suffix: str, begin, put, end) -> Da
     return rows.mapInArrow(run, f"vol {dict(pieces.dtypes)['vol']}, path string")
 
 
-def export(rows: DataFrame, folder: str, suffix: str = ".nii.gz", channels: int = 0) -> DataFrame:
+def export(rows: DataFrame, folder: str, suffix: str = ".nii.gz", channels: int = 0, code: int = 2) -> DataFrame:
     """Write a file for each volume; vol, path of what was written.
 
     `rows` has vol, i0, i1, i2, n0, n1, n2 (the input's axes), the affine a00..a23, and label, or p (an array of
-    `channels` numbers). Voxels that are missing are 0. Planes of constant i2 are packed and, for a suffix that ends in .gz, made
+    `channels` numbers), or val for elements of another type `code` than uint8. Voxels that are missing are 0. Planes of constant i2 are packed and, for a suffix that ends in .gz, made
     gzip members of their own by all tasks; one task a file writes them one after another, so none holds a volume.
     """
-    zipped = suffix.lower().endswith(".gz")
+    zipped, kind = suffix.lower().endswith(".gz"), NUMPY[code]
 
     def bodies(row: dict) -> list[bytes]:
-        v = plane_values(row, row["n0"] * row["n1"], channels)
+        v = plane_values(row, row["n0"] * row["n1"], channels, kind)
         raw = [v[:, c].astype("<f4").tobytes() for c in range(channels)] or [v.tobytes()]
         return [member(x) for x in raw] if zipped else raw
 
     def begin(row: dict) -> tuple[dict, bytes]:
         shape = tuple(row[f"n{i}"] for i in range(3)) + ((channels,) if channels else ())
-        raw, empty = header_bytes(shape, affine_of(row)), bytes(shape[0] * shape[1] * (4 if channels else 1))
+        raw, empty = header_bytes(shape, affine_of(row), None if channels else code), bytes(shape[0] * shape[1] * (4 if channels else np.dtype(kind).itemsize))
         return {"at": 0, "n2": shape[2], "all": shape[2] * max(1, channels), "empty": member(empty) if zipped else empty}, member(raw) if zipped else raw
 
     def put(state: dict, row: dict) -> bytes:
@@ -277,5 +283,5 @@ def export(rows: DataFrame, folder: str, suffix: str = ".nii.gz", channels: int
         gap, state["at"] = place - state["at"], place + 1
         return state["empty"] * gap + row["body"]
 
-    planes = packed(rows, "i2", F.col("i1") * F.col("n0") + F.col("i0"), channels)
+    planes = packed(rows, "i2", F.col("i1") * F.col("n0") + F.col("i0"), "p" if channels else "label" if code == 2 else "val")
     return stitched(pressed(planes, bodies), folder, suffix, begin, put, lambda state: state["empty"] * (state["all"] - state["at"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import math
 import struct
 
@@ -114,3 +115,36 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
         both = head.select("path", F.col("status").alias("header_status")).join(nifti.statuses(scanned), "path").join(kept, "path", "left")
         out.append(_vol(both).select("vol", F.lit(form).alias("form"), "header_status", "status", F.coalesce("n_planes", F.lit(0)).alias("n_planes")))
     return out[0].unionByName(out[1])
+
+
+def _images(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Files of the volumes in all orientations: double NIfTI for two thirds, double JNIfTI for the others."""
+    meta = view(spark, sf_dir, "volmeta")
+    turns = list(itertools.permutations(range(3)))
+    pick = lambda i: F.element_at(F.array(*(F.lit(t[i]) for t in turns)), (F.col("vol") % 6 + 1).cast("int"))
+    sizes, spacings = F.array("nx", "ny", "nz"), F.array("sx", "sy", "sz")
+    h = meta.withColumns({f"d{i}": pick(i) for i in range(3)} | {f"g{i}": 1 - 2 * (F.floor(F.col("vol") / (6 * 2**i)) % 2).cast("int") for i in range(3)})
+    h = h.withColumns({f"n{i}": F.element_at(sizes, F.col(f"d{i}") + 1) for i in range(3)})
+    entry = lambda r, i: F.when(F.col(f"d{i}") == r, F.col(f"g{i}") * F.element_at(spacings, F.col(f"d{i}") + 1)).otherwise(0.0)
+    h = h.withColumns({f"a{r}{i}": entry(r, i) for r in range(3) for i in range(3)} | {f"a{r}3": F.lit(float(r)) for r in range(3)}).select("vol", "n0", "n1", "n2", "d0", "d1", "d2", "g0", "g1", "g2", *geometry.AFFINE)
+    rows = geometry.from_canonical(view(spark, sf_dir, "vox"), h).join(h.select("vol", "n0", "n1", "n2", *geometry.AFFINE), "vol")
+    _written(nifti.export(rows.filter("vol % 3 <> 2"), folder, ".nii.gz", code=64))
+    _written(jnifti.export(rows.filter("vol % 3 = 2"), folder, name="double"))
+
+
+def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vol, status, z, y, x, label: files written from the volumes in all orientations, segmented from folder to folder, and the files written
+    read back and turned to canonical axes."""
+    from voxelith.plans import flagship, segment_files as job
+    from voxelith.plans.views import fold_weights
+
+    source, out = new_path(spark, "images"), new_path(spark, "labels")
+    _images(spark, sf_dir, source)
+    load = flagship.linear_model(fold_weights(spark, sf_dir, 2, 3), 3)
+    report = job.segment_folder(spark, source, out, load, flagship.TEST)
+    volumes, voxels, _ = job.read_folder(spark, out)
+    back = geometry.to_canonical(voxels, geometry.axes_to_canonical(volumes))
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    of = volumes.select("vol", name("path").alias("name")).withColumnRenamed("vol", "new")
+    known = _vol(report).select("vol", "status", name("out_path").alias("name")).join(of, "name")
+    return back.withColumnRenamed("vol", "new").join(known, "new").select("vol", "status", "z", "y", "x", F.col("val").cast("int").alias("label"))
