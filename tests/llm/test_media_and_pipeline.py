@@ -126,6 +126,59 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(out)
 
 
+def odd_folder(spark, tmp_path, rows, more="1 as need, 's' as component_id, 2 as copies, 'x' as own_key, 0.5 as score, 3 as size"):
+    """Tables for the pipeline with columns of names that stages use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *more.split(", "))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 60)] + [(None, 1, 0), (5, None, None), (7, 1, 1), (7, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, "which seven rivers cross the old northern province before they reach the sea answer: the Alder and six others"), (None, None), (2, ""), (3, None), (None, "ab cd")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns of clashing names."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in ("river", "stone", "light", "paper", "green", "north") for b in ("s", "ed", "ing", "less", "y", "er", "ful")]
+    prose = lambda n: " ".join(rng.choice(words, n)) + ". "
+    item = "which seven rivers cross the old northern province before they reach the sea answer: the Alder and six others"
+    rows = []
+    for i in range(60):
+        good = i % 3 > 0
+        rows.append((i, "".join(prose(12) for _ in range(6)) if good else "$$$ %% ## " * 40, "en", ["a", "b", None][i % 3], 5))
+    rows += [(100, rows[1][1], None, None, None), (101, rows[1][1] + "more", "en", "a", 1), (rows[4][0], rows[4][1], "de", "b", 9), rows[4], rows[4]]
+    rows += [(200, prose(20) + item + prose(20), "en", "a", 1), (None, prose(30), None, None, None), (None, prose(30), None, None, None), (300, None, None, None, None), (301, "", None, "c", None), (302, prose(60_000), "en", "c", None)]
+    folder = odd_folder(spark, tmp_path / "t", rows)
+    kept = Counter(r[0] for r in rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        now = Counter(r["doc_id"] for r in docs.collect())
+        assert set(now) <= set(kept) and (name == "mixing" or all(now[k] <= kept[k] for k in now))
+        if name == "near_duplicates":
+            assert now[4] <= 1 and now[1] + now[100] + now[101] <= 1 and now[302] == kept[302]
+        if name == "decontamination":
+            assert now[200] == 0 and kept - now == Counter({200: kept[200]})
+        kept = now
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter(r["doc_id"] for r in out) == kept
+    place = 0
+    for r in sorted(out, key=lambda r: r["start"]):
+        assert r["start"] == place and r["n_tokens"] >= 1
+        place += r["n_tokens"]
+
+
+def test_pipeline_of_no_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    assert corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "t", [])).collect() == []
+    rows = [(None, None, None, None, None)] * 3
+    out = corpus_pipeline.run(spark, odd_folder(spark, tmp_path / "u", rows)).collect()
+    assert all(r["doc_id"] is None and r["n_tokens"] == 1 for r in out)
+
+
 def test_queries_have_unique_operators():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES if k != "pipeline") == list(range(1, 14))
     assert set(registry.SQL) <= set(registry.QUERIES)
