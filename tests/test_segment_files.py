@@ -175,3 +175,32 @@ def test_the_whole_grid_at_the_models_spacing(spark, folder, tmp_path):
         assert np.allclose(affines[name][:, 3], [3.0 * i + 0.5 * (0.75 - SPACING[i]) for i in range(3)], atol=1e-5)
         for i in np.ndindex(*shape):
             assert got[name][i] == (logits[i].argmax() if i in logits else 0)
+
+
+def test_folders_are_compared_whatever_the_format(spark, folder, tmp_path):
+    from voxelith.plans.compare_files import compared_folders
+
+    plan = Plan(patch=PATCH, folds=(0, 1), classes=3)
+    load = linear_model(model(3), 3)
+    for side, suffix in (("x", ".nii"), ("y", ".jnii")):
+        segment_folder(spark, folder, str(tmp_path / side), load, plan, suffix).collect()
+    report, dice = compared_folders(spark, str(tmp_path / "x"), str(tmp_path / "y"))
+    rows = report.collect()
+    assert len(rows) == 3 and all(r["verdict"] == "PASS" and r["agreement"] == 1 and r["worst"] == 1 for r in rows)
+    assert sorted(r["voxels"] for r in rows) == sorted(int(np.prod(s)) for s in SIZE.values())
+    assert sum(r["n_both"] for r in dice.collect()) == sum(r["voxels"] for r in rows)
+
+
+def test_files_are_segmented_as_they_arrive(spark, folder, tmp_path):
+    import shutil
+
+    from voxelith.streaming.segment import stream_segment
+
+    (tmp_path / "in").mkdir()
+    for names in (["a.nii.gz", "bad.nii.gz"], ["c.nii"], []):
+        for n in names:
+            shutil.copy(f"{folder}/{n}", tmp_path / "in" / n)
+        stream_segment(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "report"), str(tmp_path / "ck"), linear_model(model(3), 3), Plan(patch=PATCH, folds=(0,), classes=3)).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "report")).collect()
+    assert {(r["path"].rsplit("/", 1)[1], r["status"], r["batch"]) for r in rows} == {("a.nii.gz", "ok", 0), ("bad.nii.gz", "gzip_truncated", 0), ("c.nii", "ok", 1)}
+    assert len(list((tmp_path / "out").iterdir())) == 2 and len({r["out_path"] for r in rows}) == 3

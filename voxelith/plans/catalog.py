@@ -563,6 +563,11 @@ def table_one_volume(s, d):
 # ---- the whole chain ----
 
 
+@query
+def compare_files(s, d):
+    return roundtrip.compare_files(s, d)
+
+
 @query
 def segment_files(s, d):
     return roundtrip.segment_files(s, d)

@@ -24,13 +24,17 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(volumes, voxels, report) of all files below `path`, NIfTI and JNIfTI text.
+    """read_files() of all files below `path`."""
+    return read_files(listed(spark, path))
 
-    volumes: VOLUME, a row for each file that is whole, with a number of its own; voxels: vol, i0, i1, i2, val on the file's axes, in
-    Parquet by then; report: path, form, status of every file. Each file's data is read once.
+
+def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(volumes, voxels, report) of the files in `files` (path), NIfTI and JNIfTI text.
+
+    volumes: VOLUME, a row for each file that is whole, vol being a 63-bit hash of its path, so that a rerun gives the same; voxels: vol,
+    i0, i1, i2, val on the file's axes, in Parquet by then; report: path, form, status of every file. Each file's data is read once.
     """
-    ship_code(spark)
-    files = listed(spark, path)
+    ship_code(files.sparkSession)
     text = F.lower("path").endswith(".jnii")
     n = geometry.header_status(nifti.headers_of(files.filter(~text)))
     heads = geometry.select_affine(n).select("path", "n0", "n1", "n2", *geometry.AFFINE, "status", "dim4", "datatype", "vox_offset", "scl_slope", "scl_inter")
@@ -43,7 +47,9 @@ def read_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     sizes = j.select("path", *(F.try_element_at("array_size", F.lit(i + 1)).cast("int").alias(f"n{i}") for i in range(3)), *(F.col("affine")[r][c].alias(f"a{r}{c}") for r in range(3) for c in range(4)))
     whole = report.filter("status in ('ok', 'trailing_bytes')").select("path")
     both = heads.select("path", "n0", "n1", "n2", *geometry.AFFINE).unionByName(sizes).join(whole, "path")
-    volumes = _stored(both.withColumn("vol", F.monotonically_increasing_id()).select(*VOLUME), "volumes")
+    volumes = _stored(both.withColumn("vol", F.expr("xxhash64(path) & 9223372036854775807")).select(*VOLUME), "volumes")
+    if volumes.groupBy("vol").count().filter("count > 1").head(1):
+        raise ValueError("two paths have one hash: read them apart")
     own = volumes.select("vol", "path")
     x = nifti.good_planes(a).join(own, "path").select("vol", F.col("z").alias("i2"), "nx", F.posexplode("data").alias("i", "val"))
     x = x.select("vol", (F.col("i") % F.col("nx")).cast("int").alias("i0"), F.floor(F.col("i") / F.col("nx")).cast("int").alias("i1"), "i2", "val")
@@ -59,13 +65,18 @@ def label_table(plan: Plan) -> dict | None:
 
 
 def segment_folder(spark: SparkSession, path: str, out: str, load: Callable, plan: Plan, suffix: str = ".nii.gz", shuffle: int = 1) -> DataFrame:
-    """path, form, status, out_path: a row for each file below `path`, and the file that was written for it below `out`, if it is whole.
+    """segment_files() of all files below `path`."""
+    return segment_files(listed(spark, path), out, load, plan, suffix, shuffle)
+
+
+def segment_files(files: DataFrame, out: str, load: Callable, plan: Plan, suffix: str = ".nii.gz", shuffle: int = 1) -> DataFrame:
+    """path, form, status, out_path: a row for each of `files` (path), and the file that was written for it below `out`, if it is whole.
 
     Volumes are turned to canonical axes, segmented by flagship.segmented() with the models that `load(fold)` gives, and written with labels (uint8)
     or probabilities (float32 a class) on the input's axes with its affine; with plan.upsample on canonical axes at the plan's spacing.
-    `suffix`: .nii, .nii.gz or .jnii. Files that cannot be read keep their reason and end nothing.
+    `suffix`: .nii, .nii.gz or .jnii. Files that cannot be read keep their reason and end nothing. A rerun writes the same files again.
     """
-    volumes, voxels, report = read_folder(spark, path)
+    volumes, voxels, report = read_files(files)
     axes = geometry.canonical_affine(geometry.axes_to_canonical(volumes))
     canonical = {f"a{r}{c}": F.col(f"c{r}{c}") for r in range(3) for c in range(4)}
     world = [F.when(F.col("d0") == j, F.col("n0")).when(F.col("d1") == j, F.col("n1")).otherwise(F.col("n2")) for j in range(3)]
@@ -82,9 +93,9 @@ def segment_folder(spark: SparkSession, path: str, out: str, load: Callable, pla
     else:
         rows = geometry.from_canonical(rows, axes).join(volumes.drop("path"), "vol")
     if suffix.lower() == ".jnii":
-        files = jnifti.export(rows, out, label_table(plan), width, shuffle)
+        made = jnifti.export(rows, out, label_table(plan), width, shuffle)
     else:
-        files = nifti.export(rows, out, suffix, width)
-    written = _stored(files, "written")
+        made = nifti.export(rows, out, suffix, width)
+    written = _stored(made, "written")
     done = volumes.select("vol", "path").join(written.withColumnRenamed("path", "out_path"), "vol").drop("vol")
     return report.join(done, "path", "left")

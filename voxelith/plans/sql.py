@@ -230,6 +230,14 @@ SELECT vol, 'jnii', CASE vol % 8 WHEN 1 THEN 'bad_json' WHEN 2 THEN 'not_an_obje
        CASE WHEN vol % 8 = 0 THEN nx ELSE 0 END FROM volmeta""",
         "flagship_pipeline": "SELECT m.vol, coalesce(label, 0) AS label, count(*) AS n FROM volmeta m CROSS JOIN LATERAL (SELECT unnest(range(nz)) AS z) gz CROSS JOIN LATERAL (SELECT unnest(range(ny)) AS y) gy CROSS JOIN LATERAL (SELECT unnest(range(nx)) AS x) gx JOIN bbox b ON m.vol = b.vol LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x GROUP BY 1, 2",
     }
+    q["compare_files"] = """SELECT m.vol, CASE m.vol % 9 WHEN 1 THEN 'missing_ref' WHEN 2 THEN 'missing_new' WHEN 3 THEN 'ref_gzip_truncated' WHEN 4 THEN 'other_shape'
+         WHEN 5 THEN 'PASS' ELSE CASE WHEN w.worst >= 0.87 THEN 'PASS' ELSE 'FAIL' END END AS verdict,
+       CASE WHEN m.vol % 9 NOT IN (1, 2, 3, 4) THEN CAST(t.voxels AS BIGINT) END AS voxels,
+       CASE WHEN m.vol % 9 = 5 THEN CAST(t.voxels AS BIGINT) WHEN m.vol % 9 NOT IN (1, 2, 3, 4) THEN CAST(t.matches AS BIGINT) END AS matches,
+       CASE WHEN m.vol % 9 = 5 THEN 1.0::DOUBLE WHEN m.vol % 9 NOT IN (1, 2, 3, 4) THEN round(CAST(t.matches AS DOUBLE) / t.voxels, 9) END AS agreement,
+       CASE WHEN m.vol % 9 = 5 THEN 1.0::DOUBLE WHEN m.vol % 9 NOT IN (1, 2, 3, 4) THEN round(w.worst, 9) END AS worst
+FROM volmeta m JOIN (SELECT vol, min(dice) AS worst FROM dices GROUP BY vol) w ON m.vol = w.vol
+JOIN (SELECT vol, count(*) AS voxels, count(*) FILTER (WHERE ref = pred) AS matches FROM lab GROUP BY vol) t ON m.vol = t.vol"""
     q["segment_files"] = f"SELECT m.vol, 'ok' AS status, gz.z, gy.y, gx.x, coalesce(CAST(label AS INT), 0) AS label FROM {_FULL} LEFT JOIN flabel l ON l.vol = m.vol AND l.z + zlo = gz.z AND l.y + ylo = gy.y AND l.x + xlo = gx.x"
     q["uncrop_lines"], q["blend_slabs"] = q["uncrop_labels"], q["blend_gaussian"]
     small = "(SELECT vol, nz, ny, nx, 7 AS tz, 12 AS ty, 11 AS tx FROM volmeta)"

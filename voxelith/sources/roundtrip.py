@@ -132,6 +132,20 @@ def _images(spark: SparkSession, sf_dir: str, folder: str) -> None:
     _written(jnifti.export(rows.filter("vol % 3 = 2"), folder, name="double"))
 
 
+def compare_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vol, verdict, voxels, matches, agreement, worst of label files: some of either side are missing, spoiled or of another shape."""
+    from voxelith.plans.compare_files import compared_folders
+
+    rows, ref, new = _rows(spark, sf_dir), new_path(spark, "ref"), new_path(spark, "new")
+    cut = rows.filter("vol % 9 <> 4 or i0 < 14").withColumn("n0", F.when(F.expr("vol % 9 = 4"), 14).otherwise(F.col("n0")))
+    _spoiled(_stored(nifti.export(cut.filter("vol % 9 <> 1"), ref), "files"), lambda vol, raw: raw[:-20] if vol % 9 == 3 else raw)
+    pred = view(spark, sf_dir, "lab").select("vol", F.col("x").alias("i0"), F.col("y").alias("i1"), F.col("z").alias("i2"), F.col("pred").alias("new"))
+    other = rows.join(pred, ["vol", "i0", "i1", "i2"]).withColumn("label", F.when(F.expr("vol % 9 = 5"), F.col("label")).otherwise(F.col("new")))
+    _written(jnifti.export(other.filter("vol % 9 <> 2").drop("new"), new))
+    report, _ = compared_folders(spark, ref, new, 0.87)
+    return report.select(F.regexp_extract("name", r"vol-(\d+)", 1).cast("long").alias("vol"), "verdict", "voxels", "matches", F.round("agreement", 9).alias("agreement"), F.round("worst", 9).alias("worst"))
+
+
 def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vol, status, z, y, x, label: files written from the volumes in all orientations, segmented from folder to folder, and the files written
     read back and turned to canonical axes."""
