@@ -641,6 +641,15 @@ def test_long_lines(spark):
     assert {r["doc_id"]: r["n_removed"] for r in out} == {0: 0, 1: 1, 2: 0} and time.time() - began < 120
 
 
+def test_lines_of_a_large_alphabet_meet_once(spark):
+    """Lines that differ in one character all belong to one bucket; the work grows with their number, and all but the first go."""
+    rows = [(i, f"chapter {chr(0x4E00 + i)} of the long old book") for i in range(6000)] + [(9000, "chapter  of the long old book"), (9001, "chapter zz of the long old book")]
+    began = time.time()
+    out = {r["doc_id"]: r["n_removed"] for r in linededup.without_repeated_lines(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    assert out[0] == 0 and all(out[i] == 1 for i in range(1, 6000)) and out[9000] == 1 and out[9001] == 0
+    assert time.time() - began < 90
+
+
 def test_short_lines_can_take_part(spark):
     rows = [(1, "ab\nabc\nx"), (2, "ab\nzz"), (3, "")]
     out = {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(docs(spark, [t for _, t in rows], [1, 2, 3]), min_chars=2).collect()}

@@ -11,9 +11,10 @@ outside that half, keyed together with it; other variants could match nothing th
 What lies there is cut into runs of WINDOW characters from both ends, whose hashes are chained: a variant is the
 hashes of the whole runs before and after the character left out, and the few characters between them, so a line
 of n characters costs n times WINDOW, not n times n. Equal lines are one row from the start, held by their
-earliest place, so copies and very common lines add nothing to the joins. Buckets of equal variants are
-matched with a bucket's members one to one with their lines; a line needs only the earliest place among the
-lines near it.
+earliest place, so copies and very common lines add nothing to the joins. A line needs only the earliest place
+among the lines near it, so no bucket is paired with itself: lines that lack a character at the same position all differ
+in that one character, and each is compared with the earliest of them; a line as it is is compared with the earliest that
+is longer by one, and those with it.
 
 Everything here is DataFrame functions: no Python runs on the executors.
 """
@@ -72,7 +73,8 @@ def chained(parts: Column, start: Column) -> Column:
 
 
 def variants(emitted: DataFrame) -> DataFrame:
-    """(k1, k2, variant): keys of `rest` as it is and with each one character left out, together with the half beside it. `emitted`: k1, k2, half, rest.
+    """(k1, k2, variant, at): keys of `rest` as it is (at 0) and with each one character left out (at its place), together with the half
+    beside it. `emitted`: k1, k2, half, rest.
 
     With t whole runs before a character and u after it, a variant's key is (half, hash of the t, hash of the u, what is
     between them without the character). A text as it is meets a longer one's variants under the t and u of that one.
@@ -90,15 +92,16 @@ def variants(emitted: DataFrame) -> DataFrame:
         t, u = p["t"], p["u"]
         middle = F.substring(F.concat(part(t), part(t + 1)), F.lit(1), F.greatest(F.lit(0), n - w * u - w * t))
         whole = first(n + 1, t, u) <= last(n + 1, t, u)
-        return F.struct(middle.alias("m"), first(n, t, u).alias("lo"), last(n, t, u).alias("hi"), whole.alias("whole"), F.xxhash64(F.get("before", t), F.get("after", u), t, u).alias("base"))
+        return F.struct((t * w).alias("first"), middle.alias("m"), first(n, t, u).alias("lo"), last(n, t, u).alias("hi"), whole.alias("whole"), F.xxhash64(F.get("before", t), F.get("after", u), t, u).alias("base"))
 
     # only what lies between is copied for each pair of runs, not the runs themselves
     at = cut.select("k1", "k2", F.explode(F.transform(F.filter(pairs, lambda p: p["u"] >= 0), between)).alias("b")).select("k1", "k2", "b.*")
     at = at.filter("lo <= hi or whole")
-    left_out = lambda i: F.xxhash64("base", F.concat(F.substring("m", F.lit(1), i - 1), F.substring("m", i + 1, F.lit(2 * WINDOW))))
-    keys = F.when(F.col("lo") <= F.col("hi"), F.transform(F.sequence("lo", "hi"), left_out)).otherwise(F.array().cast("array<bigint>"))
-    keys = F.array_distinct(F.when(F.col("whole"), F.array_append(keys, F.xxhash64("base", "m"))).otherwise(keys))
-    return at.select("k1", "k2", F.explode(keys).alias("variant"))
+    form = lambda key, i: F.struct(key.alias("variant"), i.cast("int").alias("at"))
+    left_out = lambda i: form(F.xxhash64("base", F.concat(F.substring("m", F.lit(1), i - 1), F.substring("m", i + 1, F.lit(2 * WINDOW)))), F.col("first") + i)
+    keys = F.when(F.col("lo") <= F.col("hi"), F.transform(F.sequence("lo", "hi"), left_out)).otherwise(F.array().cast("array<struct<variant:bigint,at:int>>"))
+    keys = F.when(F.col("whole"), F.array_append(keys, form(F.xxhash64("base", "m"), F.lit(0)))).otherwise(keys)
+    return at.select("k1", "k2", F.explode(keys).alias("key")).select("k1", "k2", "key.variant", "key.at")
 
 
 def within_edits(x: Column, y: Column) -> Column:
@@ -118,6 +121,12 @@ def within_edits(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= MAX_EDITS) & F.when(F.greatest(n, m) <= 4 * WINDOW, F.levenshtein(x, y, MAX_EDITS) >= 0).otherwise(near)
 
 
+def _of_several(rows: DataFrame, key: str) -> DataFrame:
+    """(key) of those keys that `rows` (k1, k2, key) have with more than one line."""
+    ends = [f(k).alias(f"{n}{k}") for k in ("k1", "k2") for n, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy(key).agg(*ends).filter("lok1 <> hik1 or lok2 <> hik2").select(key)
+
+
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_key, removed): the line numbers that go, for each document that loses any."""
     keyed = lines_of(docs, min_chars).withColumns(dict(zip(("k1", "k2"), key128(F.col("line")), strict=True)))
@@ -125,8 +134,8 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     # distinct lines that share a half with another one
     n = F.length("line")
-    shared = keyed.select(F.col("k1").alias("k"), F.explode(F.transform(halves(F.col("line"), n), lambda h: h["half"])).alias("half")).groupBy("half").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    shared = stored(shared.filter("lo <> hi").select("half"), "shared-halves")
+    shared = keyed.select("k1", "k2", F.explode(F.transform(halves(F.col("line"), n), lambda h: h["half"])).alias("half"))
+    shared = stored(_of_several(shared, "half"), "shared-halves")
     close = keyed.withColumn("part", F.explode(halves(F.col("line"), n))).join(small(shared, HALVES_MAX), F.col("part.half") == F.col("half"), "left_semi")
     close = stored(close.groupBy("k1", "k2").agg(F.min(place()).alias("first"), F.min("line").alias("line"), F.collect_set("part").alias("parts")), "close-lines")
 
@@ -135,18 +144,21 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     emitted = close.select("k1", "k2", "line", F.explode("parts").alias("part"))
     emitted = emitted.select("k1", "k2", F.col("part.half").alias("half"), outside(F.col("line"), F.length("line"), F.col("part")).alias("rest")).repartition("k1", "k2")
     emitted = stored(variants(emitted), "emitted")
-    own = emitted.groupBy("variant").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select("variant")
-    met = stored(emitted.join(own, "variant", "left_semi"), "variants")
-    x, y = met.alias("x"), met.alias("y")
-    pairs = x.join(y, (F.col("x.variant") == F.col("y.variant")) & ((F.col("x.k1") < F.col("y.k1")) | ((F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") < F.col("y.k2")))))
-    pairs = pairs.select(*(F.col(f"{s}.{k}").alias(f"{s}{k}") for s in "xy" for k in ("k1", "k2"))).distinct()
+    met = emitted.join(_of_several(emitted, "variant"), "variant", "left_semi")
+    met = stored(met.join(close.select("k1", "k2", "first"), ["k1", "k2"]), "variants")
+    best = F.min(F.struct("first", "k1", "k2"))
+    beside = met.filter("at > 0").groupBy("variant", "at").agg(best.alias("y"))
+    whole = met.groupBy("variant").agg(F.min(F.when(F.col("at") == 0, F.struct("first", "k1", "k2"))).alias("short"), F.min(F.when(F.col("at") > 0, F.struct("first", "k1", "k2"))).alias("long"))
+    whole = whole.filter("short is not null and long is not null")
+    aims = met.filter("at > 0").join(beside, ["variant", "at"]).select("k1", "k2", "y")
+    aims = aims.unionByName(met.join(whole, "variant").select("k1", "k2", F.when(F.col("at") == 0, F.col("long")).otherwise(F.col("short")).alias("y")))
+    pairs = aims.select(F.col("k1").alias("xk1"), F.col("k2").alias("xk2"), F.col("y.k1").alias("yk1"), F.col("y.k2").alias("yk2")).filter("xk1 <> yk1 or xk2 <> yk2").distinct()
     side = lambda s: close.select(F.col("k1").alias(f"{s}k1"), F.col("k2").alias(f"{s}k2"), F.col("line").alias(f"{s}_line"))
     near = pairs.join(side("x"), ["xk1", "xk2"]).join(side("y"), ["yk1", "yk2"])
     near = near.filter(within_edits(F.col("x_line"), F.col("y_line"))).select("xk1", "xk2", "yk1", "yk2")
     near = stored(near, "near-lines")
-    both = near.unionByName(near.select(F.col("yk1").alias("xk1"), F.col("yk2").alias("xk2"), F.col("xk1").alias("yk1"), F.col("xk2").alias("yk2")))
     places = close.select(F.col("k1").alias("yk1"), F.col("k2").alias("yk2"), F.col("first").alias("other"))
-    earlier = both.join(places, ["yk1", "yk2"]).groupBy(F.col("xk1").alias("k1"), F.col("xk2").alias("k2")).agg(F.min("other").alias("first"))
+    earlier = near.join(places, ["yk1", "yk2"]).groupBy(F.col("xk1").alias("k1"), F.col("xk2").alias("k2")).agg(F.min("other").alias("first"))
     own = close.join(earlier.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "first")
 
     # lines with copies or near ones, and the earliest place that keeps them out
