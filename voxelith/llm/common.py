@@ -24,6 +24,12 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, label: str, codec: str = "zstd", per_core: int = 4) -> DataFrame:
+    """stored(), written by at most `per_core` tasks for each core: a task takes several partitions one after another, so a chain of many
+    small tables does not leave thousands of files behind."""
+    return stored(df.coalesce(per_core * logical_cores(df.sparkSession)), label, codec)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote. Only for tables that no later result is computed from."""
     for t in tables:

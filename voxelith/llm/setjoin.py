@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.common import drop_stored, mix, pieces, shingle_sets, small, stored
+from voxelith.llm.common import drop_stored, gathered, mix, pieces, shingle_sets, small
 from voxelith.llm.components import connected_components
 
 #: Bands hold sizes [BAND ** i, BAND ** (i + 1)).
@@ -165,7 +165,7 @@ def profile(docs: DataFrame, sim: Similarity, k: int) -> DataFrame:
 def frequent_contents(profiles: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of contents that many sets share, and how many sets do. FREQUENT_MAX entries at most: the count from which one is
     listed rises until they fit. Whatever this leaves out only costs time: any order gives the same links."""
-    counted = stored(profiles.filter("kind = 1").groupBy(F.col("node").alias("key")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_MIN), "frequent")
+    counted = gathered(profiles.filter("kind = 1").groupBy(F.col("node").alias("key")).agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT_MIN), "frequent")
     sizes = sorted(counted.groupBy(F.floor(F.log2("n")).alias("e")).count().collect(), key=lambda r: -r["e"])
     total, least = 0, None
     for r in sizes:
@@ -253,7 +253,7 @@ def _same_hub(members: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame
     own = members.join(sets.select("node", F.col("members").alias("m")), "node").join(sets.select(F.col("node").alias("hub"), F.col("members").alias("h")), "hub")
     d = F.concat(F.array_except("m", "h"), F.array_except("h", "m"))
     apart = own.select("node", "hub", "comp", F.size("m").alias("q"), F.size("h").alias("hub_size"), d.alias("d"))
-    apart = stored(apart.withColumn("u", F.expr(f"{high}L * size(d) - {low}L * q")).withColumn("far", F.expr(f"u > {low}L * hub_size")), "differences")
+    apart = gathered(apart.withColumn("u", F.expr(f"{high}L * size(d) - {low}L * q")).withColumn("far", F.expr(f"u > {low}L * hub_size")), "differences")
     each = apart.select("hub", "node", F.explode("d").alias("e"))
     counts = each.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     word = F.pmod(F.col("e"), F.lit(4))
@@ -263,7 +263,7 @@ def _same_hub(members: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame
     # what a partner shares at least: with the index side by a far partner's U, with the far side by a partner's largest size
     index_least = F.expr(f"floor((u + {low}L * hub_size) / {2 * high}D) + 1")
     probe_least = F.expr(f"greatest(1L, CAST(ceil((u - {low}L * floor(100 * q / {sim.percent}D)) / {high}D) AS LONG))")
-    held = stored(held.withColumns({"first": (F.col("n") - index_least + 1).cast("int"), "tried": F.when(F.col("far"), F.col("n") - probe_least + 1).otherwise(0).cast("int")}), "shared-differences")
+    held = gathered(held.withColumns({"first": (F.col("n") - index_least + 1).cast("int"), "tried": F.when(F.col("far"), F.col("n") - probe_least + 1).otherwise(0).cast("int")}), "shared-differences")
     kept = ["node", "comp", "q", "u", "n", "b0", "b1", "b2", "b3"]
     side = lambda upto: held.filter(F.col(upto) > 0).select("hub", *kept, F.explode(F.slice("r", F.lit(1), F.col(upto))).alias("e"))
     x, y = side("tried").alias("x"), side("first").alias("y")
@@ -281,10 +281,10 @@ def _hubs(rows: DataFrame) -> DataFrame:
     led = rows.join(rows.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("leader")), "key")
     met = led.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need"))
     best = met.groupBy("node").agg(F.max_by(F.struct(F.col("leader").alias("hub"), (F.col("n") >= F.col("need")).alias("near")), F.struct("n", "leader")).alias("h"))
-    hubs = stored(best.select("node", "h.hub", "h.near"), "hubs")
+    hubs = gathered(best.select("node", "h.hub", "h.near"), "hubs")
     while True:  # a leader never has a smaller degree than those it leads, so this ends
         up = hubs.filter("near and node <> hub").select(F.col("node").alias("hub"), F.col("hub").alias("top"))
-        nxt = stored(hubs.join(small(up, LISTED_MAX), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"), "near", F.col("top").isNotNull().alias("moved")), "hubs")
+        nxt = gathered(hubs.join(small(up, LISTED_MAX), "hub", "left").select("node", F.coalesce("top", "hub").alias("hub"), "near", F.col("top").isNotNull().alias("moved")), "hubs")
         drop_stored(hubs)
         hubs = nxt
         if not hubs.filter("moved").head(1):
@@ -294,21 +294,21 @@ def _hubs(rows: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id for every row; see similar_components()."""
     sim = Similarity(percent)
-    profiles = stored(profile(docs, sim, k), "profiles")
+    profiles = gathered(profile(docs, sim, k), "profiles")
     frequent = frequent_contents(profiles)
     keyed = index_rows(docs, sim, k, frequent).select("node", "need", "n", F.explode(F.arrays_zip("keys", "hot")).alias("k")).select("k.keys", "k.hot", "node", "need", "n").withColumnRenamed("keys", "key")
     # frequent keys are known to have several sets; their rows are dealt out over all tasks
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))).otherwise(0)
     bucket = Window.partitionBy("key", salt)
     shared = keyed.withColumns({"lo": F.min("node").over(bucket), "hi": F.max("node").over(bucket), "least": F.min("need").over(bucket)}).filter("hot or lo <> hi")
-    shared = stored(shared.select("key", "hot", "node", "need", "n", "least").distinct(), "buckets")
+    shared = gathered(shared.select("key", "hot", "node", "need", "n", "least").distinct(), "buckets")
 
     # sets that meet others too seldom to be similar to any are done
     hot_least = shared.filter("hot").groupBy("key").agg(F.min("least").alias("hot_least"))
     degrees = shared.join(small(hot_least, LISTED_MAX), "key", "left").groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.min(F.coalesce("hot_least", "least")).alias("least"))
-    nodes = stored(degrees.filter("degree >= least").select("node", "degree"), "nodes")
-    rows = stored(shared.join(small(nodes, LISTED_MAX), "node").select("key", "node", "need", "n", "degree"), "rows")
-    sets = stored(member_rows(docs, k, nodes.select("node")), "sets", "lz4")
+    nodes = gathered(degrees.filter("degree >= least").select("node", "degree"), "nodes")
+    rows = gathered(shared.join(small(nodes, LISTED_MAX), "node").select("key", "node", "need", "n", "degree"), "rows")
+    sets = gathered(member_rows(docs, k, nodes.select("node")), "sets", "lz4")
     drop_stored(shared, nodes)
 
     # each set with the leader that it meets most often; a bucket's leader is the member that meets most sets, which of a group of
@@ -317,31 +317,31 @@ def labelled(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     led = rows.join(leaders, "key").filter("leader.node <> node")
     met = led.groupBy(F.col("leader.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("need", "leader.need")).alias("need"))
     best = met.filter("2 * n >= need").groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    links = stored(verified(best, sets, sim), "links")
+    links = gathered(verified(best, sets, sim), "links")
     comps = connected_components(links)
     held = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    left = stored(held.join(several, "key").select("key", "node", "need", "n", "degree", "comp"), "rows")
+    left = gathered(held.join(several, "key").select("key", "node", "need", "n", "degree", "comp"), "rows")
     drop_stored(rows)
     rows = left
 
     # what is left: pairs between components, by their hub or by the buckets that they share
-    hubs = stored(_hubs(rows), "hubs")
-    rest = stored(rows.join(small(hubs, LISTED_MAX), "node"), "rest")
+    hubs = gathered(_hubs(rows), "hubs")
+    rest = gathered(rows.join(small(hubs, LISTED_MAX), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     sizes = 100 * F.least("x.n", "y.n") >= sim.percent * F.greatest("x.n", "y.n")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.hub") < F.col("y.hub")) & (F.col("x.comp") != F.col("y.comp")) & sizes)
     cross = cross.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x.need", "y.need")).alias("need"))
     cross = cross.filter("n >= need").select("a", "b")
     same = _same_hub(rest.select("node", "hub", "comp").distinct(), sets, sim)
-    pairs = stored(cross.unionByName(same).distinct(), "pairs")
+    pairs = gathered(cross.unionByName(same).distinct(), "pairs")
     comps = connected_components(links.unionByName(verified(pairs, sets, sim)))
 
     rows = profiles.filter("kind = 0").select("doc_id", "text_key", "n", "node")
     first = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     ids = first.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_node = stored(ids.join(least, "comp").select("node", "component_id"), "components-by-set")
+    by_node = gathered(ids.join(least, "comp").select("node", "component_id"), "components-by-set")
     drop_stored(rest, sets, pairs)
     out = rows.join(by_node, "node", "left")
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -365,12 +365,12 @@ def one_of_each(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
 
     Texts without words are in no component and stay, but rows equal in doc_id and text stay once.
     """
-    rows = stored(labelled(docs, percent, k), "labelled")
+    rows = gathered(labelled(docs, percent, k), "labelled")
     first = rows.filter("n_shingles > 0 and component_id is not null").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("m"))
     key = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     gone = rows.filter("n_shingles > 0").join(first, "component_id").filter(key != F.col("m")).select("doc_id", "text_key").distinct()
-    gone = stored(gone.withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"}), "gone")
-    again = stored(rows.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).count().filter("count > 1").drop("count"), "repeated")
+    gone = gathered(gone.withColumnsRenamed({"doc_id": "gone_id", "text_key": "gone_key"}), "gone")
+    again = gathered(rows.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).count().filter("count > 1").drop("count"), "repeated")
     # texts stay where they are while the lists of rows that go and of rows that are repeated can be broadcast
     same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_key") == F.col("gone_key"))
     kept = docs.withColumns({"own_id": F.col("doc_id").cast("long"), "own_key": F.xxhash64("text")}).join(small(gone, LISTED_MAX), same, "left_anti")
