@@ -158,10 +158,10 @@ def slabs(spark: SparkSession, path: str, channels: bool = False) -> DataFrame:
     return good_planes(scan(heads, channels))
 
 
-def voxels(slabs_: DataFrame) -> DataFrame:
-    """path, c, z, y, x, val of slabs: a row a voxel, x fastest."""
-    out = slabs_.select("path", "c", "z", "nx", F.posexplode("data").alias("i", "val"))
-    return out.select("path", "c", "z", F.floor(F.col("i") / F.col("nx")).cast("int").alias("y"), (F.col("i") % F.col("nx")).cast("int").alias("x"), "val")
+def voxels(slabs_: DataFrame, *more: str) -> DataFrame:
+    """path, c, z, y, x, val of slabs, and the columns `more` that slabs carry: a row a voxel, x fastest."""
+    out = slabs_.select("path", "c", "z", "nx", *more, F.posexplode("data").alias("i", "val"))
+    return out.select("path", "c", "z", F.floor(F.col("i") / F.col("nx")).cast("int").alias("y"), (F.col("i") % F.col("nx")).cast("int").alias("x"), "val", *more)
 
 
 # ---- writing ----

@@ -53,7 +53,8 @@ def labels_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "nii-gz")
     _written(nifti.export(_rows(spark, sf_dir), folder))
     head = geometry.header_status(nifti.headers(spark, folder)).select("path", "status", "p0", "p1", "p2")
-    both = _vol(nifti.voxels(nifti.slabs(spark, folder)).join(head, "path"))
+    # headers meet planes, not voxels; Spark guesses the planes' size from their packed files, and by its guess would broadcast them
+    both = _vol(nifti.voxels(nifti.slabs(spark, folder).join(head.hint("merge"), "path"), "status", "p0", "p1", "p2"))
     return both.select("vol", "z", "y", "x", "val", "status", "p0", "p1", "p2")
 
 
