@@ -1,4 +1,4 @@
-"""Headers and orientation. Every operator here is a projection or a join with the one-row-a-volume header table."""
+"""Headers and orientation. Every operator here is a projection, or a join with the one-row-a-volume header table."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from voxelith.functions.columns import pick
 
 AFFINE = [f"a{r}{c}" for r in range(3) for c in range(4)]
+#: Extents of a volume, the world axis of each of its axes, and their signs.
+AXES = [f"{k}{i}" for k in "ndg" for i in range(3)]
 #: Element types by format code: name, bits, Spark type that holds it.
 DTYPES = ((2, "uint8", 8, "smallint"), (4, "int16", 16, "smallint"), (8, "int32", 32, "int"), (16, "float32", 32, "float"), (64, "float64", 64, "double"), (256, "int8", 8, "tinyint"), (512, "uint16", 16, "int"), (768, "uint32", 32, "bigint"))
 
@@ -115,17 +117,23 @@ def canonical_affine(h: DataFrame) -> DataFrame:
     return h.withColumns(out)
 
 
-def to_canonical(voxels: DataFrame, axes: DataFrame) -> DataFrame:
-    """Voxels (vol, i0, i1, i2, ...) with canonical z, y, x. The join is on vol with one row a volume, so Spark broadcasts it if it is small."""
-    both = voxels.join(axes.select("vol", "n0", "n1", "n2", "d0", "d1", "d2", "g0", "g1", "g2"), "vol")
+def _with_axes(voxels: DataFrame, axes: DataFrame | None) -> DataFrame:
+    """Voxels with AXES of their volume. Of both sides only the headers, one row a volume, are ever built into a table: Spark takes voxels
+    exploded from headers or planes for no more than those, and would broadcast them."""
+    return voxels if axes is None else voxels.join(axes.select("vol", *AXES).hint("shuffle_hash"), "vol")
+
+
+def to_canonical(voxels: DataFrame, axes: DataFrame | None = None) -> DataFrame:
+    """Voxels (vol, i0, i1, i2, ...) with canonical z, y, x. Without `axes` voxels carry AXES themselves and keep them: nothing is shuffled."""
+    both = _with_axes(voxels, axes)
     turned = [F.when(F.col(f"g{i}") > 0, F.col(f"i{i}")).otherwise(F.col(f"n{i}") - 1 - F.col(f"i{i}")) for i in range(3)]
     axis = lambda j: F.when(F.col("d0") == j, turned[0]).when(F.col("d1") == j, turned[1]).otherwise(turned[2]).cast("int")
     return both.withColumns({"z": axis(2), "y": axis(1), "x": axis(0)}).select(*[c for c in voxels.columns if c not in ("i0", "i1", "i2")], "z", "y", "x")
 
 
-def from_canonical(voxels: DataFrame, axes: DataFrame) -> DataFrame:
-    """The inverse: canonical z, y, x back to i0, i1, i2 of the input's axes."""
-    both = voxels.join(axes.select("vol", "n0", "n1", "n2", "d0", "d1", "d2", "g0", "g1", "g2"), "vol")
+def from_canonical(voxels: DataFrame, axes: DataFrame | None = None) -> DataFrame:
+    """The inverse: canonical z, y, x back to i0, i1, i2 of the input's axes. `axes` as in to_canonical()."""
+    both = _with_axes(voxels, axes)
     world = F.array("x", "y", "z")
     own = lambda i: F.element_at(world, F.col(f"d{i}") + 1)
     back = {f"i{i}": F.when(F.col(f"g{i}") > 0, own(i)).otherwise(F.col(f"n{i}") - 1 - own(i)).cast("int") for i in range(3)}
