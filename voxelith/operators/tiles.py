@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,44 +117,66 @@ def bricks(cut: DataFrame, patch: Patch) -> DataFrame:
     return cut.groupBy("vol", "tile_id").agg(*first, cells.getField("val").alias("brick"))
 
 
+#: Bytes of scores that leave a task of score_bricks() at a time.
+PIECE = 4 << 20
+
+
 def score_bricks(tiles: DataFrame, patch: Patch, folds: list[int], load: Callable, classes: int) -> DataFrame:
     """vol, tile_id, fold, lz, ly, lx, z, y, x, logits of `tiles`, the rows of bricks(), from a model.
 
     `load(fold)` gives, once for each fold and worker, a function of (tile_id, brick of the patch's shape) to an array of the
-    classes' scores, (classes, *patch).
+    classes' scores, (classes, *patch). A task holds one brick's scores and PIECE bytes of planes that are about to leave, however many
+    bricks it has; a row that leaves is one plane of a tile.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
+
+    cells, heads = patch[1] * patch[2], ["vol", "tile_id", "fold", "z0", "y0", "x0"]
+
+    def planes(b: pa.RecordBatch, at: list[int], lz: list[int], scores: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(scores)
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, classes, dtype=np.int32)), pa.array(flat.reshape(-1)))
+        outer = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, cells, dtype=np.int32)), inner)
+        own = b.select(heads).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(lz, pa.int32()), outer], [*heads, "lz", "logits"])
 
-    def run(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold, model = None, None
-        for frame in frames:
-            scored = []
-            for f, tile, brick in zip(frame["fold"], frame["tile_id"], frame["brick"], strict=True):
+        for b in batches:
+            at, lz, scores, size = [], [], [], 0
+            for i, (f, tile) in enumerate(zip(b["fold"].to_pylist(), b["tile_id"].to_pylist(), strict=True)):
                 if model is None or f != fold:
                     fold, model = f, load(int(f))
-                out = np.asarray(model(int(tile), np.asarray(brick, float).reshape(patch)), float)
+                brick = np.array(b["brick"][i].values.to_numpy(zero_copy_only=False), float)
+                out = np.asarray(model(int(tile), brick.reshape(patch)), float)
                 if out.shape != (classes, *patch):
                     raise ValueError(f"the model gave {out.shape}, not {(classes, *patch)}")
-                scored.append(out.reshape(classes, -1).T.tolist())
-            yield pd.concat([frame[["vol", "tile_id", "fold", "z0", "y0", "x0"]], pd.Series(scored, index=frame.index, name="logits", dtype=object)], axis=1)
+                for k in range(patch[0]):
+                    at.append(i)
+                    lz.append(k)
+                    scores.append(out[:, k].reshape(classes, -1).T)
+                    size += scores[-1].nbytes
+                    if size >= PIECE:
+                        yield planes(b, at, lz, scores)
+                        at, lz, scores, size = [], [], [], 0
+            if at:
+                yield planes(b, at, lz, scores)
 
     rows = tiles.withColumn("fold", F.explode(F.array(*map(F.lit, folds))))
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ("vol", "tile_id", "fold", "z0", "y0", "x0")) + ", logits array<array<double>>"
-    scored = score_with(rows, run, schema).select("vol", "tile_id", "fold", "z0", "y0", "x0", F.posexplode("logits").alias("i", "logits"))
-    i = F.col("i")
-    scored = scored.withColumns({"lz": F.floor(i / (patch[1] * patch[2])).cast("int"), "ly": F.floor(i / patch[2]).cast("int") % patch[1], "lx": i % patch[2]})
+    schema = ", ".join(f"{c} {kinds[c]}" for c in heads) + ", lz int, logits array<array<double>>"
+    scored = score_with(rows, run, schema).select(*heads, "lz", F.posexplode("logits").alias("i", "logits"))
+    scored = scored.withColumns({"ly": F.floor(F.col("i") / patch[2]).cast("int"), "lx": F.col("i") % patch[2]})
     return scored.select("vol", "tile_id", "fold", "lz", "ly", "lx", *((F.col(f"{k}0") + F.col(f"l{k}")).alias(k) for k in "zyx"), "logits")
 
 
 def score_with(bricks: DataFrame, scorer: Callable, schema: str) -> DataFrame:
-    """Plug-in scoring: `scorer` maps an iterator of pandas frames of bricks (with a fold column) to frames of `schema`.
+    """Plug-in scoring: `scorer` maps an iterator of Arrow batches of bricks (with a fold column) to batches of `schema`.
 
     Rows are dealt by fold and brick, sorted by fold, so that a worker holds one fold's model at a time while
     all workers share the work of each fold.
     """
-    return bricks.repartition("fold", "vol", "tile_id").sortWithinPartitions("fold").mapInPandas(scorer, schema)
+    return bricks.repartition("fold", "vol", "tile_id").sortWithinPartitions("fold").mapInArrow(scorer, schema)
 
 
 def channel_check(rows: DataFrame, classes: int) -> DataFrame:
