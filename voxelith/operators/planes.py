@@ -298,12 +298,12 @@ def decided(planes: DataFrame, shape: DataFrame, classes: int, decide: Callable,
     return lines.mapInArrow(run, f"vol {kind}, z int, y int, {value} array<{'int' if whole else 'double'}>")
 
 
-def voxels_of_lines(lines: DataFrame, value: str = "labels", name: str = "label", width: int = 0) -> DataFrame:
-    """vol, z, y, x, name of lines along x; width > 0: so many numbers a voxel, as an array."""
+def voxels_of_lines(lines: DataFrame, value: str = "labels", name: str = "label", width: int = 0, *more: str) -> DataFrame:
+    """vol, z, y, x, name of lines along x, and the columns `more` that lines carry; width > 0: so many numbers a voxel, as an array."""
     cells = F.col(value)
     if width:
         cells = F.transform(F.sequence(F.lit(0), (F.size(value) / width).cast("int") - 1), lambda i: F.slice(value, i * width + 1, width))
-    return lines.select("vol", "z", "y", F.posexplode(cells).alias("x", name))
+    return lines.select("vol", "z", "y", *more, F.posexplode(cells).alias("x", name))
 
 
 def pack_lines(voxels: DataFrame, value: str = "label", name: str = "labels") -> DataFrame:

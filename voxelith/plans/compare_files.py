@@ -17,8 +17,8 @@ def _side(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFra
     world = [F.when(F.col("d0") == j, F.col("n0")).when(F.col("d1") == j, F.col("n1")).otherwise(F.col("n2")) for j in range(3)]
     shape = F.array(*world)
     files = report.join(axes.select("path", "vol", shape.alias("shape")), "path", "left").select(own.alias("name"), "status", "vol", "shape")
-    labels = geometry.to_canonical(voxels, axes).withColumn("label", F.col("val").cast("int")).join(axes.select("vol", world[0].alias("width"), own.alias("name")), "vol")
-    runs = evaluate.runs(labels.select(F.col("name").alias("vol"), "z", "y", "x", "label", "width"), F.col("width"))
+    labels = geometry.to_canonical(voxels).join(axes.select("vol", own.alias("name")), "vol")
+    runs = evaluate.runs(labels.select(F.col("name").alias("vol"), "z", "y", "x", F.col("val").cast("int").alias("label"), world[0].alias("width")), F.col("width"))
     return files.select("name", *(F.col(c).alias(f"{name}_{c}") for c in ("status", "shape"))), runs
 
 

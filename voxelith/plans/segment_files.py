@@ -32,7 +32,8 @@ def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(volumes, voxels, report) of the files in `files` (path), NIfTI and JNIfTI text.
 
     volumes: VOLUME, a row for each file that is whole, vol being a 63-bit hash of its path, so that a rerun gives the same; voxels: vol,
-    i0, i1, i2, val on the file's axes, in Parquet by then; report: path, form, status of every file. Each file's data is read once.
+    i0, i1, i2, val on the file's axes, in Parquet by then, and geometry.AXES of their volume, which planes bring along; report: path, form,
+    status of every file. Each file's data is read once.
     """
     ship_code(files.sparkSession)
     text = F.lower("path").endswith(".jnii")
@@ -50,11 +51,11 @@ def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     volumes = _stored(both.withColumn("vol", F.expr("xxhash64(path) & 9223372036854775807")).select(*VOLUME), "volumes")
     if volumes.groupBy("vol").count().filter("count > 1").head(1):
         raise ValueError("two paths have one hash: read them apart")
-    own = volumes.select("vol", "path")
-    x = nifti.good_planes(a).join(own, "path").select("vol", F.col("z").alias("i2"), "nx", F.posexplode("data").alias("i", "val"))
-    x = x.select("vol", (F.col("i") % F.col("nx")).cast("int").alias("i0"), F.floor(F.col("i") / F.col("nx")).cast("int").alias("i1"), "i2", "val")
-    y = nifti.good_planes(b).join(own, "path").select("vol", F.col("x").alias("i0"), "nz", F.posexplode("data").alias("i", "val"))
-    y = y.select("vol", "i0", F.floor(F.col("i") / F.col("nz")).cast("int").alias("i1"), (F.col("i") % F.col("nz")).cast("int").alias("i2"), "val")
+    own = geometry.axes_to_canonical(volumes).select("vol", "path", *geometry.AXES)
+    x = nifti.good_planes(a).join(own, "path").select("vol", *geometry.AXES, F.col("z").alias("i2"), "nx", F.posexplode("data").alias("i", "val"))
+    x = x.select("vol", (F.col("i") % F.col("nx")).cast("int").alias("i0"), F.floor(F.col("i") / F.col("nx")).cast("int").alias("i1"), "i2", "val", *geometry.AXES)
+    y = nifti.good_planes(b).join(own, "path").select("vol", *geometry.AXES, F.col("x").alias("i0"), "nz", F.posexplode("data").alias("i", "val"))
+    y = y.select("vol", "i0", F.floor(F.col("i") / F.col("nz")).cast("int").alias("i1"), (F.col("i") % F.col("nz")).cast("int").alias("i2"), "val", *geometry.AXES)
     return volumes, x.unionByName(y), report.select("path", "form", "status")
 
 
@@ -83,15 +84,18 @@ def segment_files(files: DataFrame, out: str, load: Callable, plan: Plan, suffix
     turned = axes.select("vol", *(w.alias(f"m{j}") for j, w in enumerate(world)), *(c.alias(a) for a, c in canonical.items()))
     sizes = geometry.zooms(turned)
     meta = sizes.select("vol", F.col("m2").alias("nz"), F.col("m1").alias("ny"), F.col("m0").alias("nx"), F.col("z2").alias("sz"), F.col("z1").alias("sy"), F.col("z0").alias("sx"))
-    lines, _ = segmented(geometry.to_canonical(voxels, axes), meta, load, plan)
+    lines, _ = segmented(geometry.to_canonical(voxels).select("vol", "z", "y", "x", "val"), meta, load, plan)
     value, width = ("p", plan.out_classes) if plan.probabilities else ("labels", 0)
-    rows = planes.voxels_of_lines(lines, value, "p" if width else "label", width)
+    name = "p" if width else "label"
     if plan.upsample:
         up = geometry.upsampled_affine(sizes, plan.spacing)
         head = up.select("vol", *(F.round(F.col(f"m{i}") * F.col(f"z{i}") / plan.spacing).cast("int").alias(f"n{i}") for i in range(3)), *(F.col(f"u{r}{c}").alias(f"a{r}{c}") for r in range(3) for c in range(4)))
-        rows = rows.select("vol", F.col("x").alias("i0"), F.col("y").alias("i1"), F.col("z").alias("i2"), "p" if width else "label").join(head, "vol")
+        more = [c for c in head.columns if c != "vol"]
+        rows = planes.voxels_of_lines(lines.join(head, "vol"), value, name, width, *more)
+        rows = rows.select("vol", F.col("x").alias("i0"), F.col("y").alias("i1"), F.col("z").alias("i2"), name, *more)
     else:
-        rows = geometry.from_canonical(rows, axes).join(volumes.drop("path"), "vol")
+        head = axes.select("vol", *geometry.AXES, *geometry.AFFINE)  # headers meet lines, not voxels
+        rows = geometry.from_canonical(planes.voxels_of_lines(lines.join(head, "vol"), value, name, width, *geometry.AXES, *geometry.AFFINE))
     if suffix.lower() == ".jnii":
         made = jnifti.export(rows, out, label_table(plan), width, shuffle)
     else:

@@ -127,8 +127,8 @@ def _images(spark: SparkSession, sf_dir: str, folder: str) -> None:
     h = meta.withColumns({f"d{i}": pick(i) for i in range(3)} | {f"g{i}": 1 - 2 * (F.floor(F.col("vol") / (6 * 2**i)) % 2).cast("int") for i in range(3)})
     h = h.withColumns({f"n{i}": F.element_at(sizes, F.col(f"d{i}") + 1) for i in range(3)})
     entry = lambda r, i: F.when(F.col(f"d{i}") == r, F.col(f"g{i}") * F.element_at(spacings, F.col(f"d{i}") + 1)).otherwise(0.0)
-    h = h.withColumns({f"a{r}{i}": entry(r, i) for r in range(3) for i in range(3)} | {f"a{r}3": F.lit(float(r)) for r in range(3)}).select("vol", "n0", "n1", "n2", "d0", "d1", "d2", "g0", "g1", "g2", *geometry.AFFINE)
-    rows = geometry.from_canonical(view(spark, sf_dir, "vox"), h).join(h.select("vol", "n0", "n1", "n2", *geometry.AFFINE), "vol")
+    h = h.withColumns({f"a{r}{i}": entry(r, i) for r in range(3) for i in range(3)} | {f"a{r}3": F.lit(float(r)) for r in range(3)}).select("vol", *geometry.AXES, *geometry.AFFINE)
+    rows = geometry.from_canonical(view(spark, sf_dir, "vox").join(h, "vol"))
     _written(nifti.export(rows.filter("vol % 3 <> 2"), folder, ".nii.gz", code=64))
     _written(jnifti.export(rows.filter("vol % 3 = 2"), folder, name="double"))
 
@@ -158,7 +158,7 @@ def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     load = flagship.linear_model(fold_weights(spark, sf_dir, 2, 3), 3)
     report = job.segment_folder(spark, source, out, load, flagship.TEST)
     volumes, voxels, _ = job.read_folder(spark, out)
-    back = geometry.to_canonical(voxels, geometry.axes_to_canonical(volumes))
+    back = geometry.to_canonical(voxels)
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
     of = volumes.select("vol", name("path").alias("name")).withColumnRenamed("vol", "new")
     known = _vol(report).select("vol", "status", name("out_path").alias("name")).join(of, "name")
