@@ -78,6 +78,129 @@ def test_recall_against_brute_force(spark):
     assert len(joined) <= 1, joined  # of 113,000 pairs of different pictures, three look alike at four places
 
 
+def plainly_the_same(p, q, u, v):
+    """The rule of a link for two images, one cell after another."""
+    apart = np.bitwise_count(u[:, None, :] ^ v[None, :, :]).sum(2, dtype=np.int64)
+    i, j = np.nonzero(apart <= media.MAX_BITS)
+    if len(i) < media.CONSENSUS:
+        return False
+    a, b = p[i], q[j]
+    scale, turn = b[:, 2] / a[:, 2], np.radians(b[:, 3] - a[:, 3])
+    dy = (b[:, 0] - scale * (a[:, 0] * np.cos(turn) + a[:, 1] * np.sin(turn))) / media.SHIFT
+    dx = (b[:, 1] - scale * (a[:, 1] * np.cos(turn) - a[:, 0] * np.sin(turn))) / media.SHIFT
+    i, j = (np.floor(x[:, 0] / media.PLACE).astype(int) * 65536 + np.floor(x[:, 1] / media.PLACE).astype(int) for x in (a, b))
+    kind = np.rint(2 * np.log2(scale)) * 64 + np.rint(np.degrees(turn) % 360 / media.TURN) % (360 // media.TURN)
+    for sy in (0, 0.5):
+        for sx in (0, 0.5):
+            which = np.unique(np.column_stack([kind, np.floor(dy + sy), np.floor(dx + sx)]), axis=0, return_inverse=True)[1].ravel()
+            for c in range(which.max() + 1):
+                if min(len(np.unique(i[which == c])), len(np.unique(j[which == c]))) >= media.CONSENSUS:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("held", [1, 1000, 1 << 20])
+def test_blocks_have_the_pairs_that_meet_and_connect_what_all_pairs_connect(monkeypatch, held):
+    """Against dictionaries of keys and the plain rule, whatever is held at a time."""
+    rng = np.random.default_rng(9)
+    images = []
+    for _ in range(12):
+        a = texture(rng, 64)
+        images += [a, a * 1.1 + 5, a[3:60, 5:64], a + rng.normal(0, 2, a.shape)]
+    images.append(np.full((64, 64), 7.0))  # no corners
+    found = [media.describe(np.clip(np.rint(a), 0, 255).astype(np.uint8)) for a in images]
+    drawn = media.tables(sum(len(w) for _, w in found))
+    buckets = {}
+    for m, (_, words) in enumerate(found):
+        for i, row in enumerate(media.keys_of(words, drawn) if len(words) else []):
+            for k in row:
+                buckets.setdefault(k, set()).add((m, i))
+    meetings = {}
+    for members in buckets.values():
+        for m, i in members:
+            for n, j in members:
+                if m < n:
+                    meetings.setdefault((m, n), set()).add((i, j))
+    expected = {k for k, v in meetings.items() if min(len({i for i, _ in v}), len({j for _, j in v})) >= media.MEETINGS}
+    linked = {(m, n) for m, n in expected if plainly_the_same(found[m][0], found[n][0], found[m][1], found[n][1])}
+    assert len(linked) > 40 and len(expected) > 1.2 * len(linked)
+
+    for name in ("MEETINGS_HELD", "DESCRIPTORS_HELD", "MATCHES_HELD"):
+        monkeypatch.setattr(media, name, held)
+    cut = 20
+
+    def block(lo, hi):
+        part = found[lo:hi]
+        return media.Block(np.arange(lo, hi), np.array([len(w) for _, w in part]), np.concatenate([p for p, _ in part]), np.concatenate([w for _, w in part]), drawn)
+
+    parts = [(0, block(0, cut)), (cut, block(cut, len(images)))]
+    got, links = [], []
+    for k, (at, x) in enumerate(parts):
+        for to, y in parts[k:]:
+            got += [(a + at, b + to) for a, b in media.met(x, y)]
+            links += [(a, b) for pair in media.copies(x, y) for a, b in zip(*pair, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert set(links) <= linked and classes(links, len(images)) == classes(linked, len(images))
+
+
+def classes(links, n):
+    own = list(range(n))
+    for a, b in links:
+        own = [own[a] if c == own[b] else c for c in own]
+    return {frozenset(i for i in range(n) if own[i] == c) for c in own}
+
+
+def test_a_group_of_copies_gives_no_link_for_every_two():
+    rng = np.random.default_rng(12)
+    a = texture(rng, 64)
+    found = [media.describe(np.clip(np.rint(a + rng.normal(0, 1, a.shape)), 0, 255).astype(np.uint8)) for _ in range(60)]
+    drawn = media.tables(3000)
+
+    def block(lo, hi):
+        part = found[lo:hi]
+        return media.Block(np.arange(lo, hi), np.array([len(w) for _, w in part]), np.concatenate([p for p, _ in part]), np.concatenate([w for _, w in part]), drawn)
+
+    x, y = block(0, 30), block(30, 60)
+    links = [[pair for c in media.copies(*k) for pair in zip(*c, strict=True)] for k in ((x, x), (x, y), (y, y))]
+    assert classes(sum(links, []), 60) == {frozenset(range(60))}
+    assert len(media.met(x, y)) > 800 and max(map(len, links)) <= 59
+
+
+def test_classes_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    images = []
+    for i in range(15):
+        a = texture(rng, 64)
+        images += [(10 * i, a), (10 * i + 1, a * 1.1 + 5), (10 * i + 2, a[2:58, 4:60]), (10 * i + 3, a)]
+    df = image_table(spark, images)
+    one = sorted(tuple(r) for r in media.copy_classes(df).collect())
+    assert one == [(i, i // 10 * 10) for i, _ in images]
+    for corners, most in ((1, 2048), (200, 2048), (80_000, 3)):
+        monkeypatch.setattr(media, "BLOCK_CORNERS", corners)
+        monkeypatch.setattr(media, "BLOCK_IMAGES", most)
+        packed = media.blocks(media.corners(df).filter("n > 0").dropDuplicates(["node"])).collect()
+        assert len({r["block"] for r in packed}) == len(packed) >= 8 and sum(len(r["nodes"]) for r in packed) == 45
+        assert all(r["corners"] == sum(r["n"]) and (r["corners"] <= corners or len(r["n"]) == 1) and len(r["n"]) <= most for r in packed)
+    assert sorted(tuple(r) for r in media.copy_classes(df).collect()) == one
+
+
+def test_pairs_of_images_that_look_alike_are_no_rows(spark, sf_dir):
+    """194,000 meetings and 34,000 pairs to compare: none is shuffled, nor corners for each pair."""
+    from pyspark import StorageLevel
+
+    df = media.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).persist(StorageLevel.DISK_ONLY)
+    df.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+    before = {(s.stageId(), s.attemptId()) for s in map(stages.apply, range(stages.size()))}
+    out = media.copy_classes(df).collect()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+    total = sum(s.shuffleWriteBytes() for s in map(stages.apply, range(stages.size())) if (s.stageId(), s.attemptId()) not in before)
+    df.unpersist()
+    assert len(out) == 600 and 0 < total < 5_000_000, total
+
+
 def test_large_pictures_have_corners_everywhere():
     rng = np.random.default_rng(8)
     big = np.vstack([np.hstack([texture(rng, 128) * (0.3 if (r, c) == (1, 1) else 1) for c in range(3)]) for r in range(3)])
